@@ -61,6 +61,10 @@ def _places(text: Column, pattern: str) -> Column:
 
 def _normal_tail(z: Column) -> Column:
     """P(N > z) for any z, by Abramowitz and Stegun 7.1.26."""
+    return _let(z, _tail)
+
+
+def _tail(z: Column) -> Column:
     x = F.abs(z) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)
     erfc = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
@@ -84,34 +88,57 @@ def battery(m: Column) -> Column:
     body = F.translate(F.regexp_replace(m, "=+$", ""), "-_", "+/")
     body = F.when(enc == "hex", F.lower(body)).otherwise(body)
     alphabet = F.element_at(F.create_map([F.lit(x) for kv in ALPHABETS.items() for x in kv]), enc)
-    chars = F.split(body, "")
-    x = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double") - 1)  # instr: 1 is the first
-    # each value is bound once: a lambda's argument is computed once however often it is used
-    bound = F.transform(F.array(F.struct(x.alias("x"), body.alias("b"), F.length(alphabet).cast("double").alias("k"))), _tests)
-    return F.when(enc.isNotNull(), F.struct(enc.alias("encoding"), bound[0]["p_chi"].alias("p_chi"), bound[0]["p_runs"].alias("p_runs"), bound[0]["p_serial"].alias("p_serial"), bound[0]["p"].alias("p")))
+    x = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)  # instr: 1 is the first
+    first = F.struct(enc.alias("encoding"), x.alias("x"), F.length(alphabet).cast("double").alias("k"), F.size(x).cast("double").alias("n"))
+    return F.when(enc.isNotNull(), _let(_let(_let(first, _sums), _moments), _p_values))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
 
+def _kept(v: Column, *names: str) -> list[Column]:
+    return [v[n].alias(n) for n in names]
 
-def _tests(v: Column) -> Column:
+
+def _sums(v: Column) -> Column:
     x, k = v["x"], v["k"]
-    n = F.size(x).cast("double")
     squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(x, lambda y: y == c)).cast("double"), F.lit(2.0)))
-    chi, df = squares * k / n - n, k - 1
-    p_chi = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
     high = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y >= k / 2).cast("double"))
-    pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda a, y: a + ((y["a"] >= k / 2) != (y["b"] >= k / 2)).cast("double"))
-    low = n - high
-    mu = 1 + 2 * high * low / n
-    var = (mu - 1) * (mu - 2) / (n - 1)
-    p_runs = F.when(var > 1e-9, 2 * _normal_tail(F.abs((runs - mu) / F.sqrt(F.greatest(var, F.lit(1e-9)))))).otherwise(1e-9)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / n
+    mean = F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / v["n"]
+    before, after = F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1)
+    turns = F.aggregate(F.zip_with(before, after, lambda a, b: ((a >= k / 2) != (b >= k / 2)).cast("double")), F.lit(0.0), lambda a, y: a + y)
+    return F.struct(*_kept(v, "encoding", "x", "k", "n"), squares.alias("squares"), high.alias("high"), mean.alias("mean"), (1 + turns).alias("runs"))
+
+
+def _moments(v: Column) -> Column:
+    x, k, n, mean = v["x"], v["k"], v["n"], v["mean"]
     spread = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
-    serial = F.aggregate(pairs, F.lit(0.0), lambda a, y: a + (y["a"] - mean) * (y["b"] - mean))
-    p_serial = F.when(spread > 1e-9, 2 * _normal_tail(F.abs(serial / F.greatest(spread, F.lit(1e-9)) * F.sqrt(n)))).otherwise(1e-9)
-    clip = lambda p: F.least(F.greatest(p, F.lit(1e-9)), F.lit(1.0))
-    half = -(F.log(clip(p_chi)) + F.log(clip(p_runs)) + F.log(clip(p_serial)))  # Fisher's statistic over two, 6 degrees
-    p = F.exp(-half) * (1 + half + half * half / 2)
-    return F.struct(clip(p_chi).alias("p_chi"), clip(p_runs).alias("p_runs"), clip(p_serial).alias("p_serial"), clip(p).alias("p"))
+    before, after = F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1)
+    serial = F.aggregate(F.zip_with(before, after, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, y: a + y)
+    df = k - 1
+    chi = F.greatest(v["squares"] * k / n - n, F.lit(0.0))
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson and Hilferty
+    mu = 1 + 2 * v["high"] * (n - v["high"]) / n
+    return F.struct(*_kept(v, "encoding", "n", "runs"), z_chi.alias("z_chi"), mu.alias("mu"), ((mu - 1) * (mu - 2) / (n - 1)).alias("var"), spread.alias("spread"), serial.alias("serial"))
+
+
+def _p_values(v: Column) -> Column:
+    tiny = F.lit(1e-9)
+    clip = lambda p: F.least(F.greatest(p, tiny), F.lit(1.0))
+    p_runs = F.when(v["var"] > tiny, 2 * _normal_tail(F.abs((v["runs"] - v["mu"]) / F.sqrt(F.greatest(v["var"], tiny))))).otherwise(tiny)
+    p_serial = F.when(v["spread"] > tiny, 2 * _normal_tail(F.abs(v["serial"] / F.greatest(v["spread"], tiny) * F.sqrt(v["n"])))).otherwise(tiny)
+    three = F.struct(v["encoding"].alias("encoding"), clip(_normal_tail(v["z_chi"])).alias("p_chi"), clip(p_runs).alias("p_runs"), clip(p_serial).alias("p_serial"))
+    return _let(three, _fisher)
+
+
+def _fisher(v: Column) -> Column:
+    half = -(F.log(v["p_chi"]) + F.log(v["p_runs"]) + F.log(v["p_serial"]))  # the statistic over two; 6 degrees of freedom
+    return _let(
+        F.struct(*_kept(v, "encoding", "p_chi", "p_runs", "p_serial"), half.alias("h")),
+        lambda w: F.struct(*_kept(w, "encoding", "p_chi", "p_runs", "p_serial"), F.greatest(F.exp(-w["h"]) * (1 + w["h"] + w["h"] * w["h"] / 2), F.lit(1e-9)).alias("p")),
+    )
 
 
 def _band(length: Column) -> Column:
