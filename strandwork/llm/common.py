@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,29 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(ALNUM).split() if text else []
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their differences over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; a bounded cache spares most of the calls."""
+    if len(_hashes) > 200_000:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which executors and driver share; one is made only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
