@@ -119,10 +119,17 @@ def test_jaccard_without_margin(spark, monkeypatch):
 def test_one_of_each(docs, edges):
     out = jaccard.one_of_each(clashing(docs))
     assert out.columns == clashing(docs).columns
-    sets = [brute.shingle_set(r.text) for r in out.collect()]
-    ids = brute.components([(i, t) for i, t, *_ in edges])
-    assert len({x for x in sets if x}) == len({c for c, (_, t, *_) in zip(ids, edges, strict=True) if brute.shingle_set(t)})
-    assert sum(not x for x in sets) == sum(not brute.shingle_set(t) for _, t, *_ in edges)
+    kept = [(r.doc_id, brute.shingle_set(r.text)) for r in out.collect()]
+    rows = [(i, t) for i, t, *_ in edges]
+    ids = brute.components(rows)
+    every = {(c, brute.shingle_set(t)) for c, (_, t) in zip(ids, rows, strict=True) if brute.shingle_set(t)}
+    # one set of each component stays, under the component's id; ids that two components share are told apart by text
+    assert all((i, x) in every for i, x in kept if x)
+    assert {i for i, x in kept if x} == {c for c, _ in every}
+    for i in {c for c, _ in every}:
+        mine = {x for j, x in kept if j == i and x}
+        assert len(mine) == (2 if i == 7 else 1)
+    assert sum(not x for _, x in kept) == sum(not brute.shingle_set(t) for _, t in rows)
 
 
 # mixing
