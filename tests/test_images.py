@@ -1,0 +1,146 @@
+"""Image kernels on generated rasters, and the frame sources."""
+
+import base64
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from strandwork.operators import images
+from strandwork.sources import frames
+
+
+def block(h=16, w=12, box=(3, 4, 8, 10), colour=(200, 30, 30)):
+    a = np.zeros((h, w, 4), np.uint8)
+    a[box[1] : box[3] + 1, box[0] : box[2] + 1] = (*colour, 255)
+    return a
+
+
+def filtered(rgba, kind):
+    """A PNG all of whose lines use one filter."""
+    h, w = rgba.shape[:2]
+    x = rgba.reshape(h, w * 4).astype(int)
+    left = np.pad(x, ((0, 0), (4, 0)))[:, :-4]
+    up = np.pad(x, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(left, ((1, 0), (0, 0)))[:-1]
+    p = left + up - corner
+    dl, du, dc = abs(p - left), abs(p - up), abs(p - corner)
+    paeth = np.where((dl <= du) & (dl <= dc), left, np.where(du <= dc, up, corner))
+    lines = (x - [0, left, up, (left + up) // 2, paeth][kind]) % 256
+    raw = np.concatenate([np.full((h, 1), kind), lines], 1).astype(np.uint8).tobytes()
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_every_filter_decodes(kind):
+    rgba = np.random.default_rng(kind).integers(0, 256, (9, 7, 4), np.uint8)
+    assert np.array_equal(images.decode_png(filtered(rgba, kind)), rgba)
+
+
+def test_round_trip_and_refusals():
+    rgba = block()
+    data = images.encode_png(rgba)
+    assert np.array_equal(images.decode_png(data), rgba)
+    assert len(images.recompress(images.encode_png(rgba, 0))) < len(images.encode_png(rgba, 0))
+    for bad in (b"", data[:40], data.replace(struct.pack(">II", 12, 16), struct.pack(">II", 1 << 20, 1 << 20))):
+        with pytest.raises(ValueError):
+            images.decode_png(bad)
+
+
+def flood(mask, diagonal):
+    h, w = mask.shape
+    out = np.zeros((h, w), int)
+    n = 0
+    for y in range(h):
+        for x in range(w):
+            if mask[y, x] and not out[y, x]:
+                n += 1
+                todo = [(y, x)]
+                out[y, x] = n
+                while todo:
+                    a, b = todo.pop()
+                    for c, d in [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not i or not j]:
+                        if 0 <= c < h and 0 <= d < w and mask[c, d] and not out[c, d]:
+                            out[c, d] = n
+                            todo.append((c, d))
+    return out
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_against_flood_fill(diagonal):
+    rng = random.Random(7)
+    for _ in range(40):
+        h, w = rng.randint(1, 12), rng.randint(1, 12)
+        mask = np.array([[rng.random() < 0.5 for _ in range(w)] for _ in range(h)])
+        assert np.array_equal(images.label_components(mask, diagonal), flood(mask, diagonal))
+
+
+def test_component_table():
+    a = block()
+    a[0, 0] = (1, 2, 3, 255)
+    t = images.components(a)
+    assert t["count"].tolist() == [1, 42] and t.noise.tolist() == [True, False] and t.cx.tolist() == [0.0, 5.5]
+    assert len(images.components(np.zeros((4, 4, 4), np.uint8))) == 0
+
+
+def test_similarity_cutout_shift_overlay():
+    a, b = block(), block(colour=(200, 30, 40))
+    assert images.similarity(a, a) == 100 and 90 < images.similarity(a, b) < 100
+    assert images.similarity(np.zeros_like(a), np.zeros_like(a)) == 100
+    plate = np.full((16, 12, 4), 255, np.uint8)
+    plate[..., :3] = (0, 200, 0)
+    plate[5:10, 4:8] = (200, 30, 30, 255)
+    plate[7, 6] = (0, 200, 0, 255)  # enclosed background stays
+    cut = images.cut_out(plate, (0, 200, 0))
+    assert images.opaque_bounds(cut) == (4, 5, 7, 9) and cut[7, 6, 3] == 255
+    moved = images.shift(a, 2, -1)
+    assert images.opaque_bounds(moved) == (5, 3, 10, 9) and not images.shift(a, 50, 0).any()
+    assert np.array_equal(images.alpha_over(np.zeros_like(a), a), a)
+    assert images.overlay_mse(a, a) == 0 and images.overlay_mse(a, moved) > 0
+    assert len(images.slice_sheet(np.concatenate([a, np.zeros_like(a)], 1), 2, 1)) == 1
+    assert images.signature(a, 8).shape == (8, 8, 4)
+
+
+def test_sources_and_measures(spark, tmp_path):
+    for n in ("f10", "f2", "f1"):
+        (tmp_path / f"{n}.png").write_bytes(images.encode_png(block()))
+    (tmp_path / "notes.txt").write_text("no frame")
+    (tmp_path / "f3.png").write_bytes(b"broken")
+    seq = frames.png_sequence(spark, str(tmp_path))
+    assert [r.name for r in seq.orderBy("frame_index").collect()] == ["f1.png", "f2.png", "f3.png", "f10.png"]
+    got = {r.name: r for r in images.measure_frames(seq.select("name", "content")).collect()}
+    assert (got["f1.png"].width, got["f1.png"].x1, got["f1.png"].opaque, got["f1.png"].cx) == (12, 3, 42, 5.5)
+    assert got["f3.png"].width is None and "signature" in got["f3.png"].error
+    moved = images.transform_frames(seq.where("name = 'f1.png'").select("name", "content"), lambda a: images.shift(a, 1, 0))
+    assert images.measure_frames(moved).first().x1 == 4
+    url = "data:image/png;base64," + base64.b64encode(images.encode_png(block())).decode()
+    items = spark.createDataFrame([(url,), ("x",)], "data_url string")
+    assert [r.content is not None for r in frames.inline_items(items).collect()] == [True, False]
+
+
+TRES = """[gd_resource type="SpriteFrames"]
+[ext_resource type="Texture2D" path="res://a/0.png" id="1_x"]
+[ext_resource type="Texture2D" path="res://a/1.png" id="2_y"]
+[resource]
+animations = [{
+"frames": [{
+"duration": 1.5,
+"texture": ExtResource("2_y")
+}, {
+"duration": 1.0,
+"texture": ExtResource("1_x")
+}],
+"loop": true,
+"name": &"walk",
+"speed": 8.0
+}]
+"""
+
+
+def test_sprite_frames(spark, tmp_path):
+    (tmp_path / "hero.tres").write_text(TRES)
+    rows = frames.sprite_frames(spark, str(tmp_path)).orderBy("frame_index").collect()
+    assert [(r.animation, r.speed, r.duration, r.texture) for r in rows] == [("walk", 8.0, 1.5, "res://a/1.png"), ("walk", 8.0, 1.0, "res://a/0.png")]
