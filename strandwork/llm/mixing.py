@@ -88,7 +88,8 @@ def weigh(totals: DataFrame, entropy: float | None = ENTROPY, repeats: float | N
     a = find_exponent(shares, entropy, repeats, total / everything)
     z = shares.agg(_exact(F.pow(F.col("share"), F.lit(a)))).first()[0]
     w = shares.withColumn("weight", F.pow(F.col("share"), F.lit(a)) / F.lit(z))
-    target = F.floor(F.col("weight") * F.lit(float(total)))
+    # a whole number of tokens that the weight's last bits miss still counts
+    target = F.floor(F.col("weight") * F.lit(total * (1 + 1e-12)) + 1e-6)
     if repeats is not None:
         target = F.least(target, F.floor(F.col("tokens") * F.lit(float(repeats))))
     return w.select("source", "tokens", "weight", target.cast("long").alias("target"))
