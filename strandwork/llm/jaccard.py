@@ -10,9 +10,11 @@ less H. While fewer than that many of its signatures are common, it shares an un
 links with. The allocation of segments weighs signatures against the chance of a set without a margin; such a set
 pays for one-deletion neighbourhoods of its segments and for single shingles besides, which makes up for it.
 
-Holders of a signature are never expanded into pairs: each is paired with the first holder, pairs are verified on the
-whole sets, and links become components. Then only holders that are still in different components are paired, and
-under common signatures only those whose margin is used up, so no link between different texts is lost.
+Holders of a signature are never expanded into pairs: each is paired with the holder that has most
+company, pairs are verified on the
+whole sets, and links become components. Then only holders that are still in different components are paired, if they
+share enough signatures. Under common signatures only those whose margin is used up are, in blocks: the holders
+around a common first one are multiplied block by block in numpy. So no link between different texts is lost.
 
 Signatures travel packed: a task sorts those of some megabytes of text by bucket and sends one row a bucket (4 bytes a
 signature, 2 for its place among the row's documents). They only propose pairs, so their truncation costs a few needless
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import fresh, raw, stored
+from strandwork.llm.common import fresh, mix64, raw, stored, word_hashes
 from strandwork.llm.components import components
 
 WIDTH = 5
@@ -43,40 +45,25 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: Holders beyond which a signature is common; documents whose ids may be broadcast; signatures a bucket.
 COMMON, MAX_BROADCAST, BUCKET = 64, 1_000_000, 2_000_000
+#: Sets of a crowd in a block.
+CROWD = 1024
 FLUSH = 16 << 20
 
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.lower().split()  # of bytes: A-Z only
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(_words) > 200_000:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = word_hashes(words)
     size = min(n, width)
     code = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
         code = code * _U(0x9E3779B97F4A7C15) + h[k : n - size + 1 + k]
-    return np.unique(_mix(code))
+    return np.unique(mix64(code))
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -97,6 +84,9 @@ def _set_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
+_set_bytes = _set_bytes.asNondeterministic()  # else a later filter takes it below the join, to every text
+
+
 @F.arrow_udf(T.BooleanType())
 def _linked(left: pa.Array, right: pa.Array) -> pa.Array:
     out = []
@@ -148,10 +138,10 @@ def _sign(sets: list[np.ndarray], bands, first_bucket, n_buckets) -> Iterator[tu
         d = np.repeat(np.arange(len(use)), n[use])
         s_of = ((all_s >> _U(32)) * seg[b].astype(np.uint64)[d]) >> _U(32)  # rises with the hash, so subsets are runs
         start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s_of[1:] != s_of[:-1])]))
-        mixed = _mix(all_s)
+        mixed = mix64(all_s)
         total, at, place = np.add.reduceat(mixed, start), d[start], s_of[start]
         salt = b.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-        sig = _mix(total ^ (salt[at] + place * _U(0xA0761D6478BD642F)))
+        sig = mix64(total ^ (salt[at] + place * _U(0xA0761D6478BD642F)))
         limit = n[use] // 3 if back == 0 else 2 * n[use] // 7
         margin = np.bincount(at, minlength=len(use)) - limit
         for i in np.flatnonzero(margin <= 0):
@@ -159,8 +149,8 @@ def _sign(sets: list[np.ndarray], bands, first_bucket, n_buckets) -> Iterator[tu
             ends = np.searchsorted(s_of[mine], s_of[mine], "left"), np.searchsorted(s_of[mine], s_of[mine], "right")
             whole = np.add.reduceat(mixed[mine], np.unique(ends[0]))[np.unique(ends[0], return_inverse=True)[1]]
             many = ends[1] - ends[0] > 1
-            gone = _mix((whole - mixed[mine])[many] ^ (salt[i] + s_of[mine][many] * _U(0xA0761D6478BD642F)))
-            single = _mix(mixed[mine] ^ salt[i] ^ _U(0x5851F42D4C957F2D))
+            gone = mix64((whole - mixed[mine])[many] ^ (salt[i] + s_of[mine][many] * _U(0xA0761D6478BD642F)))
+            single = mix64(mixed[mine] ^ salt[i] ^ _U(0x5851F42D4C957F2D))
             sig = np.concatenate([sig, gone, single])
             at = np.concatenate([at, np.full(len(gone) + len(single), i)])
         bucket = first_bucket[b][at] + (((sig >> _U(40)) * n_buckets[b].astype(np.uint64)[at]) >> _U(24)).astype(np.int64)
@@ -205,7 +195,11 @@ _FOUND = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()
 
 
 def _finder(first_bucket):
-    """kind 0: a pair of holders. 1: holder b of signature group a, n = 1 if common. 2: b common signatures of a, margin n."""
+    """kind 0: b is in the group a of holders of n >> 1 signatures; n & 1 if these are common.
+
+    kind 1: of document a, b = signatures that it shares << 20 | those that are common, and its margin n.
+    kind 2: of document a, b = holders of its signatures, summed: of near copies, the one in their midst has most.
+    """
 
     def find(table: pa.Table) -> pa.Table:
         out = [[np.empty(0, np.int64)] for _ in range(5)]
@@ -237,25 +231,21 @@ def _finder(first_bucket):
         sig, ref, margin = sig[order], ref[order], margin[order]
         once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])]) if len(sig) else np.empty(0, bool)
         sig, ref, margin = sig[once], ref[once], margin[once]
-        if len(sig):
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(np.append(start, len(sig)))
-            group = np.repeat(np.arange(len(start)), size)
-            pivot = ref[start][group]
-            pair = np.unique(np.stack([pivot[pivot != ref], ref[pivot != ref]]), axis=1)
-            if pair.size:
-                put(0, pair[0], pair[1], 0, band)
-            done = set()
-            for i in np.flatnonzero(size > 2).tolist():
-                held = ref[start[i] : start[i] + size[i]]
-                gid = xxhash.xxh3_64_intdigest(held.tobytes(), band)
-                if gid not in done:
-                    done.add(gid)
-                    put(1, _U(gid), held, int(size[i] > COMMON), band)
-            common = (size > COMMON)[group]
-            if common.any():
-                r, first, c = np.unique(ref[common], return_index=True, return_counts=True)
-                put(2, r, c, margin[common][first], band)
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(sig)))
+        shared = size > 1
+        groups: dict[int, list[int]] = {}
+        for i in np.flatnonzero(shared).tolist():
+            gid = xxhash.xxh3_64_intdigest(ref[start[i] : start[i] + size[i]].tobytes(), band)
+            groups.setdefault(gid, [start[i], size[i], 0])[2] += 1
+        for gid, (x, n, times) in groups.items():
+            put(0, _U(gid), ref[x : x + n], times << 1 | int(n > COMMON), band)
+        each = np.repeat(size, size)
+        if shared.any():
+            r, first, at = np.unique(ref[each > 1], return_index=True, return_inverse=True)
+            common = np.bincount(at, (each > COMMON)[each > 1]).astype(np.int64)
+            put(1, r, np.bincount(at) << 20 | common, margin[each > 1][first], band)
+            put(2, r, np.bincount(at, each[each > 1]).astype(np.int64), 0, band)
         cols = [np.concatenate(c) for c in out]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=_FOUND.names)
 
@@ -280,8 +270,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _sets_of(refs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """ref, key, n and shingles of the classes that a pair needs, from the text of one document each."""
+def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """ref, key, n and shingles of the classes that pairs need, from the text of one document each."""
+    refs = pairs.select(F.col("a").alias("ref")).union(pairs.select("b"))
     need = stored(classes.join(refs.distinct(), "ref").select("ref", "key", "n", F.col("rep").alias("id")), "needed")
     if need.count() <= MAX_BROADCAST:
         need = F.broadcast(need)
@@ -295,11 +286,69 @@ def _sets_of(refs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _torn(held: DataFrame, group: str) -> DataFrame:
+    """The rows of groups whose labels differ."""
+    torn = held.groupBy(group).agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select(group)
+    return stored(held.join(stored(torn, "torn"), group, "left_semi"), "held")
+
+
+def _crowds(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """crowd (x, b, label): holders b around x -> linked pairs (a, b) of keys that join labels, a spanning few of them.
+
+    A crowd is dealt into blocks of bounded size, and each pair of blocks is multiplied in one task; only the links that
+    join something leave it.
+    """
+    full = crowd.join(sets.select(F.col("ref").alias("b"), "key", "n", "shingles"), "b").drop("b")
+    blocks = full.groupBy("x").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / (1 << 20))).cast("int").alias("blocks"))
+    h = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    dealt = full.join(blocks, "x").withColumn("h", h).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("x", F.least("h", "other").alias("i"), F.greatest("h", "other").alias("j"), "key", "label", "n", "shingles")
+    return dealt.groupBy("x", "i", "j").applyInArrow(_multiplied, "a binary, b binary")
+
+
+def _multiplied(table: pa.Table) -> pa.Table:
+    """The links of a pair of blocks that join labels."""
+    keys, n = table.column("key").to_pylist(), table.column("n").to_numpy()
+    _, label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)
+    flat = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")])
+    row = np.repeat(np.arange(len(keys)), n)
+    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+    use = times[col] > 1  # others are in no intersection
+    row, col = row[use], np.unique(col[use], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    shared = np.zeros((len(keys), len(keys)), np.float32)
+    width = 2048
+    for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [start, start + width])
+        part = np.zeros((len(keys), width), np.float32)
+        part[row[a:b], col[a:b] - start] = 1
+        shared += part @ part.T
+    x, y = np.nonzero((DEN * shared >= NUM * (n[:, None] + n[None, :] - shared)) & (label[:, None] < label[None, :]))
+    up = list(range(int(label.max()) + 1))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    left, right = [], []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = top(label[i]), top(label[j])
+        if p != q:
+            up[p] = q
+            left.append(keys[i])
+            right.append(keys[j])
+    return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+
 def link(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, key (equal sets have equal keys), component_id; a row for each row."""
+    """docs (doc_id, text) -> a row for each row: doc_id, text_key (a hash of the text), n_shingles, key (equal sets have
+    equal keys), component (a key of its component; null for empty sets), component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    nodes = stored(docs.withColumn("x", _node(raw("text"))).select("doc_id", "x.n", "x.key"), "nodes")
+    nodes = stored(docs.withColumn("x", _node(raw("text"))).select("doc_id", F.xxhash64("text").alias("text_key"), "x.n", "x.key"), "nodes")
     ref = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     classes = stored(nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("ref", ref), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 1
@@ -314,28 +363,43 @@ def link(docs: DataFrame) -> DataFrame:
     packed = docs.select(raw("text").alias("t")).mapInArrow(_packer(bands, first_bucket, n_buckets), "bucket long, packed binary")
     found = stored(packed.groupBy("bucket").applyInArrow(_finder(first_bucket), _FOUND), "found")
 
-    pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    sets = _sets_of(pairs.select(F.col("a").alias("ref")).union(pairs.select("b")), classes, docs)
-    links = stored(_verified(pairs, sets), "links")
+    # a set that links shares at least its margin of signatures; few others get here
+    b = F.col("b")
+    docs_in = found.where("kind > 0").groupBy("a", "band").agg(
+        F.sum(F.when(F.col("kind") == 1, F.shiftright(b, 20))).alias("shared"),
+        F.sum(F.when(F.col("kind") == 1, b.bitwiseAND((1 << 20) - 1))).alias("common"),
+        F.min(F.when(F.col("kind") == 1, F.col("n"))).alias("margin"),
+        F.sum(F.when(F.col("kind") == 2, b)).alias("company"),
+    )
+    likely = stored(docs_in.where("shared >= margin").select(F.col("a").alias("b"), "band", "common", "margin", "company"), "likely")
+    held = found.where("kind = 0").join(likely, ["b", "band"])
+    held = held.withColumn("hot", F.col("n") % 2 == 1)
+    held = stored(held.groupBy("a", "b", "band", "hot", "common", "margin", "company").agg(F.sum(F.shiftright("n", 1)).alias("times")), "held")
+    midst = F.max(F.struct("company", "b"))["b"].alias("x")
+    first = stored(held.groupBy("a").agg(midst, F.count("*").alias("size")).where("size > 1").select("a", "x"), "first")
+    pairs = held.join(first, "a").where("x <> b").groupBy("x", "b", "band", "margin").agg(F.sum("times").alias("times"))
+    # many of a pair's signatures have other holders in their midst, so half a margin is enough; the rest comes later
+    pairs = stored(pairs.where("2 * times >= margin").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), "pairs")
+    links = stored(_verified(pairs, _sets_of(pairs, classes, docs)), "links")
     label = components(links)  # node, label: keys
 
-    # holders that are not yet in one component; refs without a link are their own label
-    named = sets.select("ref", "key").join(label, F.col("key") == F.col("node"), "left").select("ref", F.coalesce("label", "key").alias("label"))
-    used = found.where("kind = 2").groupBy(F.col("a").alias("b"), "band").agg(F.sum("b").alias("common"), F.min("n").alias("margin")).where("common >= margin")
-    held = found.where("kind = 1")
-    held = held.where("n = 0").select("a", "b").union(held.where("n = 1").join(used, ["b", "band"], "left_semi").select("a", "b")).distinct()
-    held = stored(held.join(named.withColumnRenamed("ref", "b"), "b").select("a", "b", "label"), "held")
-    torn = held.groupBy("a").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("a")
-    held = stored(held.join(torn, "a", "left_semi"), "torn")
-    parts = held.select("a", "label").distinct()
-    apart = parts.toDF("a", "la").join(parts.toDF("a", "lb"), "a").where("la < lb")
-    more = (
-        apart.join(held.toDF("a", "x", "la"), ["a", "la"])
-        .join(held.toDF("a", "y", "lb"), ["a", "lb"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+    # holders that are not yet in one component; sets without a link are their own label
+    named = classes.join(likely.select(F.col("b").alias("ref")).distinct(), "ref").join(label, F.col("key") == F.col("node"), "left")
+    named = named.select(F.col("ref").alias("b"), F.coalesce("label", "key").alias("label"))
+    held = stored(held.where("NOT hot OR common >= margin").join(named, "b"), "open")
+    cold = _torn(held.where("NOT hot"), "a")
+    parts = cold.select("a", "label").distinct()
+    apart = parts.toDF("a", "label_x").join(parts.toDF("a", "label_y"), "a").where("label_x < label_y")
+    side = lambda p: cold.select("a", "band", *[F.col(c).alias(f"{c}_{p}") for c in ("b", "label", "times", "common", "margin")])
+    met = apart.join(side("x"), ["a", "label_x"]).join(side("y"), ["a", "band", "label_y"])
+    met = met.groupBy(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"), "band").agg(
+        F.sum("times_x").alias("times"), F.max(F.least("common_x", "common_y")).alias("common"), F.max(F.greatest("margin_x", "margin_y")).alias("margin")
     )
-    late = stored(_verified(more, sets), "late")
+    more = stored(met.where("times + common >= margin").select("a", "b").distinct(), "more")
+    crowd = held.where("hot").join(first, "a").select("x", "b", "label").distinct()
+    crowd = _torn(stored(crowd, "crowd"), "x")
+    late_sets = _sets_of(more.union(crowd.select(F.col("b").alias("a"), "b")), classes, docs)
+    late = stored(_verified(more, late_sets).union(_crowds(crowd, late_sets)).distinct(), "late")
     # components of components
     via = label.select(F.col("node").alias("k"), F.col("label").alias("l"))
     late = late.join(via.toDF("a", "la"), "a", "left").join(via.toDF("b", "lb"), "b", "left")
@@ -343,9 +407,14 @@ def link(docs: DataFrame) -> DataFrame:
     top = classes.select("key", "rep").join(label, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "key").alias("label"))
     top = top.join(merged.toDF("label", "top"), "label", "left").select("key", "rep", F.coalesce("top", "label").alias("top"))
     low_id = top.groupBy("top").agg(F.min("rep").alias("component_id"))
-    final = top.join(low_id, "top").select("key", "component_id")
+    final = top.join(low_id, "top").select("key", "component_id", F.col("top").alias("component"))
     return nodes.join(final, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "key", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id",
+        "text_key",
+        F.col("n").alias("n_shingles"),
+        "key",
+        "component",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
@@ -354,10 +423,16 @@ def join_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, and all documents without words; columns as they were."""
-    keep = link(docs).where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "key").distinct()
-    i, k, mine = (fresh(docs.columns, x) for x in ("kept_id", "kept_key", "own_key"))
-    keep = keep.toDF(i, k)
-    rows = docs.withColumn(mine, _node(raw("text"))["key"])
-    out = rows.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(mine) == F.col(k)), "left_semi")
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    """The document with the smallest id of each component, and all documents without words; columns as they were.
+
+    Of texts with the same smallest id one stays. Rows equal in id and text are one document, and stay together.
+    """
+    rows = link(docs)
+    first = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id").agg(F.min(F.struct("key", "text_key")).alias("x"))
+    i, k = (fresh(docs.columns, x) for x in ("gone_id", "gone_key"))
+    stays = first.select(F.col("doc_id").alias("i"), F.col("x.text_key").alias("k"))
+    gone = rows.where("n_shingles > 0").join(stays, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_anti")
+    gone = stored(gone.select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct(), "gone")
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left_anti")
