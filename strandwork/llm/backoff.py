@@ -8,7 +8,8 @@ N-grams of orders 1 to 3 form count tables partitioned by hash. They travel pack
 of documents (some megabytes of text), and sends each partition the block's distinct n-grams in one row; the partition
 joins all blocks' n-grams, sums their counts, and returns each block the totals in the order it sent; there they meet
 the documents' own n-grams and are summed a document. The tables are thus exact over all rows, grow with the corpus, and
-a frequent n-gram is one entry a block, so that no key is hot.
+a frequent n-gram is one entry a block, so that no key is hot. Rows are
+compressed, which their order makes worth while.
 
 N-grams are told apart by the partition's part of a 64-bit hash and 40 more bits: an n-gram meets another of the same
 partition with a chance of one in 2 ** 40 for each.
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,22 @@ def _unpack_small(b: bytes, n: int, at: int = 0) -> np.ndarray:
     return x
 
 
+def _pack_codes(place: np.ndarray, rest: np.ndarray, times: np.ndarray) -> bytes:
+    """A partition's n-grams of a block: rising 32-bit places as byte planes of their steps, 8 more bits, counts."""
+    steps = np.diff(place, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    body = np.uint32(len(place)).tobytes() + steps.tobytes() + rest.astype(np.uint8).tobytes() + _pack_small(times)
+    return zstandard.ZstdCompressor(1).compress(body)
+
+
+def _unpack_codes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit codes and counts."""
+    b = zstandard.ZstdDecompressor().decompress(b)
+    n = int(np.frombuffer(b, np.uint32, 1)[0])
+    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
+    code = np.cumsum(steps, dtype=np.uint64) << _U(8) | np.frombuffer(b, np.uint8, n, 4 + 4 * n)
+    return code, _unpack_small(b, n, 4 + 5 * n)
+
+
 def _counter(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows in enumerate(_blocks(batches)):
@@ -110,12 +128,10 @@ def _counter(buckets: int):
             code, times = np.unique(np.concatenate([_codes(h, place, o + 1) for o in range(ORDER)]), return_counts=True)
             if not len(code):
                 continue
-            bucket = ((code >> _U(32)) * _U(buckets)) >> _U(32)
+            spread = (code >> _U(32)) * _U(buckets)  # rises with the code: the partition, then the place in it
+            bucket, within = spread >> _U(32), spread.astype(np.uint32)
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(code)]])
-            low, high = code.astype(np.uint32), ((code * _U(0xD6E8FEB86659FD93)) >> _U(56)).astype(np.uint8)
-            out = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                out.append((int(bucket[a]), np.uint32(b - a).tobytes() + low[a:b].tobytes() + high[a:b].tobytes() + _pack_small(times[a:b])))
+            out = [(int(bucket[a]), _pack_codes(within[a:b], code[a:b], times[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             block = _name(rows, k)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "packed"])
 
@@ -124,16 +140,11 @@ def _counter(buckets: int):
 
 def _join(table: pa.Table) -> pa.Table:
     """A partition of the count tables: every block's n-grams get their totals."""
-    codes, times = [], []
-    for v in table.column("packed"):
-        b = v.as_buffer().to_pybytes()
-        n = int(np.frombuffer(b, np.uint32, 1)[0])
-        codes.append(np.frombuffer(b, np.uint32, n, 4).astype(np.uint64) | np.frombuffer(b, np.uint8, n, 4 + 4 * n).astype(np.uint64) << _U(32))
-        times.append(_unpack_small(b, n, 4 + 5 * n))
+    codes, times = zip(*(_unpack_codes(v.as_buffer().to_pybytes()) for v in table.column("packed")), strict=True)
     size = np.cumsum([0, *map(len, codes)])
     _, at = np.unique(np.concatenate(codes), return_inverse=True)
     total = np.bincount(at, np.concatenate(times)).astype(np.int64)[at]
-    packed = [_pack_small(total[a:b]) for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+    packed = [zstandard.ZstdCompressor(1).compress(_pack_small(total[a:b])) for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
     sizes = [b - a for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bucket", "n", "packed"])
 
@@ -180,7 +191,7 @@ def _scorer(corpus: int):
         texts = [v.as_buffer().to_pybytes() for v in docs.column("text")]
         h, n = _tokens(texts)
         replies = replies.sort_by("bucket")
-        total = [_unpack_small(v.as_buffer().to_pybytes(), k) for k, v in zip(replies.column("n").to_pylist(), replies.column("packed"), strict=True)]
+        total = [_unpack_small(zstandard.ZstdDecompressor().decompress(v.as_buffer().to_pybytes()), k) for k, v in zip(replies.column("n").to_pylist(), replies.column("packed"), strict=True)]
         if len(h) and not total:
             raise ValueError("the documents came in other partitions the second time; store them first")
         sums = _log_scores(h, n, np.concatenate([*total, np.empty(0, np.int64)]), corpus)

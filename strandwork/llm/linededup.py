@@ -131,6 +131,7 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_W
     held = sides.select(order, F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= min_words)
     held = held.select("doc", F.col("x.hashes").alias("line"))
     owners = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("final")).where("owner < final").select("line", "owner")
+    owners = stored(owners, "owners")  # read afresh, both sides of the join are dealt out for it, and a hot line can be split
     pairs = held.join(owners, "line").where("owner < doc").select("owner", "doc").distinct()
     # equal rows would repeat a side; one of each is enough
     side = sides.select(order, "hashes", "words").dropDuplicates(["doc"])
