@@ -98,6 +98,36 @@ def secrets(t):
     return tuple(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(listed.encode()).hexdigest(), listed
 
 
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base62": UPPER + UPPER.lower() + DIGITS}
+
+
+def randomness(token, encoding):
+    """The battery's p-value of a token, from the exact normal distribution."""
+    alphabet = ENCODINGS[encoding]
+    x, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum(c * c for c in Counter(x).values()) * k / n - n
+    v = 2 / (9 * (k - 1))
+    p_chi = tail((max(chi, 0) ** (1 / 3) / (k - 1) ** (1 / 3) - 1 + v) / math.sqrt(v))
+    high = [2 * y >= k for y in x]
+    runs, h = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+    mu = 1 + 2 * h * (n - h) / n
+    p_runs = 2 * tail(abs(runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1)))
+    mean = sum(x) / n
+    spread = sum((y - mean) ** 2 for y in x)
+    p_serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))) / spread * math.sqrt(n))
+    half = -sum(math.log(min(max(p, 1e-9), 1)) for p in (p_chi, p_runs, p_serial))
+    return max(math.exp(-half) * (1 + half + half * half / 2), 1e-9)
+
+
+def random_among(p_values, rate):
+    """Which p-values a step-up test at this rate leaves; each counts as the largest of its hundredth of a decade."""
+    bucket = [math.floor(-100 * math.log10(p)) for p in p_values]
+    passed = [b for b in bucket if 10 ** (-b / 100) <= rate * sum(x >= b for x in bucket) / len(bucket)]
+    return [not passed or b < min(passed) for b in bucket]
+
+
 def backoff(rows, alpha=0.4):
     """rows (doc_id, text) -> summed log score of each row."""
     docs = [alnum(t) for _, t in rows]
