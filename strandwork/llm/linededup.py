@@ -1,12 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line meet through the line's hash: the earliest document that has the line owns it, so each
-shared line gives every other holder one partner and no group is expanded into pairs. A pair's line sequences are
-aligned by a patience diff, and common blocks with enough words are deleted from the later document.
+A run is the fewest consecutive lines from a line on, or up to a line, that have ``block_words`` words. A line stands in a
+common block of enough words exactly if it stands in a common run, however short the lines are. Documents meet through their runs' hashes: the
+earliest document that has a run owns it, so each shared run gives every other holder one partner and no group is
+expanded into pairs. A pair's line sequences are aligned by a patience diff, and common blocks with enough words are
+deleted from the later document. Blocks that the alignment leaves, because they are moved or have no unique line, are
+found by their runs. So a line goes exactly if it stands in a block of enough words that any earlier document has.
 
-"Rare" lines are those of at least ``min_words`` words: short lines recur by chance, carry no evidence and never bring
-documents together, though an aligned block may run over them. No line is left out for being common: a common one
-has one owner like any other, so the work stays linear in its holders.
+No line or run is left out for being common: a common one has one owner like any other, so the work stays linear in its
+holders.
 
 Defined results: order is by doc_id, nulls last, then by the text's hash; equal rows (same id, same text) are the same
 document, get the same output and delete nothing from each other. Null and empty texts have no lines and come back
@@ -24,10 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import fresh, stored, whole
+from strandwork.llm.common import fresh, mix64, stored, whole
 
+#: Words of a line that says something by itself; candidates and cuts don't depend on it.
 MIN_WORDS = 8
 BLOCK_WORDS = 12
+#: Lines hashed at once.
+CHUNK = 200_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_table = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -98,41 +105,103 @@ def patience_blocks(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return joined
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers from 0 to n and their inverses; a table grows as needed."""
+    if len(_table[0]) <= n:
+        size = max(2 * n, 1 << 12)
+        for k, x in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            _table[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, np.uint64(x)))])
+    return _table[0][: n + 1], _table[1][: n + 1]
+
+
+def runs(lines: np.ndarray, words: np.ndarray, least: int, first: np.ndarray, last: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end (exclusive) and hash of the shortest run with enough words from each line on, and up to each line.
+
+    first, last: where each line's document begins and ends (exclusive).
+    """
+    size = np.arange(len(lines))
+    n = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    power, back = _powers(len(lines))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(lines.astype(np.int64).view(np.uint64)) * power[:-1])])
+    out = []
+    for start, end in ((size, np.searchsorted(n, n[:-1] + least, "left")), (np.searchsorted(n, n[1:] - least, "right") - 1, size + 1)):
+        good = (start >= first) & (end <= last)
+        start, end = start[good], end[good]
+        out.append((start, end, mix64((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64)))
+    return out
+
+
+def repeated(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Which lines of b stand in a run of enough words that a has too, wherever; words are those of b's lines."""
+    known, at_b = np.unique(b, return_index=True)
+    at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+    theirs = np.where(known[at] == a, words[at_b[at]], 0)  # runs over lines that b hasn't are not common anyway
+    depth = np.zeros(len(b) + 1, np.int64)
+    # each line of a common block is in the run from the block's first line on, or in the run that ends here
+    for (start, end, key), (_, _, other) in zip(runs(b, words, least, 0, len(b)), runs(a, theirs, least, 0, len(a)), strict=True):
+        both = np.isin(key, other)
+        np.add.at(depth, start[both], 1)
+        np.add.at(depth, end[both], -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _runs(lines: pa.Array, words: pa.Array, least: pa.Array) -> pa.Array:
+    """Hashes of the runs of both kinds: whichever lines an earlier document repeats, their runs have owners."""
+    at, h, w = np.asarray(lines.offsets), np.asarray(lines.values), np.asarray(words.values)
+    shift = int(words.offsets[0].as_py()) - int(at[0]) if len(at) else 0
+    keys, counts, i = [], [], 0
+    while i < len(lines):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)  # documents of at most so many lines, or one
+        a, b, sizes = at[i], at[j], np.diff(at[i : j + 1])
+        of = np.repeat(np.arange(j - i), sizes)
+        first, last = np.repeat(at[i:j] - a, sizes), np.repeat(at[i + 1 : j + 1] - a, sizes)
+        (start, end, key), (start_, end_, key_) = runs(h[a:b], w[a + shift : b + shift], least[0].as_py(), first, last)
+        ends = np.zeros(b - a, np.int64)
+        ends[start] = end
+        new = ends[start_] != end_  # not one of the first kind too
+        doc = np.concatenate([of[start], of[start_[new]]])
+        keys.append(np.concatenate([key, key_[new]])[np.argsort(doc, kind="stable")])
+        counts.append(np.bincount(doc, minlength=j - i))
+        i = j
+    offsets = np.concatenate([[0], *map(np.cumsum, [np.concatenate(counts)] if counts else [])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _cut(theirs: pa.Array, ours: pa.Array, words: pa.Array, least: pa.Array) -> pa.Array:
-    """Line numbers of the later document inside aligned blocks with enough words."""
+    """Line numbers of the later document inside common blocks with enough words."""
     out = []
     for a, b, w, n in zip(theirs, ours, words, least, strict=True):
-        w = np.asarray(w.values)
-        cut: list[int] = []
-        for _, j, k in patience_blocks(np.asarray(a.values), np.asarray(b.values)):
-            if w[j : j + k].sum() >= n.as_py():
-                cut += range(j, j + k)
-        out.append(cut)
+        a, b, w, n = np.asarray(a.values), np.asarray(b.values), np.asarray(w.values), n.as_py()
+        cut = np.zeros(len(b), bool)
+        for _, j, k in patience_blocks(a, b):
+            if w[j : j + k].sum() >= n:
+                cut[j : j + k] = True
+        if not cut.all() and not set(a.tolist()).isdisjoint(b[~cut].tolist()):
+            cut |= repeated(a, b, w, n)
+        out.append(np.flatnonzero(cut).astype(np.int32))
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def cuts(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text_key and the sorted line numbers (from 0) to delete, for documents with any.
 
     docs: doc_id and text. Only line hashes and word counts are shuffled, never texts.
     """
     lines = F.split(whole("text"), "\n", -1)
-    sides = stored(
-        docs.select(
-            "doc_id",
-            F.xxhash64(whole("text")).alias("text_key"),
-            F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
-            F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != ""))).alias("words"),
-        ),
-        "lines",
+    split = docs.select(
+        "doc_id",
+        F.xxhash64(whole("text")).alias("text_key"),
+        F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda y: y != ""))).alias("words"),
     )
+    sides = stored(split.withColumn("runs", _runs("hashes", "words", F.lit(block_words))), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("doc")
-    held = sides.select(order, F.explode(F.arrays_zip("hashes", "words")).alias("x")).where(F.col("x.words") >= min_words)
-    held = held.select("doc", F.col("x.hashes").alias("line"))
-    owners = held.groupBy("line").agg(F.min("doc").alias("owner"), F.max("doc").alias("final")).where("owner < final").select("line", "owner")
-    owners = stored(owners, "owners")  # read afresh, both sides of the join are dealt out for it, and a hot line can be split
-    pairs = held.join(owners, "line").where("owner < doc").select("owner", "doc").distinct()
+    held = sides.select(order, F.explode("runs").alias("run"))
+    owners = held.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("final")).where("owner < final").select("run", "owner")
+    owners = stored(owners, "owners")  # read afresh, both sides of the join are dealt out for it, and a hot run can be split
+    pairs = held.join(owners, "run").where("owner < doc").select("owner", "doc").distinct()
     # equal rows would repeat a side; one of each is enough
     side = sides.select(order, "hashes", "words").dropDuplicates(["doc"])
     cut = (
@@ -143,12 +212,12 @@ def cuts(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_W
     return cut.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at")).select("doc.doc_id", "doc.text_key", "at")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, str]]:
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, str]]:
     """docs with the new text, its number of lines and of deleted lines; and the names of these three columns."""
     name: dict[str, str] = {}
     for want in ("new_text", "n_lines", "n_removed", "cut_id", "cut_key", "at", "row_key"):
         name[want] = fresh([*docs.columns, *name.values()], want)
-    found = cuts(docs.select("doc_id", "text"), min_words, block_words).toDF(name["cut_id"], name["cut_key"], name["at"])
+    found = cuts(docs.select("doc_id", "text"), block_words).toDF(name["cut_id"], name["cut_key"], name["at"])
     lines = F.split(whole("text"), "\n", -1)
     keyed = docs.withColumn(name["row_key"], F.xxhash64(whole("text")))
     same = F.col("doc_id").eqNullSafe(F.col(name["cut_id"])) & (F.col(name["row_key"]) == F.col(name["cut_key"]))
@@ -164,12 +233,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int =
     return out, name
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents with the repeated blocks cut out; n_chars follows the text.
 
     A document that had words and lost all of them was a copy, and goes.
     """
-    out, name = dedup_lines(docs, min_words, block_words)
+    out, name = dedup_lines(docs, block_words)
     new = F.col(name["new_text"])
     gone = (F.col(name["n_removed"]) > 0) & ~new.rlike(r"[^\x20\x09-\x0D]")
     cols = []

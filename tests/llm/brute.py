@@ -154,3 +154,13 @@ def backoff(rows, alpha=0.4):
 def lcs_cuts(theirs, ours):
     """Line numbers of ours that a patience diff may align: used on pairs whose common lines are unique and in order."""
     return [j for j, x in enumerate(ours) if x in theirs]
+
+
+def repeated_lines(before, lines, least):
+    """Line numbers inside any run of lines with enough words that stands in a document before, by trying all runs."""
+    n, cut = len(lines), set()
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            if sum(len(spaced(x)) for x in lines[i:j]) >= least and any(t[k : k + j - i] == lines[i:j] for t in before for k in range(len(t))):
+                cut |= set(range(i, j))
+    return sorted(cut)

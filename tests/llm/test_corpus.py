@@ -65,6 +65,23 @@ def test_line_dedup(spark, docs, none):
     assert linededup.line_report(none).count() == 0
 
 
+def test_blocks_without_owners(spark):
+    """Wrapped passages of short lines, stock lines with other owners, moved blocks and blocks without unique lines."""
+    rng = random.Random(4)
+    verse = [prose(rng, rng.randint(2, 6)) for _ in range(14)]
+    one, two = prose(rng, 9), prose(rng, 9)
+    chorus = [prose(rng, 3), prose(rng, 3)] * 5
+    moved = lines(rng, 4)
+    texts = [[one], [two], ["first", one, two], ["second", one, two, "end"], ["third", *verse, "x"], ["fourth", *verse[3:], "y", *verse[:4]]]
+    texts += [["fifth", *chorus, "z"], [*chorus[:6], "sixth", *chorus[:8]], ["seventh", *moved], [*moved[2:], "eighth", *moved[:2]]]
+    stock = [prose(rng, rng.randint(0, 14)) for _ in range(12)]
+    texts += [[rng.choice(stock) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r["at"] for r in linededup.cuts(d).collect()}
+    want = {i: cut for i, t in enumerate(texts) if (cut := brute.repeated_lines(texts[:i], t, linededup.BLOCK_WORDS))}
+    assert got == want and want[3] == [1, 2] and want[5] == [*range(1, 12), *range(13, 17)]
+
+
 # Jaccard join
 
 
