@@ -1,9 +1,11 @@
 """License scans through a positional index of rare licence words.
 
-Each template's words are posted with their positions. A file is looked up by its highest-IDF licence words only, and only in templates whose key
-phrases' words it has; each place of such a word and each posting vote for the place where the template would begin, votes within ``SLACK`` words
-support one another, and a supported place counts only if the template's mandatory key phrases stand near it. Coverage
-is the share of the template's words found in order from that place.
+Each template's words are posted with their positions. A file is looked up only in templates whose key phrases it has,
+and in each of these by the template's own words: the highest-IDF ones among the file's, and those of the key phrases, so
+that no other text in the file takes their places. Each place of such a word and each posting vote for the place where
+the template would begin, votes within ``SLACK`` words support one another, and a supported place counts only if the
+template's mandatory key phrases stand near it. Coverage is the share of the template's words found in order from that
+place.
 
 Base phrases are searched besides: all places where a phrase's words stand consecutively.
 
@@ -48,7 +50,7 @@ TEMPLATES = [
     ("gpl", "SPDX-License-Identifier: GPL-3.0", ["spdx license identifier gpl"]),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential", ["strictly prohibited", "proprietary and confidential"]),
 ]
-#: Licence words looked up a file; places that agree to so many words; share of a template's words that must be there.
+#: Words looked up a template besides its key phrases'; places that agree to so many words; share of a template's words that must be there.
 TOP_WORDS, SLACK, COVERAGE = 12, 3, 0.6
 
 
@@ -60,10 +62,11 @@ class Index:
         self.needed = [{w for k in keys for w in k} for keys in self.keys]
         df = Counter(w for t in self.words for w in set(t))
         self.idf = {w: math.log((1 + len(templates)) / n) for w, n in df.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in templates]
         for t, words in enumerate(self.words):
             for q, w in enumerate(words):
-                self.postings[w].append((t, q))
+                self.postings[t][w].append(q)
+        self.by_idf = [sorted(p, key=lambda w: (-self.idf[w], w)) for p in self.postings]
 
     def lookup(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the verified templates, with their coverage."""
@@ -71,19 +74,18 @@ class Index:
         for i, w in enumerate(words):
             if w in self.idf:
                 places[w].append(i)
-        live = {t for t, need in enumerate(self.needed) if all(w in places for w in need)}
+        live = [t for t, need in enumerate(self.needed) if all(w in places for w in need)]
         if not live:
             return {}
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[:TOP_WORDS]
-        votes: dict[int, Counter] = defaultdict(Counter)
-        for w in rare:
-            for t, q in self.postings[w]:
-                if t in live:
-                    for p in places[w]:
-                        votes[t][p - q] += 1
+        every = b" " + b" ".join(words) + b" "
         found: dict[str, float] = {}
-        for t, starts in votes.items():
-            least = min(2, sum(any(x == t for x, _ in self.postings[w]) for w in rare))
+        for t in live:
+            if not all(b" " + b" ".join(k) + b" " in every for k in self.keys[t]):
+                continue
+            rare = [w for w in self.by_idf[t] if w in places][:TOP_WORDS]
+            asked = {*rare, *self.needed[t]}
+            starts = Counter(p - q for w in asked for q in self.postings[t][w] for p in places[w])
+            least = min(2, len(asked))
             for s in starts:
                 if sum(starts.get(s + k, 0) for k in range(-SLACK, SLACK + 1)) < least:
                     continue

@@ -109,6 +109,20 @@ def test_licences(spark, docs, none):
     assert clashing(docs).columns == licenses.scan_licenses(clashing(docs))[0].columns[:-1]
 
 
+def test_licences_beside_long_texts():
+    """Each template is found beside every other, and beside text that has all the words of the others."""
+    every = " ".join(sorted({w for t in licenses.INDEX.words for w in (x.decode() for x in t)}))
+    for label, text, _ in licenses.TEMPLATES:
+        assert label in licenses.INDEX.lookup(brute_words(text))
+        for _, other, _ in licenses.TEMPLATES:
+            assert label in licenses.INDEX.lookup(brute_words(f"{other}. x y z {text}."))
+        assert label in licenses.INDEX.lookup(brute_words(f"{every} {text} {every}"))
+
+
+def brute_words(text):
+    return [w.encode() for w in brute.alnum(text)]
+
+
 SECRETS = [
     "password=abc",
     "password=token: abcdef",
