@@ -1,10 +1,12 @@
 """Surrogates for personal data, in native column expressions and joins.
 
 Detected entities (e-mail, phone, card, IBAN, US social security, IP address, titled name) get keyed replacements of
-their own type: characters keep their class, case, script and place, separators stay, card numbers pass their check
-digit, addresses stay addresses, names follow the title's gender and the name's script. The same entity (normalised)
-gets the same surrogate everywhere, so coreference holds. Surrogates that two entities would share, or that equal any
-entity in the corpus, are drawn again under the next attempt until all are distinct.
+their own type: every letter and digit is drawn anew and keeps its class, case, script (Latin for scripts without an
+alphabet here) and place, separators stay, card numbers pass their check digit, addresses stay addresses, names follow
+the title's gender and the name's script. The same entity (normalised; a title's dot doesn't count) gets the same
+surrogate everywhere, so coreference holds. Surrogates that two entities would share, or that equal any entity in the
+corpus, are drawn again under the next attempt until all are distinct; from attempt ``PLAIN`` on each is a character (an
+address, a number) longer than under the attempt before, so there is room for all.
 
 The mapping of distinct entities is a table, joined to the entities found; it is never collected or broadcast. Texts
 are cut at the entities and joined again, so an entity inside another's surrogate is never touched.
@@ -42,7 +44,8 @@ KINDS = {
     "name": r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-ATTEMPTS = 24
+#: Attempts in all, and those that keep an entity's length.
+ATTEMPTS, PLAIN = 24, 4
 
 
 def _kind(entity: Column) -> Column:
@@ -59,6 +62,7 @@ def _norm(kind: Column, entity: Column) -> Column:
         F.when(kind == "email", F.lower(entity))
         .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+        .when(kind == "name", F.regexp_replace(entity, r"^(\p{L}+)\. ", "$1 "))
         .otherwise(entity)
     )
 
@@ -75,11 +79,31 @@ _LETTERS = [
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "0123456789",
-    "абвгдежзиклмнопрстуфхцчшэюя",
-    "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
+    "абвгдеёжзийклмнопрстуфхцчшщъыьэюя",
+    "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "àáâäçèéêëìíîïñòóôöùúûüß",
     "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ",
 ]
+#: What stands for the other letters and numbers, by the first pattern they match.
+_OTHERS = [
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"[\p{IsGreek}&&\p{L}]", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"[\p{IsCyrillic}&&\p{L}]", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"[\p{IsArmenian}&&\p{Lu}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՓՔՕՖ"),
+    (r"[\p{IsArmenian}&&\p{L}]", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"),
+    (r"[\p{IsGeorgian}&&\p{Lo}]", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    (r"[\p{IsHebrew}&&\p{L}]", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"[\p{IsDevanagari}&&\p{L}]", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"),
+    (r"[\p{IsHiragana}&&\p{L}]", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"),
+    (r"[\p{IsKatakana}&&\p{L}]", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモ"),
+    (r"[\p{IsHangul}&&\p{L}]", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호"),
+    (r"\p{IsHan}", "一二三四五六七八九十山川田中上下大小木林森水火土金石月日"),
+    (r"[\p{Lu}\p{Lt}]", _LETTERS[1]),
+    (r"\p{L}", _LETTERS[0]),
+    (r"\p{N}", _LETTERS[2]),
+]
 
 
 def _masked(text: Column, draws: Column) -> Column:
@@ -88,9 +112,9 @@ def _masked(text: Column, draws: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         d = F.element_at(draws, (i % 48) + 1)
         out = None
-        for letters in _LETTERS:
+        for found, letters in [(F.instr(F.lit(x), c) > 0, x) for x in _LETTERS] + [(c.rlike(p), x) for p, x in _OTHERS]:
             drawn = F.substr(F.lit(letters), d % len(letters) + 1, F.lit(1))
-            out = F.when(F.instr(F.lit(letters), c) > 0, drawn) if out is None else out.when(F.instr(F.lit(letters), c) > 0, drawn)
+            out = F.when(found, drawn) if out is None else out.when(found, drawn)
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -106,7 +130,11 @@ def _luhn(number: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate of a normalised entity; formats such as separators are laid over it for each mention."""
-    return F.transform(F.array(_draws(kind, norm, attempt)), lambda d: _surrogate(kind, norm, d))[0]
+    more = F.greatest(attempt - PLAIN + 1, F.lit(0))
+    spare = F.when(kind == "name", F.substr(norm, F.length(norm))).when(kind == "email", "x").when(kind == "ip", ".0").otherwise("0")
+    longer = F.when(kind == "email", F.concat(F.repeat(spare, more), norm)).otherwise(F.concat(norm, F.repeat(spare, more)))
+    drawn = F.struct(_draws(kind, norm, attempt).alias("d"), longer.alias("norm"))
+    return F.transform(F.array(drawn), lambda v: _surrogate(kind, v["norm"], v["d"]))[0]
 
 
 def _surrogate(kind: Column, norm: Column, d: Column) -> Column:
@@ -114,16 +142,17 @@ def _surrogate(kind: Column, norm: Column, d: Column) -> Column:
     at = F.instr(norm, "@")
     # the host's letters are drawn too; its last label becomes one that no host has
     email = F.concat(F.substring_index(masked, "@", 1), F.lit("@"), F.regexp_replace(F.substr(masked, at + 1), r"[^.]+$", "example"))
-    ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i == 1, 1 + F.element_at(d, i) % 223).otherwise(F.element_at(d, i) % 256).cast("string")), ".")
+    ip = F.array_join(F.transform(F.sequence(F.lit(1), F.size(F.split(norm, r"\."))), lambda i: F.when(i == 1, 1 + F.element_at(d, i) % 223).otherwise(F.element_at(d, i) % 256).cast("string")), ".")
     number = lambda keep: F.concat(F.substr(norm, F.lit(1), F.lit(keep)), F.substr(masked, F.lit(keep + 1)))
-    title = F.regexp_extract(norm, r"^(\p{L}+\.?) ", 1)
-    gender = F.when(F.regexp_replace(title, r"\.", "").isin(TITLES["m"]), "m").otherwise("f")
-    script = F.when(norm.rlike(r" \p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    title = F.regexp_extract(norm, r"^(\p{L}+) ", 1)
+    gender = F.when(title.isin(TITLES["m"]), "m").otherwise("f")
+    script = F.when(norm.rlike(r" \p{IsCyrillic}"), "cyrillic").when(norm.rlike(r" \p{IsLatin}"), "latin")
     given = None
     for g, scripts in NAMES.items():
         for s, names in scripts.items():
             drawn = F.element_at(F.array([F.lit(n) for n in names]), F.element_at(d, 1) % len(names) + 1)
             given = F.when((gender == g) & (script == s), drawn) if given is None else given.when((gender == g) & (script == s), drawn)
+    given = given.otherwise(F.element_at(F.split(masked, " "), 2))  # a script without given names
     words = F.split(norm, " ")
     # of two names the first is a given name and the second a masked family name; one alone is a masked family name
     name = F.when(F.size(words) > 2, F.concat_ws(" ", title, given, F.element_at(F.split(masked, " "), 3))).otherwise(F.concat_ws(" ", title, F.element_at(F.split(masked, " "), 2)))
@@ -139,16 +168,17 @@ def _surrogate(kind: Column, norm: Column, d: Column) -> Column:
 
 
 def _laid_over(kind: Column, mention: Column, value: Column) -> Column:
-    """A surrogate of digits or letters with a mention's separators; other kinds as they are."""
+    """A surrogate of digits or letters with a mention's separators, a name with its title; other kinds as they are."""
     place = F.transform(F.split(mention, ""), lambda c: c.rlike("[A-Za-z0-9]").cast("int"))
     # the n-th letter or digit of the mention takes the n-th of the surrogate
     laid = F.aggregate(
         F.zip_with(F.split(mention, ""), place, lambda c, p: F.struct(c.alias("c"), p.alias("p"))),
         F.struct(F.lit(0).alias("n"), F.lit("").alias("out")),
         lambda a, x: F.struct((a["n"] + x["p"]).alias("n"), F.concat(a["out"], F.when(x["p"] == 1, F.substr(value, a["n"] + 1, F.lit(1))).otherwise(x["c"])).alias("out")),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substr(value, a["n"] + 1)),  # a longer surrogate goes on behind
     )
-    return F.when(kind.isin("card", "ssn", "phone", "iban"), laid).otherwise(value)
+    titled = F.concat(F.substring_index(mention, " ", 1), F.substr(value, F.instr(value, " ")))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), laid).when(kind == "name", titled).otherwise(value)
 
 
 def _agreed(entities: DataFrame) -> DataFrame:

@@ -220,6 +220,43 @@ PRIVATE = [
 ]
 
 
+FOREIGN = [
+    "γιώργος.παπαδόπουλος@παράδειγμα.ελ",
+    "йщъыьё@почта.рф and łżźć.ąę@przykład.pl and 山田٣٤@例え.jp",
+    "Mr Ωμέγα met Herr Łążźć and Mrs Շուշան and Господин Йщё",
+    "Mr. Xx saw Mr Xx and Mrs. Ελένη Παππά",
+]
+
+
+def test_surrogates_of_all_scripts(spark):
+    d = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pii_report(d).collect()}
+    keep = 0
+    for i, old in enumerate(FOREIGN):
+        for a, b in zip(old.split(), new[i].split(), strict=True):
+            if "@" in a:
+                x, y = a.split("@")[0], b.split("@")[0]
+                assert len(x) == len(y) and x != y and b.endswith(".example")
+                keep += sum(p == q for p, q in zip(x, y, strict=True) if p.isalnum())
+    assert keep <= 8  # by chance at most
+    words = [x.split() for x in new.values()]
+    assert not {"Ωμέγα", "Łążźć", "Շուշան", "Йщё", "Ελένη", "Παππά"} & {w for x in words for w in x}
+    assert words[3][:2] == ["Mr.", words[3][4]] and words[3][3] == "Mr" and words[3][6] == "Mrs."
+    assert all("Ͱ" <= c <= "Ͽ" for c in words[2][1] + words[3][7] + words[3][8])
+
+
+def test_surrogates_where_all_short_ones_are_taken(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("name", f"Mr {x.upper()}{y}") for x in letters for y in letters] + [("email", f"{x}@{y}.example") for x in letters for y in letters]
+    got = pii._agreed(stored(spark.createDataFrame(rows, "kind string, norm string"), "entities")).collect()
+    assert sorted((r.kind, r.norm) for r in got) == sorted(rows)
+    values = {(r.kind, r.value) for r in got}
+    assert len(values) == len(rows) and not values & set(rows)
+    longer = spark.createDataFrame([("card", "4539148803436467"), ("ssn", "123456789"), ("ip", "10.0.0.1")], "kind string, norm string")
+    out = {r.kind: r.v for r in longer.select("kind", pii.surrogate(F.col("kind"), F.col("norm"), F.lit(6)).alias("v")).collect()}
+    assert len(out["card"]) == 19 and luhn(out["card"]) and len(out["ssn"]) == 12 and out["ip"].count(".") == 6
+
+
 def luhn(s):
     d = [int(x) for x in s if x.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
