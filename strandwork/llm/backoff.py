@@ -11,8 +11,9 @@ the documents' own n-grams and are summed a document. The tables are thus exact
 a frequent n-gram is one entry a block, so that no key is hot. Rows are
 compressed, which their order makes worth while.
 
-N-grams are told apart by the partition's part of a 64-bit hash and 40 more bits: an n-gram meets another of the same
-partition with a chance of one in 2 ** 40 for each.
+N-grams are told apart by all 64 bits of a hash over the whole corpus (the partition and the place in it are its upper 32
+bits, the lower 32 follow) and are not verified: among N distinct n-grams, one is merged with another with a chance of
+about N / 2 ** 64.
 
 Blocks are found again by re-reading documents, so ``docs`` must give the same rows in the same partitions twice, as
 files do; the result of a shuffle must be stored first. A block that isn't found again raises an error.
@@ -105,19 +106,19 @@ def _unpack_small(b: bytes, n: int, at: int = 0) -> np.ndarray:
 
 
 def _pack_codes(place: np.ndarray, rest: np.ndarray, times: np.ndarray) -> bytes:
-    """A partition's n-grams of a block: rising 32-bit places as byte planes of their steps, 8 more bits, counts."""
+    """A partition's n-grams of a block: rising 32-bit places as byte planes of their steps, the hash's lower 32 bits, counts."""
     steps = np.diff(place, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    body = np.uint32(len(place)).tobytes() + steps.tobytes() + rest.astype(np.uint8).tobytes() + _pack_small(times)
+    body = np.uint32(len(place)).tobytes() + steps.tobytes() + rest.astype("<u4").tobytes() + _pack_small(times)
     return zstandard.ZstdCompressor(1).compress(body)
 
 
 def _unpack_codes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit codes and counts."""
+    """64-bit codes and counts."""
     b = zstandard.ZstdDecompressor().decompress(b)
     n = int(np.frombuffer(b, np.uint32, 1)[0])
     steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
-    code = np.cumsum(steps, dtype=np.uint64) << _U(8) | np.frombuffer(b, np.uint8, n, 4 + 4 * n)
-    return code, _unpack_small(b, n, 4 + 5 * n)
+    code = np.cumsum(steps, dtype=np.uint64) << _U(32) | np.frombuffer(b, "<u4", n, 4 + 4 * n)
+    return code, _unpack_small(b, n, 4 + 8 * n)
 
 
 def _counter(buckets: int):
@@ -150,10 +151,15 @@ def _join(table: pa.Table) -> pa.Table:
 
 
 def _tagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's documents in one compressed row."""
     kind = None
     for k, rows in enumerate(_blocks(_seen(batches, kinds := []))):
         kind = kind or kinds[0]
-        yield pa.RecordBatch.from_arrays([pa.array([_name(rows, k)] * len(rows), pa.int64()), pa.array([i for i, _ in rows], kind), pa.array([t for _, t in rows], pa.binary())], names=["block", "doc_id", "text"])
+        held = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], kind), pa.array([t for _, t in rows], pa.binary())], names=["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(held)
+        yield pa.RecordBatch.from_arrays([pa.array([_name(rows, k)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "held"])
 
 
 def _seen(batches, kinds: list):
@@ -187,7 +193,10 @@ def _log_scores(h, n, total, corpus) -> np.ndarray:
 
 
 def _scorer(corpus: int):
-    def score(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(held: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(held):
+            raise ValueError("the documents came in other partitions the second time; store them first")
+        docs = pa.concat_tables([pa.ipc.open_stream(v.as_buffer()).read_all() for v in held.column("held")])
         texts = [v.as_buffer().to_pybytes() for v in docs.column("text")]
         h, n = _tokens(texts)
         replies = replies.sort_by("bucket")
@@ -216,7 +225,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", raw("text").alias("text"))
     sent = rows.mapInArrow(_counter(buckets), "bucket long, block long, packed binary")
     totals = sent.groupBy("bucket").applyInArrow(_join, "block long, bucket long, n long, packed binary")
-    tagged = rows.mapInArrow(_tagger, f"block long, doc_id {kind}, text binary")
+    tagged = rows.mapInArrow(_tagger, "block long, held binary")
     return tagged.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _scorer(corpus), f"doc_id {kind}, n_words long, log_score double, mean_log_score double"
     )

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from strandwork.llm import backoff, components, jaccard, linededup, mixing, pii, toxicity
@@ -376,3 +378,12 @@ def test_toxicity_learns(spark, none):
     assert by[900].score == by[901].score == by[902].score == 0
     assert toxicity.toxicity_report(none, lab).count() == 0
     assert {r.score for r in toxicity.toxicity_report(d.limit(3), lab.limit(0)).collect()} == {0.0}
+
+
+def test_backoff_tells_all_bits_apart():
+    """N-grams whose hashes agree in the upper 32 and the lowest 8 bits keep their own counts."""
+    codes = np.array([0x500000107, 0x500000207, 0x5FFFFFF07, 0x600000107], np.uint64)
+    packed = [backoff._pack_codes((x >> np.uint64(32)).astype(np.uint32), x, np.full(len(x), t)) for x, t in ((codes[:3], 1), (codes[1:], 300))]
+    got = backoff._join(pa.table({"bucket": [0, 0], "block": [1, 2], "packed": pa.array(packed, pa.binary())}))
+    totals = [backoff._unpack_small(zstandard.ZstdDecompressor().decompress(v), n).tolist() for v, n in zip(got["packed"].to_pylist(), got["n"].to_pylist(), strict=True)]
+    assert totals == [[1, 301, 301], [301, 301, 300]]
