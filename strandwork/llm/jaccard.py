@@ -10,19 +10,24 @@ less H. While fewer than that many of its signatures are common, it shares an un
 links with. The allocation of segments weighs signatures against the chance of a set without a margin; such a set
 pays for one-deletion neighbourhoods of its segments and for single shingles besides, which makes up for it.
 
-Holders of a signature are never expanded into pairs: each is paired with the holder that has most
-company, pairs are verified on the
-whole sets, and links become components. Then only holders that are still in different components are paired, if they
-share enough signatures. Under common signatures only those whose margin is used up are, in blocks: the holders
-around a common first one are multiplied block by block in numpy. So no link between different texts is lost.
+Of the signatures that a set shares with others, only the rarest are followed, as many as its margin lets a linked set
+miss, and one more: in the order of their holders' number, the first that two linked sets have in common is among these
+for both. A set that shares fewer signatures than its margin is done. So a passage brings together only documents that
+have little else of their own.
+
+Holders of a signature are not expanded into pairs at first: each set is paired with the holder that shares most with
+it, pairs are verified on the whole sets, and links become components. Only holders of a signature that are then still
+in different components are compared: as pairs where they are few, else in blocks, those outside the largest component
+against all. So no link between different texts is lost.
 
 Signatures travel packed: a task sorts those of some megabytes of text by bucket and sends one row a bucket (4 bytes a
 signature, 2 for its place among the row's documents). They only propose pairs, so their truncation costs a few needless
 verifications. Shingles are compared as 64-bit hashes, equal sets as 128-bit hashes of those.
 
 Defined results: null and empty texts and texts without words have empty sets and link with nothing, so they are their
-own component; a text with fewer words than a shingle is one shingle. Rows with equal ids are told apart by text;
-a null id never is the smallest id of a component unless there is no other. Repeated rows share a component.
+own component; a text with fewer words than a shingle is one shingle. Rows with equal ids, or none, are told apart by
+their texts' hashes and sets; a null id never is the smallest id of a component unless there is no other. Repeated rows
+share a component. Columns besides doc_id and text are not read; one_of_each keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +48,10 @@ from strandwork.llm.components import components
 WIDTH = 5
 #: Similarity as a fraction of integers, so that the bound is exact.
 NUM, DEN = 3, 4
-#: Holders beyond which a signature is common; documents whose ids may be broadcast; signatures a bucket.
+#: Holders of a signature beyond which they are compared in blocks, not as pairs; documents whose ids may be broadcast; signatures a bucket.
 COMMON, MAX_BROADCAST, BUCKET = 64, 1_000_000, 2_000_000
-#: Sets of a crowd in a block.
-CROWD = 1024
+#: A block's minor members, members, and shingles.
+MINORS, MEMBERS, BLOCK_WORDS = 512, 1024, 1 << 20
 FLUSH = 16 << 20
 
 _U = np.uint64
@@ -84,10 +89,11 @@ def _profile(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
-@F.arrow_udf(T.StructType([T.StructField("shingles", T.BinaryType()), T.StructField("profile", T.BinaryType())]))
+@F.arrow_udf(T.StructType([T.StructField(x, T.BinaryType()) for x in ("key", "shingles", "profile")]))
 def _set_bytes(texts: pa.Array) -> pa.Array:
     sets = [shingles(t) for t in texts.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_profile(s) for s in sets], pa.binary())], names=["shingles", "profile"])
+    cols = [[f(s) for s in sets] for f in (_key, np.ndarray.tobytes, _profile)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["key", "shingles", "profile"])
 
 
 @F.arrow_udf(T.LongType())
@@ -204,25 +210,14 @@ def _packer(bands, first_bucket, n_buckets):
     return pack
 
 
-_FOUND = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("a", T.LongType()), ("b", T.LongType()), ("n", T.IntegerType()), ("band", T.IntegerType()))])
+_FOUND = "gid long, ref long, x long, size int, times int, band int, margin int"
 
 
 def _finder(first_bucket):
-    """kind 0: b is in the group a of holders of n >> 1 signatures; n & 1 if these are common.
-
-    kind 1: of document a, b = signatures that it shares << 20 | those that are common, and its margin n.
-    kind 2: of document a, b = holders of its signatures, summed: of near copies, the one in their midst has most.
-    """
+    """All signatures of a bucket -> a row for each holder ``ref`` of each group of signatures with the same ``size``
+    holders: how many signatures it stands for, the holder's margin, and ``x``, the other holder with most company."""
 
     def find(table: pa.Table) -> pa.Table:
-        out = [[np.empty(0, np.int64)] for _ in range(5)]
-
-        def put(kind, a, b, n, band):
-            size = max(np.size(a), np.size(b))
-            for col, v in zip(out, (kind, a, b, n, band), strict=True):
-                v = np.asarray(v)
-                col.append(np.broadcast_to(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64), size))
-
         band = int(np.searchsorted(first_bucket, table.column("bucket")[0].as_py(), "right") - 1)
         sigs, refs, margins = [], [], []
         for v in table.column("packed"):
@@ -242,25 +237,27 @@ def _finder(first_bucket):
         twice = order[same | np.concatenate([same[1:], [False]])]
         order = twice[np.lexsort((ref[twice], sig[twice]))]
         sig, ref, margin = sig[order], ref[order], margin[order]
-        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])]) if len(sig) else np.empty(0, bool)
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])])[: len(sig)]
         sig, ref, margin = sig[once], ref[once], margin[once]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
         size = np.diff(np.append(start, len(sig)))
-        shared = size > 1
-        groups: dict[int, list[int]] = {}
-        for i in np.flatnonzero(shared).tolist():
-            gid = xxhash.xxh3_64_intdigest(ref[start[i] : start[i] + size[i]].tobytes(), band)
-            groups.setdefault(gid, [start[i], size[i], 0])[2] += 1
-        for gid, (x, n, times) in groups.items():
-            put(0, _U(gid), ref[x : x + n], times << 1 | int(n > COMMON), band)
-        each = np.repeat(size, size)
-        if shared.any():
-            r, first, at = np.unique(ref[each > 1], return_index=True, return_inverse=True)
-            common = np.bincount(at, (each > COMMON)[each > 1]).astype(np.int64)
-            put(1, r, np.bincount(at) << 20 | common, margin[each > 1][first], band)
-            put(2, r, np.bincount(at, each[each > 1]).astype(np.int64), 0, band)
-        cols = [np.concatenate(c) for c in out]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=_FOUND.names)
+        # one signature stands for all with the same holders
+        gid = np.add.reduceat(mix64(ref), start) if len(start) else np.empty(0, np.uint64)
+        gid = mix64(gid ^ (size.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(band)))
+        _, lead, times = np.unique(gid, return_index=True, return_counts=True)
+        lead, times = lead[size[lead] > 1], times[size[lead] > 1]
+        length = size[lead]
+        at = np.repeat(start[lead] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        group = np.repeat(np.arange(len(lead)), length)
+        held = ref[at]
+        who, back = np.unique(held, return_inverse=True)
+        company = np.bincount(back, (length * times)[group], len(who))[back] if len(who) else np.empty(0)
+        by = np.lexsort((held, -company, group))  # each group's holders, the one with most company first
+        first = np.cumsum(length) - length
+        x = held[by][first][group]
+        x = np.where(x == held, held[by][first + 1][group], x)
+        cols = (gid[lead][group].view(np.int64), held.view(np.int64), x.view(np.int64), length[group].astype(np.int32), times[group].astype(np.int32), np.full(len(at), band, np.int32), margin[at].astype(np.int32))
+        return pa.table([pa.array(c) for c in cols], names=["gid", "ref", "x", "size", "times", "band", "margin"])
 
     return find
 
@@ -284,46 +281,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """ref, key, n and shingles of the classes that pairs need, from the text of one document each."""
-    refs = pairs.select(F.col("a").alias("ref")).union(pairs.select("b"))
-    need = stored(classes.join(refs.distinct(), "ref").select("ref", "key", "n", F.col("rep").alias("id")), "needed")
+def _sets_of(refs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """ref, key, n, shingles and profile of the classes with these refs, from the text of one document each."""
+    need = stored(classes.join(refs, "ref", "left_semi").select("ref", "key", "n", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("hash")), "needed")
     if need.count() <= MAX_BROADCAST:
         need = F.broadcast(need)
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw("text").alias("t"))
     return stored(
-        docs.select("doc_id", raw("text").alias("t"))
-        .join(need, F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("ref", "key", "n", _set_bytes("t").alias("x"))
-        .select("ref", "key", "n", "x.shingles", "x.profile")
-        .where(F.octet_length("shingles") == 8 * F.col("n"))
+        text.join(need, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("hash")))
+        .select("ref", F.col("key").alias("wanted"), "n", _set_bytes("t").alias("x"))
+        .select("ref", "wanted", "n", "x.*")
+        .where("key = wanted")  # other texts may have the same id and hash
+        .drop("wanted")
         .dropDuplicates(["key"]),
         "sets",
     )
 
 
-def _torn(held: DataFrame, group: str) -> DataFrame:
-    """The rows of groups whose labels differ."""
-    torn = held.groupBy(group).agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select(group)
-    return stored(held.join(stored(torn, "torn"), group, "left_semi"), "held")
-
+def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """held (crowd, ref, label, minor, n): members of crowds -> linked pairs (a, b) of keys that join labels.
 
-def _crowds(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """crowd (x, b, label): holders b around x -> linked pairs (a, b) of keys that join labels, a spanning few of them.
-
-    A crowd is dealt into blocks of bounded size, and each pair of blocks is multiplied in one task; only the links that
-    join something leave it.
+    Only the minor members, those outside the crowd's largest component, are compared with all. Members are dealt by
+    size, in steps of which at most two lie between sets that link, and into blocks of bounded size; a task multiplies a
+    block of minor members by a block of members.
     """
-    full = crowd.join(sets.select(F.col("ref").alias("b"), "key", "n", "shingles"), "b").drop("b")
-    blocks = full.groupBy("x").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n") / (1 << 20))).cast("int").alias("blocks"))
-    h = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = full.join(blocks, "x").withColumn("h", h).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("x", F.least("h", "other").alias("i"), F.greatest("h", "other").alias("j"), "key", "label", "n", "shingles")
-    return dealt.groupBy("x", "i", "j").applyInArrow(_multiplied, "a binary, b binary")
+    held = held.withColumn("step", F.floor(F.log(F.col("n")) / math.log(math.sqrt(DEN / NUM))).cast("int"))
+    blocks = lambda most: F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int")
+    left = held.where("minor").groupBy("crowd", "step").agg(blocks(MINORS).alias("blocks")).select("crowd", F.col("step").alias("step_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("blocks").alias("of_a"))
+    right = held.groupBy("crowd", "step").agg(blocks(MEMBERS).alias("blocks")).select("crowd", F.col("step").alias("step_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("blocks").alias("of_b"))
+    # a set's reach is (4/3) times its size, two steps; a third for what rounding takes
+    cells = stored(left.join(right, "crowd").where("abs(step_a - step_b) <= 3"), "cells")
+    part = lambda of: F.pmod(F.xxhash64("ref"), F.col(of)).cast("int")
+    cell = ["crowd", "step_a", "i", "step_b", "j"]
+    dealt = None
+    for side, step, of, no in ((True, "step_a", "of_a", "i"), (False, "step_b", "of_b", "j")):
+        mine = held.where("minor") if side else held
+        sizes = cells.select("crowd", step, of).distinct()
+        mine = mine.withColumnRenamed("step", step).join(sizes, ["crowd", step]).withColumn(no, part(of)).select("crowd", step, no, "ref", "label")
+        mine = mine.join(cells.select(*cell), ["crowd", step, no]).select(*cell, "ref", "label", F.lit(side).alias("minor"))
+        dealt = mine if dealt is None else dealt.union(mine)
+    return dealt.join(sets.select("ref", "key", "n", "shingles"), "ref").drop("ref").groupBy(*cell).applyInArrow(_multiplied, "a binary, b binary")
 
 
 def _multiplied(table: pa.Table) -> pa.Table:
-    """The links of a pair of blocks that join labels."""
+    """The links between a block of minor members and a block of members that join labels, a spanning few of them."""
     keys, n = table.column("key").to_pylist(), table.column("n").to_numpy()
+    minor = table.column("minor").to_numpy(zero_copy_only=False)
     _, label = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)
     flat = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")])
     row = np.repeat(np.arange(len(keys)), n)
@@ -332,14 +335,19 @@ def _multiplied(table: pa.Table) -> pa.Table:
     row, col = row[use], np.unique(col[use], return_inverse=True)[1]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    shared = np.zeros((len(keys), len(keys)), np.float32)
+    a, b = np.flatnonzero(minor), np.flatnonzero(~minor)
+    place = np.empty(len(keys), np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+    shared = np.zeros((len(a), len(b)), np.float32)
     width = 2048
     for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [start, start + width])
-        part = np.zeros((len(keys), width), np.float32)
-        part[row[a:b], col[a:b] - start] = 1
-        shared += part @ part.T
-    x, y = np.nonzero((DEN * shared >= NUM * (n[:, None] + n[None, :] - shared)) & (label[:, None] < label[None, :]))
+        p, q = np.searchsorted(col, [start, start + width])
+        r, c = row[p:q], col[p:q] - start
+        left, right = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        left[place[r[minor[r]]], c[minor[r]]] = 1
+        right[place[r[~minor[r]]], c[~minor[r]]] = 1
+        shared += left @ right.T
+    x, y = np.nonzero((DEN * shared >= NUM * (n[a][:, None] + n[b][None, :] - shared)) & (label[a][:, None] != label[b][None, :]))
     up = list(range(int(label.max()) + 1))
 
     def top(i: int) -> int:
@@ -349,7 +357,7 @@ def _multiplied(table: pa.Table) -> pa.Table:
         return i
 
     left, right = [], []
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+    for i, j in zip(a[x].tolist(), b[y].tolist(), strict=True):
         p, q = top(label[i]), top(label[j])
         if p != q:
             up[p] = q
@@ -358,6 +366,17 @@ def _multiplied(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
+def _likely(found: DataFrame) -> DataFrame:
+    """ref, band, x (the holder that shares most signatures), gids: the rarest of the signatures that a set shares, as
+    many as a linked set can't all miss."""
+    w = Window.partitionBy("ref", "band")
+    before = F.coalesce(F.sum("times").over(w.orderBy("size", "gid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = found.repartition("ref", "band").withColumn("shared", F.sum("times").over(w)).where("shared >= margin").withColumn("before", before)
+    rows = rows.where("before <= shared - margin")
+    best = rows.groupBy("ref", "band", "x").agg(F.sum("times").alias("t"), F.collect_set("gid").alias("g"))
+    return best.groupBy("ref", "band").agg(F.max(F.struct("t", "x"))["x"].alias("x"), F.array_distinct(F.flatten(F.collect_list("g"))).alias("gids"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> a row for each row: doc_id, text_key (a hash of the text), n_shingles, key (equal sets have
     equal keys), component (a key of its component; null for empty sets), component_id."""
@@ -365,7 +384,8 @@ def link(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     nodes = stored(docs.withColumn("x", _node(raw("text"))).select("doc_id", F.xxhash64("text").alias("text_key"), "x.n", "x.key"), "nodes")
     ref = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    classes = stored(nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("ref", ref), "classes")
+    classes = nodes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"))
+    classes = stored(classes.withColumn("ref", ref), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 1
     bands = bands_to(largest)
     # signatures a band, to deal out the buckets: at most one row a band
@@ -376,45 +396,28 @@ def link(docs: DataFrame) -> DataFrame:
     n_buckets = np.array([max(1, math.ceil(buckets * x / max(1, sum(load)))) for x in load], np.int64)
     first_bucket = np.concatenate([[0], np.cumsum(n_buckets)[:-1]])
     packed = docs.select(raw("text").alias("t")).mapInArrow(_packer(bands, first_bucket, n_buckets), "bucket long, packed binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(_finder(first_bucket), _FOUND), "found")
-
-    # a set that links shares at least its margin of signatures; few others get here
-    b = F.col("b")
-    docs_in = found.where("kind > 0").groupBy("a", "band").agg(
-        F.sum(F.when(F.col("kind") == 1, F.shiftright(b, 20))).alias("shared"),
-        F.sum(F.when(F.col("kind") == 1, b.bitwiseAND((1 << 20) - 1))).alias("common"),
-        F.min(F.when(F.col("kind") == 1, F.col("n"))).alias("margin"),
-        F.sum(F.when(F.col("kind") == 2, b)).alias("company"),
-    )
-    likely = stored(docs_in.where("shared >= margin").select(F.col("a").alias("b"), "band", "common", "margin", "company"), "likely")
-    held = found.where("kind = 0").join(likely, ["b", "band"])
-    held = held.withColumn("hot", F.col("n") % 2 == 1)
-    held = stored(held.groupBy("a", "b", "band", "hot", "common", "margin", "company").agg(F.sum(F.shiftright("n", 1)).alias("times")), "held")
-    midst = F.max(F.struct("company", "b"))["b"].alias("x")
-    first = stored(held.groupBy("a").agg(midst, F.count("*").alias("size")).where("size > 1").select("a", "x"), "first")
-    pairs = held.join(first, "a").where("x <> b").groupBy("x", "b", "band", "margin").agg(F.sum("times").alias("times"))
-    # many of a pair's signatures have other holders in their midst, so half a margin is enough; the rest comes later
-    pairs = stored(pairs.where("2 * times >= margin").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct(), "pairs")
-    links = stored(_verified(pairs, _sets_of(pairs, classes, docs)), "links")
+    found = packed.groupBy("bucket").applyInArrow(_finder(first_bucket), _FOUND)
+    held = stored(_likely(found), "held")
+
+    # each set with the one that shares most of its rare signatures
+    sets = _sets_of(held.select("ref").union(held.select("x")).distinct(), classes, docs)
+    pairs = stored(held.select(F.least("ref", "x").alias("a"), F.greatest("ref", "x").alias("b")).distinct(), "pairs")
+    links = stored(_verified(pairs, sets), "links")
     label = components(links)  # node, label: keys
 
-    # holders that are not yet in one component; sets without a link are their own label
-    named = classes.join(likely.select(F.col("b").alias("ref")).distinct(), "ref").join(label, F.col("key") == F.col("node"), "left")
-    named = named.select(F.col("ref").alias("b"), F.coalesce("label", "key").alias("label"))
-    held = stored(held.where("NOT hot OR common >= margin").join(named, "b"), "open")
-    cold = _torn(held.where("NOT hot"), "a")
-    parts = cold.select("a", "label").distinct()
-    apart = parts.toDF("a", "label_x").join(parts.toDF("a", "label_y"), "a").where("label_x < label_y")
-    side = lambda p: cold.select("a", "band", *[F.col(c).alias(f"{c}_{p}") for c in ("b", "label", "times", "common", "margin")])
-    met = apart.join(side("x"), ["a", "label_x"]).join(side("y"), ["a", "band", "label_y"])
-    met = met.groupBy(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b"), "band").agg(
-        F.sum("times_x").alias("times"), F.max(F.least("common_x", "common_y")).alias("common"), F.max(F.greatest("margin_x", "margin_y")).alias("margin")
-    )
-    more = stored(met.where("times + common >= margin").select("a", "b").distinct(), "more")
-    crowd = held.where("hot").join(first, "a").select("x", "b", "label").distinct()
-    crowd = _torn(stored(crowd, "crowd"), "x")
-    late_sets = _sets_of(more.union(crowd.select(F.col("b").alias("a"), "b")), classes, docs)
-    late = stored(_verified(more, late_sets).union(_crowds(crowd, late_sets)).distinct(), "late")
+    # holders of a signature that are not yet in one component; sets without a link are their own label
+    named = classes.select("ref", "key", "n").join(held.select("ref").distinct(), "ref", "left_semi").join(label, F.col("key") == F.col("node"), "left")
+    named = stored(named.select("ref", "n", F.coalesce("label", "key").alias("label")), "named")
+    member = held.join(named, "ref").select("ref", "n", "label", F.explode("gids").alias("gid"))
+    count = member.groupBy("gid", "label").agg(F.count("*").alias("k")).groupBy("gid").agg(F.max(F.struct("k", "label"))["label"].alias("crowd"), F.sum("k").alias("k"), F.count("*").alias("labels"))
+    torn = stored(count.where("labels > 1").select("gid", "crowd", "k"), "torn")
+    member = stored(member.join(torn, "gid"), "open")
+    few = member.where(F.col("k") <= COMMON)
+    side = lambda p: few.select("gid", *[F.col(c).alias(f"{c}_{p}") for c in ("ref", "n", "label")])
+    met = side("x").join(side("y"), "gid").where("label_x < label_y").where(NUM * F.greatest("n_x", "n_y") <= DEN * F.least("n_x", "n_y"))
+    more = stored(met.select(F.least("ref_x", "ref_y").alias("a"), F.greatest("ref_x", "ref_y").alias("b")).distinct(), "more")
+    crowd = member.where(F.col("k") > COMMON).select("crowd", "ref", "label", "n", (F.col("label") != F.col("crowd")).alias("minor")).distinct()
+    late = stored(_verified(more, sets).union(_crowds(stored(crowd, "crowd"), sets)).distinct(), "late")
     # components of components
     via = label.select(F.col("node").alias("k"), F.col("label").alias("l"))
     late = late.join(via.toDF("a", "la"), "a", "left").join(via.toDF("b", "lb"), "b", "left")
@@ -451,3 +454,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if gone.count() <= MAX_BROADCAST:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(k)), "left_anti")
+
+
+#: The same rows in DuckDB's SQL, by way of all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+d AS (
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda p: array_to_string(list_slice(words, p, p + 4), ' ')) END) AS shingles
+  FROM w),
+s AS (SELECT rid, len(shingles) AS n, unnest(shingles) AS shingle FROM d),
+l AS (
+  SELECT a.rid AS x, b.rid AS y
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x, min(d.doc_id) AS least_id FROM r JOIN d ON r.y = d.rid GROUP BY r.x)
+SELECT d.doc_id, len(d.shingles)::BIGINT AS n_shingles, c.least_id AS component_id
+FROM d JOIN c ON c.x = d.rid
+"""

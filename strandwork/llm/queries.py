@@ -63,4 +63,4 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES = {"op3_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL}
+ORACLES = {"op3_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL}

@@ -128,6 +128,20 @@ def test_jaccard_random(spark, monkeypatch, seed, limit, common):
     assert got == {i: (len(brute.shingle_set(t)), c) for (i, t), c in zip(rows, ids, strict=True)}
 
 
+def test_jaccard_equal_ids(spark):
+    """Different texts under one id, or none, with equally many shingles; links by either of them count."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6):
+        w, v = prose(rng, 40).split(), prose(rng, 40).split()
+        one, two = [*w[:-1], "x"], [*v[:-1], "y"]
+        shared = 100 + i if i < 4 else None
+        rows += [(20 + i, " ".join(w)), (shared, " ".join(one)), (shared, " ".join(two)), (40 + i, " ".join(v))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter((i, len(brute.shingle_set(t)), c) for (i, t), c in zip(rows, brute.components(rows), strict=True))
+    assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 12
+
+
 def test_jaccard_without_margin(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "segments_for", lambda u: u // 3 + 1)  # many sets without a margin
     rows = near_copies(4, 0.3)
