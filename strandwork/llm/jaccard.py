@@ -52,7 +52,7 @@ NUM, DEN = 3, 4
 COMMON, MAX_BROADCAST, BUCKET = 64, 1_000_000, 2_000_000
 #: A block's minor members, members, and shingles.
 MINORS, MEMBERS, BLOCK_WORDS = 512, 1024, 1 << 20
-FLUSH = 16 << 20
+FLUSH = 8 << 20
 
 _U = np.uint64
 
@@ -84,23 +84,32 @@ def _node(texts: pa.Array) -> pa.Array:
 _node = _node.asNondeterministic()
 
 
-def _profile(s: np.ndarray) -> bytes:
-    """Shingles in each of 64 parts of the universe, 255 for more."""
-    return np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+def _parities(s: np.ndarray) -> bytes:
+    """Whether each of 2 to 4 times as many parts of the universe as the set has shingles holds an odd number of them."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
 
-@F.arrow_udf(T.StructType([T.StructField(x, T.BinaryType()) for x in ("key", "shingles", "profile")]))
+@F.arrow_udf(T.StructType([T.StructField(x, T.BinaryType()) for x in ("key", "shingles", "parities")]))
 def _set_bytes(texts: pa.Array) -> pa.Array:
     sets = [shingles(t) for t in texts.to_pylist()]
-    cols = [[f(s) for s in sets] for f in (_key, np.ndarray.tobytes, _profile)]
-    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["key", "shingles", "profile"])
+    cols = [[f(s) for s in sets] for f in (_key, np.ndarray.tobytes, _parities)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["key", "shingles", "parities"])
+
+
+def _folded(parities: bytes, size: int) -> np.ndarray:
+    """The parities of fewer parts: the parts with the same lower bits of their number, joined."""
+    return np.bitwise_xor.reduce(np.frombuffer(parities, np.uint8).reshape(-1, size), axis=0)
 
 
 @F.arrow_udf(T.LongType())
 def _least_difference(left: pa.Array, right: pa.Array) -> pa.Array:
-    """What two sets differ in at least, by their profiles."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for c in (left, right))
-    return pa.array(np.abs(x - y).sum(1))
+    """What two sets differ in at least: each shingle that only one has changes one parity."""
+    out = []
+    for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+        size = min(len(a), len(b))
+        out.append(int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()))
+    return pa.array(out, pa.int64())
 
 
 _set_bytes = _set_bytes.asNondeterministic()  # else a later filter takes it below the join, to every text
@@ -201,7 +210,7 @@ def _packer(bands, first_bucket, n_buckets):
                 if len(s):
                     sets[_key(s)] = s  # copies within a flush sign once
                     size += 8 * len(s)
-                if size > FLUSH or len(sets) > 60_000:
+                if size > FLUSH or len(sets) > 30_000:
                     yield from flush()
                     sets.clear()
                     size = 0
@@ -264,17 +273,20 @@ def _finder(first_bucket):
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of refs -> linked pairs (a, b) of keys. A ref that two keys share brings both, and both are verified."""
-    size = sets.select("ref", "key", "n", "profile")
+    size = sets.select("ref", "key", "n", "parities")
     near = (
         pairs.join(size.toDF("a", "ka", "na", "pa"), "a")
         .join(size.toDF("b", "kb", "nb", "pb"), "b")
         .where((NUM * F.greatest("na", "nb") <= DEN * F.least("na", "nb")) & (F.col("ka") != F.col("kb")))
     )
-    # sets differ at least as much as their profiles do; most pairs that share a passage go here, before any set moves
-    near = near.where((NUM + DEN) * _least_difference("pa", "pb") <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("ka", "kb")
+    # nearly all pairs that don't link go here, before any set moves
+    near = stored(near.where((NUM + DEN) * _least_difference("pa", "pb") <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("ka", "kb"), "near")
     whole = sets.select("key", "shingles")
+    if near.count() <= MAX_BROADCAST:
+        near = F.broadcast(near)
     return (
-        near.join(whole.toDF("kb", "sb"), "kb")
+        whole.toDF("kb", "sb")
+        .join(near, "kb")
         .join(whole.toDF("ka", "sa"), "ka")
         .where(_linked("sa", "sb"))
         .select(F.col("ka").alias("a"), F.col("kb").alias("b"))
@@ -282,7 +294,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets_of(refs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """ref, key, n, shingles and profile of the classes with these refs, from the text of one document each."""
+    """ref, key, n, shingles and parities of the classes with these refs, from the text of one document each."""
     need = stored(classes.join(refs, "ref", "left_semi").select("ref", "key", "n", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("hash")), "needed")
     if need.count() <= MAX_BROADCAST:
         need = F.broadcast(need)
@@ -367,14 +379,14 @@ def _multiplied(table: pa.Table) -> pa.Table:
 
 
 def _likely(found: DataFrame) -> DataFrame:
-    """ref, band, x (the holder that shares most signatures), gids: the rarest of the signatures that a set shares, as
-    many as a linked set can't all miss."""
+    """ref, band, margin, x (the holder that shares most of the following), groups: the rarest of the signatures that a
+    set shares, as many as a linked set can't all miss, each with the number of those that are no rarer."""
     w = Window.partitionBy("ref", "band")
-    before = F.coalesce(F.sum("times").over(w.orderBy("size", "gid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = found.repartition("ref", "band").withColumn("shared", F.sum("times").over(w)).where("shared >= margin").withColumn("before", before)
-    rows = rows.where("before <= shared - margin")
-    best = rows.groupBy("ref", "band", "x").agg(F.sum("times").alias("t"), F.collect_set("gid").alias("g"))
-    return best.groupBy("ref", "band").agg(F.max(F.struct("t", "x"))["x"].alias("x"), F.array_distinct(F.flatten(F.collect_list("g"))).alias("gids"))
+    rows = found.repartition("ref", "band").groupBy("ref", "band", "margin", "gid", "size").agg(F.sum("times").alias("times"), F.max_by("x", "times").alias("x"))
+    rest = F.sum("times").over(w.orderBy(F.desc("size"), F.desc("gid")))
+    rows = rows.withColumn("shared", F.sum("times").over(w)).where("shared >= margin").withColumn("rest", rest).where("rest >= margin")
+    best = rows.groupBy("ref", "band", "margin", "x").agg(F.sum("times").alias("t"), F.collect_list(F.struct("gid", "rest")).alias("g"))
+    return best.groupBy("ref", "band", "margin").agg(F.max(F.struct("t", "x"))["x"].alias("x"), F.flatten(F.collect_list("g")).alias("groups"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -408,13 +420,19 @@ def link(docs: DataFrame) -> DataFrame:
     # holders of a signature that are not yet in one component; sets without a link are their own label
     named = classes.select("ref", "key", "n").join(held.select("ref").distinct(), "ref", "left_semi").join(label, F.col("key") == F.col("node"), "left")
     named = stored(named.select("ref", "n", F.coalesce("label", "key").alias("label")), "named")
-    member = held.join(named, "ref").select("ref", "n", "label", F.explode("gids").alias("gid"))
+    # non-empty segments, of which a linked set misses as many as the two differ in at most
+    limit = F.when(F.size(F.filter(low, lambda x: x <= F.col("n"))) == F.col("band") + 1, F.floor(F.col("n") / 3)).otherwise(F.floor(2 * F.col("n") / 7))
+    segments = F.when(F.col("margin") > 0, F.col("margin") + limit).otherwise(0).cast("int").alias("segments")
+    member = held.join(named, "ref").select("ref", "n", "label", segments, F.explode("groups").alias("g")).select("ref", "n", "label", "segments", "g.gid", F.col("g.rest").cast("int").alias("rest"))
     count = member.groupBy("gid", "label").agg(F.count("*").alias("k")).groupBy("gid").agg(F.max(F.struct("k", "label"))["label"].alias("crowd"), F.sum("k").alias("k"), F.count("*").alias("labels"))
     torn = stored(count.where("labels > 1").select("gid", "crowd", "k"), "torn")
     member = stored(member.join(torn, "gid"), "open")
     few = member.where(F.col("k") <= COMMON)
-    side = lambda p: few.select("gid", *[F.col(c).alias(f"{c}_{p}") for c in ("ref", "n", "label")])
+    side = lambda p: few.select("gid", *[F.col(c).alias(f"{c}_{p}") for c in ("ref", "n", "label", "segments", "rest")])
+    # the first signature that two linked sets have in common leaves both with as many as they must share
+    most = F.floor((DEN - NUM) * (F.col("n_x") + F.col("n_y")) / (DEN + NUM))
     met = side("x").join(side("y"), "gid").where("label_x < label_y").where(NUM * F.greatest("n_x", "n_y") <= DEN * F.least("n_x", "n_y"))
+    met = met.where(F.least("rest_x", "rest_y") >= F.greatest("segments_x", "segments_y") - most)
     more = stored(met.select(F.least("ref_x", "ref_y").alias("a"), F.greatest("ref_x", "ref_y").alias("b")).distinct(), "more")
     crowd = member.where(F.col("k") > COMMON).select("crowd", "ref", "label", "n", (F.col("label") != F.col("crowd")).alias("minor")).distinct()
     late = stored(_verified(more, sets).union(_crowds(stored(crowd, "crowd"), sets)).distinct(), "late")
