@@ -48,8 +48,8 @@ from strandwork.llm.components import components
 WIDTH = 5
 #: Similarity as a fraction of integers, so that the bound is exact.
 NUM, DEN = 3, 4
-#: Holders of a signature beyond which they are compared in blocks, not as pairs; documents whose ids may be broadcast; signatures a bucket.
-COMMON, MAX_BROADCAST, BUCKET = 64, 1_000_000, 2_000_000
+#: Holders of a signature beyond which they are compared in blocks, not as pairs; ids or pairs that may be broadcast; signatures a bucket.
+COMMON, MAX_BROADCAST, BUCKET = 64, 250_000, 2_000_000
 #: A block's minor members, members, and shingles.
 MINORS, MEMBERS, BLOCK_WORDS = 512, 1024, 1 << 20
 FLUSH = 8 << 20
