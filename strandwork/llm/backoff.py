@@ -11,12 +11,13 @@ the documents' own n-grams and are summed a document. The tables are thus exact
 a frequent n-gram is one entry a block, so that no key is hot. Rows are
 compressed, which their order makes worth while.
 
-N-grams are told apart by all 64 bits of a hash over the whole corpus (the partition and the place in it are its upper 32
-bits, the lower 32 follow) and are not verified: among N distinct n-grams, one is merged with another with a chance of
-about N / 2 ** 64.
+N-grams are told apart by a hash over the whole corpus and are not verified: the partition and the place in it are its
+upper 32 bits, and as many bytes of the rest follow as keep the chance that an n-gram is merged with another below
+2 ** -MARGIN at the corpus' own size (56 bits up to 4 billion n-grams, then 64). Rows a (n-gram, document) pair would
+take some twelve times the input on disk, hence the packing.
 
-Blocks are found again by re-reading documents, so ``docs`` must give the same rows in the same partitions twice, as
-files do; the result of a shuffle must be stored first. A block that isn't found again raises an error.
+Blocks are found again by re-reading documents in the same partitions, as files give them; documents that come out of a
+shuffle are stored first. A block that isn't found again raises an error. Columns besides doc_id and text are not read.
 
 Defined results: tokens are A-Z lower-cased runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]; null and empty texts and texts
 without tokens have score null and 0 words. A word found in no other document has the share 0.4 of one word. Repeated
@@ -37,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import alnum_words, mix64, raw, word_hashes
+from strandwork.llm.common import alnum_words, mix64, raw, stored, word_hashes
 
 ALPHA = 0.4
 ORDER = 3
+#: Bits that tell n-grams apart beyond those that number them.
+MARGIN = 24
 #: Text of a block in bytes; n-grams a partition of the count tables.
 BLOCK, BUCKET = 6 << 20, 2_000_000
 
@@ -105,23 +108,32 @@ def _unpack_small(b: bytes, n: int, at: int = 0) -> np.ndarray:
     return x
 
 
-def _pack_codes(place: np.ndarray, rest: np.ndarray, times: np.ndarray) -> bytes:
-    """A partition's n-grams of a block: rising 32-bit places as byte planes of their steps, the hash's lower 32 bits, counts."""
+def rest_bytes(corpus: int) -> int:
+    """Bytes of a hash beyond its upper 32 bits, for a corpus of so many words."""
+    return min(4, max(1, math.ceil((math.log2(max(2, ORDER * corpus)) + MARGIN - 32) / 8)))
+
+
+def _pack_codes(place: np.ndarray, code: np.ndarray, times: np.ndarray, rest: int) -> bytes:
+    """A partition's n-grams of a block: rising 32-bit places as byte planes of their steps, more bytes of the hash, counts."""
     steps = np.diff(place, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    body = np.uint32(len(place)).tobytes() + steps.tobytes() + rest.astype("<u4").tobytes() + _pack_small(times)
+    more = code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 4 - rest :].T
+    body = np.uint32(len(place)).tobytes() + steps.tobytes() + more.tobytes() + _pack_small(times)
     return zstandard.ZstdCompressor(1).compress(body)
 
 
-def _unpack_codes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes and counts."""
+def _unpack_codes(b: bytes, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes within the partition, and counts."""
     b = zstandard.ZstdDecompressor().decompress(b)
     n = int(np.frombuffer(b, np.uint32, 1)[0])
-    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
-    code = np.cumsum(steps, dtype=np.uint64) << _U(32) | np.frombuffer(b, "<u4", n, 4 + 4 * n)
-    return code, _unpack_small(b, n, 4 + 8 * n)
+    plane = lambda width, at: np.frombuffer(b, np.uint8, width * n, at).reshape(width, n).T
+    steps = np.ascontiguousarray(plane(4, 4)).view("<u4").ravel()
+    more = np.zeros((n, 4), np.uint8)
+    more[:, 4 - rest :] = plane(rest, 4 + 4 * n)
+    code = np.cumsum(steps, dtype=np.uint64) << _U(32) | more.view("<u4").ravel()
+    return code, _unpack_small(b, n, 4 + (4 + rest) * n)
 
 
-def _counter(buckets: int):
+def _counter(buckets: int, rest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, rows in enumerate(_blocks(batches)):
             h, n = _tokens([t for _, t in rows])
@@ -132,22 +144,26 @@ def _counter(buckets: int):
             spread = (code >> _U(32)) * _U(buckets)  # rises with the code: the partition, then the place in it
             bucket, within = spread >> _U(32), spread.astype(np.uint32)
             cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(code)]])
-            out = [(int(bucket[a]), _pack_codes(within[a:b], code[a:b], times[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            out = [(int(bucket[a]), _pack_codes(within[a:b], code[a:b], times[a:b], rest)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             block = _name(rows, k)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "packed"])
 
     return count
 
 
-def _join(table: pa.Table) -> pa.Table:
+def _joiner(rest: int):
     """A partition of the count tables: every block's n-grams get their totals."""
-    codes, times = zip(*(_unpack_codes(v.as_buffer().to_pybytes()) for v in table.column("packed")), strict=True)
-    size = np.cumsum([0, *map(len, codes)])
-    _, at = np.unique(np.concatenate(codes), return_inverse=True)
-    total = np.bincount(at, np.concatenate(times)).astype(np.int64)[at]
-    packed = [zstandard.ZstdCompressor(1).compress(_pack_small(total[a:b])) for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
-    sizes = [b - a for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
-    return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bucket", "n", "packed"])
+
+    def join(table: pa.Table) -> pa.Table:
+        codes, times = zip(*(_unpack_codes(v.as_buffer().to_pybytes(), rest) for v in table.column("packed")), strict=True)
+        size = np.cumsum([0, *map(len, codes)])
+        _, at = np.unique(np.concatenate(codes), return_inverse=True)
+        total = np.bincount(at, np.concatenate(times)).astype(np.int64)[at]
+        packed = [zstandard.ZstdCompressor(1).compress(_pack_small(total[a:b])) for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+        sizes = [b - a for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["block", "bucket", "n", "packed"])
+
+    return join
 
 
 def _tagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +235,16 @@ def _count_words(texts: pa.Array) -> pa.Array:
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, log_score (natural, summed), mean_log_score; a row for each row."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stored(docs, "documents")
     kind = docs.schema["doc_id"].dataType.simpleString()
     corpus = docs.select(_count_words(raw("text")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ORDER * corpus / 2 / BUCKET))
     rows = docs.select("doc_id", raw("text").alias("text"))
-    sent = rows.mapInArrow(_counter(buckets), "bucket long, block long, packed binary")
-    totals = sent.groupBy("bucket").applyInArrow(_join, "block long, bucket long, n long, packed binary")
+    rest = rest_bytes(corpus)
+    sent = rows.mapInArrow(_counter(buckets, rest), "bucket long, block long, packed binary")
+    totals = sent.groupBy("bucket").applyInArrow(_joiner(rest), "block long, bucket long, n long, packed binary")
     tagged = rows.mapInArrow(_tagger, "block long, held binary")
     return tagged.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _scorer(corpus), f"doc_id {kind}, n_words long, log_score double, mean_log_score double"

@@ -368,6 +368,48 @@ def test_gradients():
         assert abs((up - down) / 2e-3 - g[k][at]) < 2e-2 * max(1, abs(g[k][at])), k
 
 
+def test_scores_against_plain_loops():
+    """Whole texts, word by word, unit by unit."""
+    rng = random.Random(6)
+    texts = [prose(rng, n).encode() for n in (1, 2, 31, 32, 33, 70, 400)] + ["Ünïcode wörds".encode()]
+    vocabulary = sorted({w for t in texts for w in t.split()})[::2]
+    net = toxicity.Network({w: i + 1 for i, w in enumerate(vocabulary)}, np.unique(toxicity._grams(vocabulary)[0]))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    known = {int(h): i for i, h in enumerate(net.gram_hashes)}
+
+    def vector(w):
+        h, _ = toxicity._grams([w])
+        slots = [net.slot[int(x) & (toxicity.SLOTS - 1)] for x in h]
+        own = [p["gram"][i] for x, i in zip(h, slots, strict=True) if i and known.get(int(x)) == i]
+        return p["word"][net.words.get(w, 0)] + sum(own, np.zeros(toxicity.DIM)) / max(1, len(h))
+
+    def states(xs, d):
+        h, out, k = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            a, g = x @ p[f"in_{d}"] + p[f"bias_{d}"], h @ p[f"re_{d}"]
+            z, r = sigmoid(a[:k] + g[:k]), sigmoid(a[k : 2 * k] + g[k : 2 * k])
+            n = np.tanh(a[2 * k :] + r * g[2 * k :])
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    def score(t):
+        xs = [vector(w) for w in toxicity.alnum_words(t)]
+        best = 0.0
+        for s in toxicity.windows_of(len(xs)):
+            part = xs[s : s + toxicity.WINDOW]
+            both = [np.concatenate(x) for x in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True)]
+            e = np.array([np.tanh(x @ p["attend"]) @ p["v"] for x in both])
+            a = np.exp(e - e.max())
+            pooled = sum(w * x for w, x in zip(a / a.sum(), both, strict=True))
+            best = max(best, float(sigmoid(pooled @ p["u"] + p["b"][0])))
+        return best
+
+    assert np.allclose(toxicity.Scorer(net).score(texts), [score(t) for t in texts], atol=1e-5)
+    assert toxicity.Scorer(net).score([b"", b" "]) == [0, 0]
+
+
 def test_toxicity_learns(spark, none):
     rng = random.Random(4)
     bad = ["vileword", "nastyword", "foulstem"]
@@ -394,10 +436,13 @@ def test_toxicity_learns(spark, none):
     assert {r.score for r in toxicity.toxicity_report(d.limit(3), lab.limit(0)).collect()} == {0.0}
 
 
-def test_backoff_tells_all_bits_apart():
-    """N-grams whose hashes agree in the upper 32 and the lowest 8 bits keep their own counts."""
-    codes = np.array([0x500000107, 0x500000207, 0x5FFFFFF07, 0x600000107], np.uint64)
-    packed = [backoff._pack_codes((x >> np.uint64(32)).astype(np.uint32), x, np.full(len(x), t)) for x, t in ((codes[:3], 1), (codes[1:], 300))]
-    got = backoff._join(pa.table({"bucket": [0, 0], "block": [1, 2], "packed": pa.array(packed, pa.binary())}))
+@pytest.mark.parametrize("rest", [3, 4])
+def test_backoff_tells_hashes_apart(rest):
+    """N-grams whose hashes agree in the upper 32 and the last 8 bits sent keep their own counts."""
+    assert backoff.rest_bytes(10**8) == 3 and backoff.rest_bytes(10**10) == 4 and backoff.rest_bytes(0) >= 1
+    low = np.array([0x107, 0x207, 0xFFFF07 if rest == 3 else 0xFFFFFF07, 0x107], np.uint64)
+    codes = np.array([5, 5, 5, 6], np.uint64) << np.uint64(32) | low << np.uint64(8 * (4 - rest))
+    packed = [backoff._pack_codes((x >> np.uint64(32)).astype(np.uint32), x, np.full(len(x), t), rest) for x, t in ((codes[:3], 1), (codes[1:], 300))]
+    got = backoff._joiner(rest)(pa.table({"bucket": [0, 0], "block": [1, 2], "packed": pa.array(packed, pa.binary())}))
     totals = [backoff._unpack_small(zstandard.ZstdDecompressor().decompress(v), n).tolist() for v, n in zip(got["packed"].to_pylist(), got["n"].to_pylist(), strict=True)]
     assert totals == [[1, 301, 301], [301, 301, 300]]
