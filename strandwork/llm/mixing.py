@@ -7,12 +7,14 @@ and one partial pass. A pass is a permutation of blocks: documents fall into blo
 a keyed hash, blocks are ordered by another, and the partial pass takes blocks in that order, and documents in the last
 block, while they fit the budget.
 
-A source's documents are never gathered: only block totals meet in a source's window, and documents meet in their
-block's. Sums over documents are of integers and those over sources of decimals, so they don't depend on their order.
+A source's documents are never gathered: documents meet in their block's window, block totals in one of the 4,096
+parts of their source's order, and only the totals of these parts in a source's. Sums over documents are of integers and those over sources of decimals, so they don't depend on their order.
 
 Defined results: a document's tokens are its words (``[^\\x20\\x09-\\x0D]+``); documents without any, null texts
 included, cannot fill a budget and are not drawn. A null source is a source. Rows are told apart by id and text; equal
-rows are drawn alike (their order among themselves is arbitrary). An empty table gives an empty mixture.
+rows are drawn alike (their order among themselves is arbitrary). An empty table gives an empty mixture. Texts of any
+length are one document, drawn whole; where a budget asks for more passes over all sources than the limit allows, each
+source stops at the limit and the mixture falls short of the budget. Other columns of docs are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from strandwork.llm.common import stored, whole
 ENTROPY, REPEATS = 0.98, 4.0
 BLOCK_TOKENS = 1 << 16
 STEPS_A_PASS, PASSES = 4, 10  # 40 bisection steps in 10 small jobs
+#: Lower bits of a block's order within a part of its source; the upper ones number 4,096 parts.
+PART_BITS = 52
 SEED = 7
 
 
@@ -124,8 +128,14 @@ def mix(
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("blocks")))
     block = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
     order = F.xxhash64(F.lit(seed + 2), "source", "block")
-    run = W.partitionBy("source").orderBy(order, "block")  # one row for each block of block_tokens tokens
-    ended = F.sum("size").over(run.rowsBetween(W.unboundedPreceding, 0))
+    block = stored(block.withColumn("order", order).withColumn("part", F.shiftright("order", PART_BITS)), "blocks")
+    # running totals of a source's blocks: of its parts (a bounded number), then of the blocks in each part
+    parts = block.groupBy("source", "part").agg(F.sum("size").alias("of_part"))
+    earlier = F.coalesce(F.sum("of_part").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), earlier.alias("earlier"))
+    block = block.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p")
+    run = W.partitionBy("source", "part").orderBy("order", "block")
+    ended = F.col("earlier") + F.sum("size").over(run.rowsBetween(W.unboundedPreceding, 0))
     left = block.withColumn("left", F.greatest(F.col("rest") - (ended - F.col("size")), F.lit(0))).select(
         F.col("source").alias("s"), F.col("block").alias("b"), F.col("left"), "size"
     )
