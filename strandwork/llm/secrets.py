@@ -1,17 +1,25 @@
 """Secret scans with a randomness test battery, in native column expressions.
 
 Base spans come from three patterns. Besides, each maximal run of 20 or more token characters gets an inferred
-encoding (hex, base32, base62 or base64; a run must mix character classes) and three tests of the hypothesis that its
-characters are uniform and independent: chi-squared over the encoding's alphabet, runs above and below the alphabet's
-middle, and serial correlation at lag one. Fisher's method combines them into one p-value. Non-random runs are then
-rejected at a false-discovery rate by Benjamini and Hochberg within length bands (short runs, on which the tests have
-little power, get the larger rate); what cannot be rejected is random, and becomes a span of kind ``random``.
+encoding (hex, base32, base36, base52, base62 or base64; a run must mix character classes) and three tests of the
+hypothesis that its characters are uniform and independent: chi-squared over the encoding's alphabet (with the exact
+mean and variance that it has at the run's length), runs above and below the alphabet's middle, and serial correlation
+at lag one. Fisher's method combines them into one p-value.
+
+A discovery is a run that is reported as random, a span of kind ``random``; a false one is an identifier, path or word
+among these. Random runs have uniform p-values, so those over one half, doubled, estimate their number in a band of
+lengths, and what is reported beyond their share counts as false. In each band the runs with the largest p-values are
+reported, as many as keep that share under the band's rate (short runs, on which the tests have little power, get the
+larger one), but none with a p-value under a thousandth, where no more than that share of the random ones is left. A
+random run is missed only if its p-value lies under the cut. Runs that aren't random but have p-values
+over one half can't be told from random ones, by this or by any use of the tests.
 
 The p-values meet as counts in buckets of a hundredth of a decade (at most ``BUCKETS`` a band), so the procedure over
 all documents needs one small aggregate and never orders the candidates themselves.
 
 Defined results: null text is empty; empty texts have no spans. Places are code points, end exclusive. Rows with equal
-or null ids are scanned each on its own; extra columns pass through.
+or null ids are scanned each on its own; repeated rows and ties are reported alike. Columns besides doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -34,12 +42,16 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Upper length of a band (exclusive) and its false-discovery rate.
+#: Upper length of a band (exclusive) and the share of false ones among the runs that are reported.
 BANDS = [(32, 0.20), (64, 0.10), (1 << 31, 0.05)]
 BUCKETS = 900
+#: The last bucket of p-values over about one half, and of those over a thousandth.
+UPPER, LAST = 30, 299
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
@@ -77,6 +89,8 @@ def _encoding(m: Column) -> Column:
     return (
         F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (upper | lower), "hex")
         .when(body.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+        .when(body.rlike("^([a-z0-9]+|[A-Z0-9]+)$") & digit & (upper | lower), "base36")
+        .when(body.rlike("^[A-Za-z]+$") & upper & lower, "base52")
         .when(body.rlike("^[A-Za-z0-9]+$") & digit & upper & lower, "base62")
         .when(digit & upper & lower & ~m.rlike("[^=]=+[^=]"), "base64")
     )
@@ -86,7 +100,7 @@ def battery(m: Column) -> Column:
     """Struct (encoding, p_chi, p_runs, p_serial, p) of a token; null where no encoding is inferred."""
     enc = _encoding(m)
     body = F.translate(F.regexp_replace(m, "=+$", ""), "-_", "+/")
-    body = F.when(enc == "hex", F.lower(body)).otherwise(body)
+    body = F.when(enc.isin("hex", "base36"), F.lower(body)).otherwise(body)
     alphabet = F.element_at(F.create_map([F.lit(x) for kv in ALPHABETS.items() for x in kv]), enc)
     x = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)  # instr: 1 is the first
     first = F.struct(enc.alias("encoding"), x.alias("x"), F.length(alphabet).cast("double").alias("k"), F.size(x).cast("double").alias("n"))
@@ -117,9 +131,9 @@ def _moments(v: Column) -> Column:
     spread = F.aggregate(x, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
     before, after = F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1)
     serial = F.aggregate(F.zip_with(before, after, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, y: a + y)
-    df = k - 1
     chi = F.greatest(v["squares"] * k / n - n, F.lit(0.0))
-    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson and Hilferty
+    spare = 2 / (9 * (k - 1) * n / (n - 1))  # the statistic's variance over n independent places is (n - 1) / n of chi-squared's
+    z_chi = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spare)) / F.sqrt(spare)  # Wilson and Hilferty
     mu = 1 + 2 * v["high"] * (n - v["high"]) / n
     return F.struct(*_kept(v, "encoding", "n", "runs"), z_chi.alias("z_chi"), mu.alias("mu"), ((mu - 1) * (mu - 2) / (n - 1)).alias("var"), spread.alias("spread"), serial.alias("serial"))
 
@@ -148,17 +162,20 @@ def _band(length: Column) -> Column:
     return out
 
 
-def rejected_from(candidates: DataFrame) -> dict[int, int]:
-    """For each band the least bucket that is rejected as non-random. candidates: band, bucket.
+def reported_to(candidates: DataFrame) -> dict[int, int]:
+    """For each band the last bucket that is reported as random. candidates: band, bucket.
 
-    Step-up over bucket counts: a bucket's largest p-value is compared with rate * rank / number, as for single p-values.
+    Of the runs up to a bucket, those beyond the random ones expected there are false: as many random runs as the upper
+    buckets hold at their share of the unit interval, less what falls below the bucket.
     """
-    count = candidates.groupBy("band", "bucket").agg(F.count("*").alias("n"))  # at most len(BANDS) * BUCKETS rows
+    count = candidates.groupBy("band", "bucket").agg(F.count("*").alias("n"))  # at most len(BANDS) * (BUCKETS + 1) rows
     by = W.partitionBy("band")
     rate = F.element_at(F.array([F.lit(q) for _, q in BANDS]), F.col("band") + 1)
-    ranked = count.withColumn("rank", F.sum("n").over(by.orderBy(F.desc("bucket")))).withColumn("all", F.sum("n").over(by))
-    least = ranked.where(F.pow(F.lit(10.0), -F.col("bucket") / 100) <= rate * F.col("rank") / F.col("all")).groupBy("band").agg(F.min("bucket").alias("b"))
-    return {r.band: r.b for r in least.collect()}  # one row a band
+    below = F.when(F.col("bucket") < BUCKETS, F.pow(F.lit(10.0), -(F.col("bucket") + 1) / 100)).otherwise(0.0)
+    random = F.sum(F.when(F.col("bucket") <= UPPER, F.col("n")).otherwise(0)).over(by) / (1 - 10 ** (-(UPPER + 1) / 100))
+    ranked = count.select("band", "bucket", rate.alias("rate"), F.sum("n").over(by.orderBy("bucket")).alias("upto"), (random * (1 - below)).alias("random"))
+    last = ranked.where(F.col("bucket") <= LAST).where(1 - F.col("random") / F.col("upto") <= F.col("rate")).groupBy("band").agg(F.max("bucket").alias("b"))
+    return {r.band: r.b for r in last.collect()}  # one row a band
 
 
 def _tagged(spans: Column, rank: int, kind: str) -> Column:
@@ -186,9 +203,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), _band(F.length(t["m"])).alias("band"), bucket(t["r"]["p"]).alias("bucket")),
     )
     rows = stored(rows.select("doc_id", "base", F.when(F.size("free") > 0, judged).otherwise(F.array().cast("array<struct<start:int,end:int,m:string,band:int,bucket:int>>")).alias("judged")), "secrets")
-    least = rejected_from(rows.select(F.explode("judged").alias("j")).select("j.band", "j.bucket"))
-    limits = F.array([F.lit(least.get(i, BUCKETS + 1)) for i in range(len(BANDS))])
-    random = _tagged(F.filter("judged", lambda j: j["bucket"] < F.element_at(limits, j["band"] + 1)), len(KINDS), "random")
+    last = reported_to(rows.select(F.explode("judged").alias("j")).select("j.band", "j.bucket"))
+    limits = F.array([F.lit(last.get(i, -1)) for i in range(len(BANDS))])
+    random = _tagged(F.filter("judged", lambda j: j["bucket"] <= F.element_at(limits, j["band"] + 1)), len(KINDS), "random")
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 

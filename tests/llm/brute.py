@@ -99,7 +99,7 @@ def secrets(t):
 
 
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base62": UPPER + UPPER.lower() + DIGITS}
+ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base36": DIGITS + UPPER.lower(), "base52": UPPER + UPPER.lower(), "base62": UPPER + UPPER.lower() + DIGITS}
 
 
 def randomness(token, encoding):
@@ -108,7 +108,7 @@ def randomness(token, encoding):
     x, k, n = [alphabet.index(c) for c in token], len(alphabet), len(token)
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     chi = sum(c * c for c in Counter(x).values()) * k / n - n
-    v = 2 / (9 * (k - 1))
+    v = 2 / (9 * (k - 1) * n / (n - 1))
     p_chi = tail((max(chi, 0) ** (1 / 3) / (k - 1) ** (1 / 3) - 1 + v) / math.sqrt(v))
     high = [2 * y >= k for y in x]
     runs, h = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
@@ -122,10 +122,13 @@ def randomness(token, encoding):
 
 
 def random_among(p_values, rate):
-    """Which p-values a step-up test at this rate leaves; each counts as the largest of its hundredth of a decade."""
-    bucket = [math.floor(-100 * math.log10(p)) for p in p_values]
-    passed = [b for b in bucket if 10 ** (-b / 100) <= rate * sum(x >= b for x in bucket) / len(bucket)]
-    return [not passed or b < min(passed) for b in bucket]
+    """Which p-values are reported: the most, from the largest down, of which those that are more than random ones
+    account for stay under the rate, none under a thousandth. Each counts with its hundredth of a decade."""
+    bucket = [min(900, math.floor(-100 * math.log10(p))) for p in p_values]
+    below = lambda b: 10 ** (-(b + 1) / 100) if b < 900 else 0
+    random = sum(b <= 30 for b in bucket) / (1 - below(30))
+    good = [b for b in bucket if b < 300 and 1 - random * (1 - below(b)) / sum(x <= b for x in bucket) <= rate]
+    return [bool(good) and b <= max(good) for b in bucket]
 
 
 def backoff(rows, alpha=0.4):
