@@ -29,7 +29,7 @@ from strandwork.llm.common import alnum_words, fresh, raw
 
 WINDOW, STRIDE = 32, 16
 #: Labelled rows of each class to train on; word and character vocabularies; epochs.
-SAMPLE, MAX_WORDS, MAX_GRAMS, EPOCHS = 1_200, 20_000, 60_000, 8
+SAMPLE, MAX_WORDS, MAX_GRAMS, EPOCHS = 800, 20_000, 60_000, 8
 DIM, HIDDEN, ATTEND = 12, 8, 8
 SLOTS = 1 << 21
 THRESHOLD = 0.7
