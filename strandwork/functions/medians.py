@@ -1,22 +1,56 @@
-"""Medians and percentiles whose index rules differ from Spark's built-ins."""
+"""Medians and percentiles whose index rules differ from Spark's built-ins, without gathering a group.
+
+Values are counted by a coarse key that rises with them, which finds the part of a group that holds each wanted rank;
+only that part is counted by value. So no task sees more of a group than one part's distinct values.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts for each unit of a value's natural logarithm.
+PARTS = 64
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
+def ranked_values(df: DataFrame, groups: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """groups and, for each name in ranks, the value at the place (from 0) that its function of the group's number of
+    values gives. Nulls don't count; groups without values are left out."""
+    v = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
+    v = v.withColumn("_part", F.floor(F.signum(F.col("_v").cast("double")) * F.log1p(F.abs(F.col("_v").cast("double"))) * PARTS))
+    by = W.partitionBy(*groups)
+    parts = v.groupBy(*groups, "_part").agg(F.count("*").alias("_k"))
+    parts = parts.withColumn("_upto", F.sum("_k").over(by.orderBy("_part"))).withColumn("_n", F.sum("_k").over(by))
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("_n")).cast("long").alias("at")) for name, f in ranks.items()]))
+    wanted = parts.withColumn("_w", names).where((F.col("_w.at") >= F.col("_upto") - F.col("_k")) & (F.col("_w.at") < F.col("_upto")))
+    keys = [f"_g{i}" for i in range(len(groups))]
+    wanted = wanted.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], F.col("_part").alias("_p"), F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_upto") + F.col("_k")).alias("_at"))
+    there = _same([*groups, "_part"], [*keys, "_p"])
+    held = v.join(wanted.select(*keys, "_p").distinct(), there, "left_semi").groupBy(*groups, "_part", "_v").agg(F.count("*").alias("_k"))
+    held = held.withColumn("_upto", F.sum("_k").over(W.partitionBy(*groups, "_part").orderBy("_v")))
+    found = held.join(wanted, there).where((F.col("_at") >= F.col("_upto") - F.col("_k")) & (F.col("_at") < F.col("_upto")))
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
+
 
-def _sorted(col: str | Column) -> Column:
-    return F.array_sort(F.collect_list(col))
+def upper_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """groups, middle: the element at floor(n / 2) of the sorted values, the upper middle for an even count."""
+    return ranked_values(df, groups, value, {"middle": lambda n: F.floor(n / 2)})
 
 
-def median_upper(col: str | Column) -> Column:
-    """Aggregate: the element at floor(n / 2) of the sorted values; the upper middle for an even count."""
-    s = _sorted(col)
-    return F.try_element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def nearest_percentiles(df: DataFrame, groups: Sequence[str], value: str, ratio: float) -> DataFrame:
+    """groups, percentile: the element at round((n - 1) * ratio), halves rounded up, of the sorted positive values."""
+    return ranked_values(df.where(F.col(value) > 0), groups, value, {"percentile": lambda n: F.floor((n - 1) * ratio + 0.5)})
 
 
-def percentile_nearest(col: str | Column, ratio: float) -> Column:
-    """Aggregate: the element at round((n - 1) * ratio), halves rounded up, over the positive values."""
-    s = F.filter(_sorted(col), lambda x: x > 0)
-    return F.try_element_at(s, (F.floor((F.size(s) - 1) * ratio + 0.5) + 1).cast("int"))
+def middle_means(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """groups, median: the mean of the two middle elements, or the middle one."""
+    both = ranked_values(df, groups, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
+    return both.select(*groups, ((F.col("_lower") + F.col("_upper")) / 2).alias("median"))

@@ -29,16 +29,19 @@ def area(a: Sequence[Column]) -> Column:
     return (a[2] - a[0]) * (a[3] - a[1])
 
 
-def best_overlaps(boxes: DataFrame, parts: DataFrame, groups: Sequence[str], affinity: Column, least: float = 0.25) -> DataFrame:
+def best_overlaps(boxes: DataFrame, parts: DataFrame, groups: Sequence[str], affinity: Column, least: float = 0.25, cell: float = 64.0) -> DataFrame:
     """Each labelled box with the part that grounds it best, or no row.
 
     boxes: groups, box_id, bx1..by2; parts: groups, part_id, px1..py2 and what affinity needs. A part grounds a box if it
-    covers the least share of it; the highest affinity wins, then the largest share, then the smallest part_id. The join
-    is on the groups (a frame), whose boxes and parts are few.
+    covers the least share of it; the highest affinity wins, then the largest share, then the smallest part_id. Boxes and
+    parts meet in the strips of ``cell`` width that they lie in, each pair in the first strip that both have, so a group
+    is never multiplied as a whole. A box should be no wider than a few strips.
     """
     b, p = [F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"p{c}") for c in ("x1", "y1", "x2", "y2")]
     share = intersection(b, p) / F.greatest(F.lit(1), area(b))
-    met = boxes.join(parts, list(groups)).withColumn("share", share).where(F.col("share") >= least).withColumn("affinity", affinity)
+    strip = lambda c: F.floor(F.col(c) / cell)
+    strips = lambda df, p: df.withColumn("_s", F.explode(F.sequence(strip(f"{p}x1"), F.greatest(strip(f"{p}x1"), strip(f"{p}x2")))))
+    met = strips(boxes, "b").join(strips(parts, "p"), [*groups, "_s"]).where(F.col("_s") == F.greatest(strip("bx1"), strip("px1"))).drop("_s").withColumn("share", share).where(F.col("share") >= least).withColumn("affinity", affinity)
     first = F.row_number().over(W.partitionBy(*groups, "box_id").orderBy(F.desc("affinity"), F.desc("share"), "part_id"))
     return met.withColumn("_r", first).where("_r = 1").drop("_r")
 

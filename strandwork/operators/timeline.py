@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def js_round(x: Column) -> Column:
+def round_half_up(x: Column) -> Column:
     """Halves up, also below zero."""
     return F.floor(x + 0.5)
 
@@ -31,7 +31,7 @@ def scales(seq: DataFrame, overrides: DataFrame, keys: Sequence[str], group_scal
 
 def delay_centiseconds(seconds: Column) -> Column:
     """Export delay: hundredths, halves up, at least one; null when it exceeds 65535."""
-    d = F.greatest(F.lit(1), js_round(seconds * 100)).cast("long")
+    d = F.greatest(F.lit(1), round_half_up(seconds * 100)).cast("long")
     return F.when(d <= 65535, d)
 
 
@@ -72,11 +72,11 @@ def pose_at(poses: DataFrame, times: DataFrame, groups: Sequence[str], values: S
     """
     p = poses.select(*groups, F.col("arrival").alias("x"), F.struct("arrival", *values).alias("pose"), F.lit(None).cast("double").alias("time"))
     t = times.select(*groups, F.col("time").cast("double").alias("x"), F.lit(None).cast(p.schema["pose"].dataType).alias("pose"), F.col("time").cast("double").alias("time"))
-    by = W.partitionBy(*groups).orderBy("x")
+    by, down = W.partitionBy(*groups).orderBy("x"), W.partitionBy(*groups).orderBy(F.desc("x"))
     line = (
         p.union(t)
         .withColumn("left", F.last("pose", True).over(by.rangeBetween(W.unboundedPreceding, 0)))
-        .withColumn("right", F.first("pose", True).over(by.rangeBetween(0, W.unboundedFollowing)))
+        .withColumn("right", F.last("pose", True).over(down.rangeBetween(W.unboundedPreceding, 0)))
         .where("time IS NOT NULL")
     )
     a, b = F.coalesce("left", "right"), F.coalesce("right", "left")

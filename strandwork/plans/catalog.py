@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwork.functions import color, text
-from strandwork.functions.medians import median_upper, percentile_nearest
+from strandwork.functions.medians import middle_means, nearest_percentiles, upper_medians
 from strandwork.operators import documents, loops, sequences, spatial, timeline
 from strandwork.session import table
 
@@ -76,7 +76,7 @@ def quality_flags(spark: SparkSession, sf_dir: str, tolerance: float = 0.8) -> D
     """Rows of each user's sequence that deviate from the sequence's upper median by more than the tolerance."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
     seq = ev.withColumn("frame_index", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    ref = ev.groupBy("user_id").agg(median_upper("value").alias("reference"))
+    ref = upper_medians(ev, ["user_id"], "value").withColumnRenamed("middle", "reference")
     return (
         seq.join(ref, "user_id")
         .where(F.abs(F.col("value") - F.col("reference")) > tolerance * F.greatest(F.abs("reference"), F.lit(1.0)))
@@ -118,9 +118,9 @@ SELECT event_type, median(cents) AS median_mid, list_sort(list(cents))[count(*)
 FROM e GROUP BY event_type""")
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_type", cents("value").alias("cents"))
-    return ev.groupBy("event_type").agg(
-        F.median("cents").alias("median_mid"), median_upper("cents").alias("median_upper"), percentile_nearest("cents", 0.9).alias("percentile_nearest")
-    )
+    t = ["event_type"]
+    parts = middle_means(ev, t, "cents").withColumnRenamed("median", "median_mid").join(upper_medians(ev, t, "cents").withColumnRenamed("middle", "median_upper"), t)
+    return parts.join(nearest_percentiles(ev, t, "cents", 0.9).withColumnRenamed("percentile", "percentile_nearest"), t, "left")
 
 
 @registered("motion_window", f"""WITH {EV},

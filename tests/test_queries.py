@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandwork.plans import catalog
+from strandwork.plans import catalog, clips, rasters  # noqa: F401
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
