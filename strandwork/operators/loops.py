@@ -1,4 +1,4 @@
-"""Loop search over a band of frame similarities."""
+"""Loop search over mean similarities by lag."""
 
 from __future__ import annotations
 
@@ -7,78 +7,89 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandwork.operators.sequences import _sequence
+from strandwork.operators.sequences import autocorrelation, closeness
+
+
+#: How near two periods count as one, the least share of a period's score that a start must reach, how
+#: much a preference for short or long loops weighs, and the number of candidates.
+NEAR, FACTOR, PREFERENCE, TOP = 2, 0.85, 0.3, 6
 
 
 def lower_hull(values: np.ndarray) -> np.ndarray:
-    """The lower convex hull of values at 0, 1, ..., read at each place."""
+    """The lower convex hull of values at 0, 1, ..., read at each place in single precision."""
     hull: list[int] = []
     for x in range(len(values)):
         while len(hull) > 1 and (hull[-1] - hull[-2]) * (values[x] - values[hull[-2]]) <= (x - hull[-2]) * (values[hull[-1]] - values[hull[-2]]):
             hull.pop()
         hull.append(x)
-    return np.interp(np.arange(len(values)), hull, values[hull])
+    return np.interp(np.arange(len(values)), hull, values[hull]).astype(np.float32).astype(np.float64)
 
 
 def peaks(acf: np.ndarray) -> list[int]:
     """Places over the hull that are local maxima of the ratio to it, the highest first; ties in order of place."""
     base = lower_hull(acf)
-    ratio = np.where(base > 0, acf / np.maximum(base, np.finfo(float).eps), 0)
-    side = np.concatenate([[-np.inf], ratio, [-np.inf]])
+    side = np.concatenate([[-np.inf], acf / np.maximum(base, np.finfo(float).eps), [-np.inf]])
+    ratio = np.where(base > 0, side[1:-1], 0)
     at = np.flatnonzero((ratio > 1) & (ratio >= side[:-2]) & (ratio >= side[2:]))
     return at[np.argsort(-acf[at], kind="stable")].tolist()
 
 
-def loops_in(sim: np.ndarray, least: int = 2, most: int | None = None, factor: float = 0.85, prefer: str = "auto", top: int = 6) -> list[dict]:
-    """Loop candidates of one sequence's similarity matrix (0 to 1): start, period, score, smoothness, coverage."""
-    n = len(sim)
-    if n < 4:
-        return []
-    most = min(n - 1, most or 2 * n // 3)
-    if most < least:
-        return []
-    acf = np.array([np.float32(np.mean(np.diagonal(sim, p), dtype=np.float64)) for p in range(least, most + 1)], np.float64)
+def apart(places: list[int]) -> list[int]:
+    """The places that are not near one chosen before."""
     chosen: list[int] = []
-    for p in peaks(acf):
-        if all(abs(p - q) > 2 for q in chosen):
+    for p in places:
+        if all(abs(p - q) > NEAR for q in chosen):
             chosen.append(p)
-    out = []
-    for p in chosen:
-        period, score = p + least, acf[p]
-        starts = np.flatnonzero(np.diagonal(sim, period) >= score * factor)
-        if len(starts) < period / 2:
-            continue
-        seam = sim[starts, starts + period - 1]
-        best = int(np.argmax(seam))
-        place = (period - least) / max(1, most - least)
-        weight = {"short": 1 - 0.3 * place, "long": 0.7 + 0.3 * place}.get(prefer, 1.0)
-        smooth = float(seam[best])
-        out.append({"start_frame": int(starts[best]), "period": period, "score": float(score) * smooth, "smoothness": smooth, "coverage": period / n, "rank_score": float(score) * smooth * weight})
-    return sorted(out, key=lambda x: -x["rank_score"])[:top]
-
-
-def loop_candidates(seq: DataFrame, groups: Sequence[str], measure: str, scale: float = 1.0, **how) -> DataFrame:
-    """Loop candidates of each sequence of a numeric measure (similarity: 100 less the scaled distance).
-
-    One sequence is one array in one task; its matrix is quadratic in its frames, as the search is, so callers bound
-    a sequence's length (clips of some thousands of frames), not the number of sequences.
+    return chosen
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _chosen(acf: pd.Series) -> pd.Series:
+    return acf.map(lambda x: apart(peaks(np.asarray(x, np.float64))))
+
+
+def loop_candidates(seq: DataFrame, groups: Sequence[str], measure: str, scale: float = 1.0, least: int = 2, most: int | None = None, prefer: str = "auto", top: int = TOP) -> DataFrame:
+    """Loop candidates of each sequence of a numeric measure (similarity: 100 less the scaled distance), best first.
+
+    groups, rank (from 1), start_frame, period, score, smoothness, coverage, rank_score. Mean similarities by lag come
+    from ``autocorrelation``; only they, two thirds as many numbers as a sequence has frames, are gathered to find their
+    peaks over the hull. Each chosen period then sets every frame against the one a period on, in a join on the place.
+    Sequences of fewer than four frames have none.
     """
-    arrays = _sequence(seq, groups, measure)
-    kinds = {f.name: f.dataType.simpleString() for f in arrays.schema if f.name in groups}
-    schema = ", ".join(f"{g} {kinds[g]}" for g in groups) + ", start_frame long, period long, score double, smoothness double, coverage double, rank_score double"
-
-    def search(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                m = np.asarray(row.m, np.float64)
-                sim = np.maximum(0, 100 - np.abs(m[:, None] - m[None, :]) * scale).astype(np.float32).astype(np.float64) / 100
-                rows += [{**{g: getattr(row, g) for g in groups}, **x} for x in loops_in(sim, **how)]
-            yield pd.DataFrame(rows, columns=[*groups, "start_frame", "period", "score", "smoothness", "coverage", "rank_score"])
-
-    return arrays.mapInPandas(search, schema)
+    sim = closeness(scale)
+    lags = autocorrelation(seq, groups, measure, sim, 1_000_000, most).where((F.col("period") >= least) & (F.col("frames") >= 4))
+    lags = lags.withColumn("acf", (F.col("similarity_sum") / (F.col("n") * 1e8)).cast("float").cast("double"))
+    curves = lags.groupBy(*groups, "frames").agg(F.array_sort(F.collect_list(F.struct("period", "acf"))).alias("curve"), F.max("period").alias("last"))
+    places = curves.withColumn("at", F.explode(_chosen(F.transform("curve", lambda x: x["acf"]))))
+    periods = places.select(*groups, "frames", "last", (F.col("at") + least).alias("period"), F.element_at("curve", (F.col("at") + 1).cast("int"))["acf"].alias("acf"))
+
+    frames = seq.select(*groups, F.col("frame_index").alias("i"), F.col(measure).alias("x"))
+    before = F.lag(measure).over(W.partitionBy(*groups).orderBy("frame_index"))
+    ends = seq.select(*groups, F.col("frame_index").alias("end"), F.col(measure).alias("y"), before.alias("z"))
+    share = lambda a, b: sim(a, b).cast("float").cast("double") / 100
+    starts = (
+        frames.join(periods, list(groups))
+        .where(F.col("i") + F.col("period") < F.col("frames"))
+        .withColumn("end", F.col("i") + F.col("period"))
+        .join(ends, [*groups, "end"])
+        .where(share(F.col("x"), F.col("y")) >= F.col("acf") * FACTOR)
+    )
+    best = F.max(F.struct(share(F.col("x"), F.col("z")).alias("seam"), (-F.col("i")).alias("i"))).alias("best")
+    found = starts.groupBy(*groups, "frames", "last", "period", "acf").agg(F.count("*").alias("n"), best).where(F.col("n") >= F.col("period") / 2)
+    place = (F.col("period") - least) / F.greatest(F.lit(1), F.col("last") - least)
+    weight = {"short": 1 - place * PREFERENCE, "long": place * PREFERENCE + (1 - PREFERENCE)}.get(prefer, F.lit(1.0))
+    score = F.col("acf") * F.col("best.seam")
+    out = found.withColumn("rank_score", score * weight)
+    first = F.row_number().over(W.partitionBy(*groups).orderBy(F.desc("rank_score"), F.desc("acf"), "period"))
+    return (
+        out.withColumn("rank", first)
+        .where(F.col("rank") <= top)
+        .select(*groups, "rank", (-F.col("best.i")).cast("long").alias("start_frame"), F.col("period").cast("long").alias("period"), score.alias("score"), F.col("best.seam").alias("smoothness"), (F.col("period") / F.col("frames")).alias("coverage"), "rank_score")
+    )
 
 
 def one_shot_likely(frames: Column, coverage: Column, length: Column, period: Column, smoothness: Column, similarity: Column, score: Column) -> Column:

@@ -148,10 +148,24 @@ def pair_similarity(seq: DataFrame, groups: Sequence[str], measure: str, max_lag
     return pairs.select(*groups, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), sim(F.col("x"), F.col("y")).alias("similarity"))
 
 
-def autocorrelation(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Summed similarity in hundredths and number of pairs at each lag; integers, so that sums are exact."""
-    return pairs.groupBy(*groups, (F.col("j") - F.col("i")).alias("period")).agg(
-        F.sum(F.floor(F.col("similarity") * 100 + 0.5).cast("long")).alias("similarity_sum"), F.count("*").alias("n")
+def autocorrelation(seq: DataFrame, groups: Sequence[str], measure: str, sim=None, units: int = 100, most: int | None = None, tile: int = 256) -> DataFrame:
+    """frames, and for each lag (period) up to ``most``, by default two thirds of the sequence's frames, the number of
+    pairs of frames so far apart and their summed similarity in whole parts of 1 / units, so that sums are exact.
+
+    Frames meet in square tiles of their places and are summed there before they are shuffled again: the work is that
+    of all pairs, as asked, but no pair is written and no task holds more than some tiles, however long a sequence is.
+    """
+    sim = sim or closeness()
+    n = seq.groupBy(*groups).agg(F.count("*").alias("frames"))
+    lags = F.least(F.col("frames") - 1, F.floor(F.col("frames") * 2 / 3) if most is None else F.lit(most))
+    s = seq.select(*groups, "frame_index", F.col(measure).alias("m")).join(n.where("frames > 1").withColumn("lags", lags).where("lags > 0"), list(groups))
+    at = lambda place: F.floor(place / tile)
+    i = F.col("frame_index")
+    left = s.select(*groups, "frames", "lags", i.alias("i"), F.col("m").alias("x"), at(i).alias("row"), F.explode(F.sequence(at(i), at(F.least(i + F.col("lags"), F.col("frames") - 1)))).alias("col"))
+    right = s.select(*groups, i.alias("j"), F.col("m").alias("y"), F.explode(F.sequence(at(F.greatest(i - F.col("lags"), F.lit(0))), at(i))).alias("row"), at(i).alias("col"))
+    pairs = left.join(right, [*groups, "row", "col"]).where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= F.col("lags")))
+    return pairs.groupBy(*groups, "frames", (F.col("j") - F.col("i")).cast("long").alias("period")).agg(
+        F.sum(F.floor(sim(F.col("x"), F.col("y")) * units + 0.5).cast("long")).alias("similarity_sum"), F.count("*").alias("n")
     )
 
 

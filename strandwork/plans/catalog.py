@@ -184,15 +184,46 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.pair_similarity(user_frames(spark, sf_dir), U, "cents", 8, CLOSE)
 
 
-@registered("autocorrelation", f"""WITH {PAIRS}
-SELECT user_id, j - i AS period, sum(cast(floor(similarity * 100 + 0.5) AS BIGINT))::BIGINT AS similarity_sum, count(*) AS n FROM p GROUP BY ALL""")
-def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.autocorrelation(pair_similarity(spark, sf_dir), U)
+#: The lags of a sequence of n frames go up to two thirds of it.
+LAGS = f"""{EV},
+n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id),
+g AS (SELECT a.user_id, n.n AS frames, b.frame_index - a.frame_index AS period, greatest(0.0::DOUBLE, 100 - abs(a.cents - b.cents) * 0.01::DOUBLE) AS similarity
+      FROM e a JOIN n ON n.user_id = a.user_id JOIN e b ON a.user_id = b.user_id AND b.frame_index > a.frame_index
+       AND b.frame_index - a.frame_index <= least(n.n - 1, n.n * 2 // 3))"""
 
 
-@registered("loop_candidates")
+@registered("autocorrelation", f"""WITH {LAGS}
+SELECT user_id, period, sum(cast(floor(similarity * 100 + 0.5) AS BIGINT))::BIGINT AS similarity_sum, count(*) AS n FROM g GROUP BY ALL""")
+def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.autocorrelation(user_frames(spark, sf_dir), U, "cents", CLOSE).drop("frames")
+
+
+@registered("loop_candidates", f"""WITH {LAGS},
+c AS (SELECT user_id, frames, period, cast(sum(cast(floor(similarity * 1e6::DOUBLE + 0.5) AS BIGINT))::DOUBLE / (count(*) * 1e8::DOUBLE) AS FLOAT)::DOUBLE AS acf
+      FROM g WHERE period >= 2 AND frames >= 4 GROUP BY ALL),
+h AS (SELECT x.user_id, x.frames, x.period, x.acf, cast(min(a.acf + (b.acf - a.acf) * (x.period - a.period) / greatest(1, b.period - a.period)) AS FLOAT)::DOUBLE AS base
+      FROM c x JOIN c a ON a.user_id = x.user_id AND a.period <= x.period JOIN c b ON b.user_id = x.user_id AND b.period >= x.period GROUP BY ALL),
+r AS (SELECT *, acf / greatest(base, 2.220446049250313e-16::DOUBLE) AS side FROM h),
+k AS (SELECT *, lag(side) OVER w AS s0, lead(side) OVER w AS s2 FROM r WINDOW w AS (PARTITION BY user_id ORDER BY period)),
+t AS (SELECT user_id, list([period] ORDER BY acf DESC, period) AS tops FROM k
+      WHERE base > 0 AND side > 1 AND (s0 IS NULL OR side >= s0) AND (s2 IS NULL OR side >= s2) GROUP BY user_id),
+u AS (SELECT user_id, unnest(list_reduce(tops, lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: abs(q - p[1]) <= 2)) = 0 THEN list_concat(acc, p) ELSE acc END)) AS period FROM t),
+v AS (SELECT u.user_id, c.frames, u.period, c.acf, a.frame_index AS i,
+             cast(greatest(0.0::DOUBLE, 100 - abs(a.cents - b.cents) * 0.01::DOUBLE) AS FLOAT)::DOUBLE / 100 AS now,
+             cast(greatest(0.0::DOUBLE, 100 - abs(a.cents - z.cents) * 0.01::DOUBLE) AS FLOAT)::DOUBLE / 100 AS seam
+      FROM u JOIN c ON c.user_id = u.user_id AND c.period = u.period JOIN e a ON a.user_id = u.user_id
+      JOIN e b ON b.user_id = u.user_id AND b.frame_index = a.frame_index + u.period
+      JOIN e z ON z.user_id = u.user_id AND z.frame_index = a.frame_index + u.period - 1),
+f AS (SELECT user_id, frames, period, acf, first(i ORDER BY seam DESC, i) AS start_frame, max(seam) AS smoothness FROM v
+      WHERE now >= acf * 0.85::DOUBLE GROUP BY ALL HAVING count(*) >= period / 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY acf * smoothness DESC, acf DESC, period) AS rank FROM f)
+SELECT user_id, rank, start_frame, period, cast(floor(acf * smoothness * 1e6::DOUBLE + 0.5) AS BIGINT) AS score_micro,
+       cast(floor(smoothness * 1e6::DOUBLE + 0.5) AS BIGINT) AS smoothness_micro, cast(floor(period * 1e6::DOUBLE / frames + 0.5) AS BIGINT) AS coverage_micro
+FROM o WHERE rank <= 6""")
 def loop_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loops.loop_candidates(user_frames(spark, sf_dir), U, "cents", 0.01)
+    found = loops.loop_candidates(user_frames(spark, sf_dir), U, "cents", 0.01)
+    micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("long").alias(f"{c}_micro")
+    return found.select(*U, F.col("rank").cast("long").alias("rank"), "start_frame", "period", micro("score"), micro("smoothness"), micro("coverage"))
 
 
 @registered("reorganize", f"""WITH {OR},

@@ -64,11 +64,50 @@ def test_pairs_are_a_band(spark):
     assert got == {(i, j): max(0.0, 100 - abs(v[i] - v[j])) for i in range(25) for j in range(i + 1, min(25, i + 5))}
 
 
-def test_loops_find_the_period():
-    sim = np.array([[1.0 if (i - j) % 5 == 0 else 0.2 for j in range(30)] for i in range(30)])
-    found = loops.loops_in(sim)
-    assert found[0]["period"] % 5 == 0 and len(found) <= 6
-    assert loops.loops_in(sim[:3, :3]) == [] and loops.lower_hull(np.array([1.0, 0, 1])).tolist() == [1, 0, 1]
+def plain_loops(m, least=2, prefer="auto"):
+    """The loop search on the whole matrix of one sequence, with the hull as the least of all chords."""
+    n, most = len(m), 2 * len(m) // 3
+    if n < 4:
+        return []
+    s = [[float(np.float32(max(0.0, 100 - abs(a - b)))) / 100 for b in m] for a in m]
+    lags = range(least, min(n - 1, most) + 1)
+    acf = {p: float(np.float32(np.mean([s[i][i + p] for i in range(n - p)]))) for p in lags}
+    base = {x: float(np.float32(min(acf[a] + (acf[b] - acf[a]) * (x - a) / max(1, b - a) for a in lags if a <= x for b in lags if b >= x))) for x in lags}
+    ratio = {p: acf[p] / max(base[p], 1e-300) for p in lags}
+    tops = sorted((p for p in lags if base[p] > 0 and ratio[p] > 1 and ratio[p] >= ratio.get(p - 1, 0) and ratio[p] >= ratio.get(p + 1, 0)), key=lambda p: (-acf[p], p))
+    chosen, out = [], []
+    for p in tops:
+        if all(abs(p - q) > 2 for q in chosen):
+            chosen.append(p)
+            starts = [i for i in range(n - p) if s[i][i + p] >= acf[p] * 0.85]
+            if len(starts) >= p / 2:
+                seam, i = max((s[i][i + p - 1], -i) for i in starts)
+                place = (p - least) / max(1, most - least)
+                out.append((acf[p] * seam * {"short": 1 - 0.3 * place, "long": 0.7 + 0.3 * place}.get(prefer, 1.0), p, -i))
+    return [x[1:] for x in sorted(out, key=lambda x: -x[0])[:6]]
+
+
+@pytest.mark.parametrize("prefer", ["auto", "short", "long"])
+def test_loops_against_the_whole_matrix(spark, prefer):
+    rng = random.Random(7)
+    clips = {"short": [1.0, 2.0, 3.0], "flat": [5.0] * 9, "cycle": [10.0, 40.0, 70.0, 90.0, 30.0] * 6}
+    clips |= {f"r{k}": [float(rng.randrange(100) if rng.random() < 0.3 else 20.0 * (i % (3 + k))) for i in range(12 + 9 * k)] for k in range(5)}
+    table = spark.createDataFrame([(g, i, float(v)) for g, m in clips.items() for i, v in enumerate(m)], "g string, frame_index long, v double")
+    got = {g: [] for g in clips}
+    for r in loops.loop_candidates(table, ["g"], "v", prefer=prefer).orderBy("g", "rank").collect():
+        got[r.g].append((r.period, r.start_frame))
+    assert got == {g: plain_loops(m, prefer=prefer) for g, m in clips.items()}
+    assert got["cycle"][0][0] % 5 == 0 and got["short"] == got["flat"] == []
+
+
+def test_autocorrelation_does_not_depend_on_tiles(spark):
+    s = seq(spark, [float(i * i % 37) for i in range(40)])
+    want = {}
+    for p in range(1, 27):
+        want[p] = sum(round((100 - abs(i * i % 37 - (i + p) ** 2 % 37)) * 100) for i in range(40 - p))
+    for tile in (1, 7, 256):
+        assert {r.period: r.similarity_sum for r in sequences.autocorrelation(s, ["g"], "v", tile=tile).collect()} == want
+    assert {r.period for r in sequences.autocorrelation(s, ["g"], "v", most=5).collect()} == {1, 2, 3, 4, 5}
 
 
 def test_reorganize_fans_out(spark):
