@@ -14,6 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the similarity over which a lower threshold for holds may lie.
+LOWEST = 55
+
+
 def _by(groups: Sequence[str]):
     return W.partitionBy(*groups).orderBy("frame_index")
 
@@ -106,24 +110,31 @@ def duplicate_holds(seq: DataFrame, groups: Sequence[str], measure: str, thresho
     under the threshold, unless its matches are an even stride over half of the sequence.
     """
     sim = sim or closeness()
-    arrays = _sequence(seq, groups, measure)
-    arrays = arrays.withColumn("found", _holds(F.col("m"), sim, F.lit(threshold))).withColumn("threshold", F.lit(float(threshold)))
+    m, level = F.col("m"), F.lit(float(threshold))
+    found = lambda at: F.struct(_holds(m, sim, at).alias("found"), at.alias("threshold"))
+    chosen = found(level)
     if suggest:
-        m = F.col("m")
-        near = F.zip_with(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), sim)
-        low = F.floor(F.array_max(near)).cast("double")
-        arrays = arrays.withColumn("low", F.when((F.size("found") == 0) & (low > 55) & (low < threshold), low))
-        arrays = arrays.withColumn("more", F.when(F.col("low").isNotNull(), _holds(m, sim, F.col("low"))))
-        at = F.transform("more", lambda x: x["index"])
-        n = F.size(at)
-        gaps = F.zip_with(F.slice(at, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(at, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
-        stride = (n >= 3) & (F.size(m) >= 4) & (F.size(F.array_distinct(gaps)) == 1) & (n >= F.floor((F.size(m) - 1) / 2))
-        use = F.col("low").isNotNull() & ~stride
-        arrays = arrays.withColumn("found", F.when(use, F.col("more")).otherwise(F.col("found"))).withColumn("threshold", F.when(use, F.col("low")).otherwise(F.col("threshold")))
-    out = arrays.select(*groups, "threshold", F.explode("found").alias("x"))
+        n = F.size(m)
+        near = F.zip_with(F.slice(m, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(n - 1, F.lit(0))), sim)
+        tried = F.struct(chosen.alias("first"), F.floor(F.array_max(near)).cast("double").alias("low"))
+        chosen = _bound(tried, lambda t: F.when((F.size(t["first"]["found"]) == 0) & (t["low"] > LOWEST) & (t["low"] < level), _bound(found(t["low"]), lambda x: F.when(~_even_stride(x["found"], n), x))).otherwise(t["first"]))
+    out = _sequence(seq, groups, measure).select(*groups, chosen.alias("x")).select(*groups, "x.threshold", F.explode("x.found").alias("x"))
     return out.select(*groups, F.col("x.index").cast("long").alias("frame_index"), F.col("x.anchor").cast("long").alias("match_index"), "threshold")
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f uses it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _even_stride(found: Column, n: Column) -> Column:
+    """Whether the found frames stand evenly and are half of a sequence of n, so that it is motion, not holds."""
+    k = F.size(found)
+    index = F.transform(found, lambda x: x["index"])
+    gaps = F.zip_with(F.slice(index, F.lit(2), F.greatest(k - 1, F.lit(0))), F.slice(index, F.lit(1), F.greatest(k - 1, F.lit(0))), lambda a, b: a - b)
+    return (k >= 3) & (n >= 4) & (k >= F.floor((n - 1) / 2)) & (F.size(F.array_distinct(gaps)) == 1)
+
+
 def jump_frames(seq: DataFrame, groups: Sequence[str], measure: str, threshold: float = 88.0, sim=None) -> DataFrame:
     """Frames unlike both neighbours while these resemble each other: the bridge's similarity less the weaker side's."""
     sim = sim or closeness()
