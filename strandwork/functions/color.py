@@ -10,6 +10,13 @@ TO_LMS = [(0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.680699545
 TO_LAB = [(0.2104542553, 0.793617785, -0.0040720468), (1.9779984951, -2.428592205, 0.4505937099), (0.0259040371, 0.7827717662, -0.808675766)]
 TO_CHROMA = [(-0.168736, -0.331264, 0.5), (0.5, -0.418688, -0.081312)]
 
+#: Fixed values of the perceptual distance: weights of RGB, chroma and OKLab; chroma and OKLab spans that count as 100; the
+#: least vividness of a hue, the degrees that are free, those that cost all, and that cost; dark, light, and their cost.
+WEIGHTS, CHROMA_SPAN, LAB_SPAN = (0.22, 0.46, 0.32), 0.7072, 0.8
+VIVID, FREE, TURN, TURN_COST, DARK, LIGHT, DARK_COST = 0.035, 15, 30, 24, 0.22, 0.32, 28.0
+#: Fixed values of skin: least red, green and blue; red over green, green over blue; least red less blue, most red less green.
+SKIN_LEAST, SKIN_RATIOS, SKIN_APART = (45, 22, 12), (1.12, 1.06), (18, 135)
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
@@ -66,12 +73,12 @@ def perceptual_distance(a: list[Column], b: list[Column]) -> Column:
     la, lb = oklab(*a), oklab(*b)
     chroma = [_dot(row, [(x - y) / 255 for x, y in zip(a, b, strict=True)]) for row in TO_CHROMA]
     lab = F.sqrt(sum(((la[n] - lb[n]) * (la[n] - lb[n]) for n in "lab"), F.lit(0.0)))
-    mix = redmean_distance(a, b) * 0.22 + clamp(F.hypot(*chroma) / 0.7072 * 100, 0, 100) * 0.46 + clamp(lab / 0.8 * 100, 0, 100) * 0.32
+    mix = redmean_distance(a, b) * WEIGHTS[0] + clamp(F.hypot(*chroma) / CHROMA_SPAN * 100, 0, 100) * WEIGHTS[1] + clamp(lab / LAB_SPAN * 100, 0, 100) * WEIGHTS[2]
     hue = lambda x: F.degrees(F.atan2(x["b"], x["a"]))
-    vivid = (F.hypot(la["a"], la["b"]) > 0.035) & (F.hypot(lb["a"], lb["b"]) > 0.035)
+    vivid = (F.hypot(la["a"], la["b"]) > VIVID) & (F.hypot(lb["a"], lb["b"]) > VIVID)
     apart = hue_distance(hue(la), hue(lb))
-    mix = mix + F.when(vivid & (apart > 15), clamp((apart - 15) / 30 * 24, 0, 24)).otherwise(0.0)
-    return clamp(mix + F.when((la["l"] < 0.22) & (lb["l"] > 0.32), 28.0).otherwise(0.0), 0, 100)
+    mix = mix + F.when(vivid & (apart > FREE), clamp((apart - FREE) / TURN * TURN_COST, 0, TURN_COST)).otherwise(0.0)
+    return clamp(mix + F.when((la["l"] < DARK) & (lb["l"] > LIGHT), DARK_COST).otherwise(0.0), 0, 100)
 
 
 def hex_to_rgb(text: Column) -> Column:
@@ -87,4 +94,5 @@ def rgb_to_hex(r: Column, g: Column, b: Column) -> Column:
 
 def skin(r: Column, g: Column, b: Column) -> Column:
     """Whether a colour looks like exposed skin."""
-    return (r > 45) & (g > 22) & (b > 12) & (r > g * 1.12) & (g > b * 1.06) & (r - b > 18) & (r - g < 135)
+    bright = (r > SKIN_LEAST[0]) & (g > SKIN_LEAST[1]) & (b > SKIN_LEAST[2])
+    return bright & (r > g * SKIN_RATIOS[0]) & (g > b * SKIN_RATIOS[1]) & (r - b > SKIN_APART[0]) & (r - g < SKIN_APART[1])

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: Fixed value: the similarity over which a lower threshold for holds may lie.
-LOWEST = 55
+#: The share within which a measure rests, and the similarity over which a lower threshold for holds may lie.
+REST, LOWEST = 0.08, 55
 
 
 def _by(groups: Sequence[str]):
@@ -33,7 +33,7 @@ def deltas(seq: DataFrame, groups: Sequence[str], measure: str) -> DataFrame:
     return seq.withColumn("first_delta", F.col(measure) - F.first(measure).over(by)).withColumn("step_delta", F.col(measure) - F.lag(measure).over(by))
 
 
-def at_rest(now: Column, rest: Column, tolerance: float = 0.08, floor: float = 1.0) -> Column:
+def at_rest(now: Column, rest: Column, tolerance: float = REST, floor: float = 1.0) -> Column:
     """Within a share of the larger magnitude of two measures, or within the floor."""
     return F.abs(now - rest) <= F.greatest(F.lit(floor), F.greatest(F.abs(now), F.abs(rest)) * tolerance)
 
