@@ -249,3 +249,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
     return tagged.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(
         _scorer(corpus), f"doc_id {kind}, n_words long, log_score double, mean_log_score double"
     )
+
+
+def score_report(docs: DataFrame) -> DataFrame:
+    """score_documents with scores to four decimals, so that they don't hang on the order of sums."""
+    four = lambda c: (F.floor(F.col(c) * 10_000 + 0.5) / 10_000).alias(c)
+    return score_documents(docs).select("doc_id", "n_words", four("log_score"), four("mean_log_score"))
+
+
+#: The same scores from count tables of the n-grams themselves, joined to the exploded n-grams.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT rid, len(w) AS n, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS pos FROM d),
+t AS (SELECT rid, n, pos, lag(c, 2) OVER o AS a, lag(c) OVER o AS b, c FROM p WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+own1 AS (SELECT rid, c, count(*) AS k FROM t GROUP BY ALL),
+own2 AS (SELECT rid, b, c, count(*) AS k FROM t WHERE pos > 1 GROUP BY ALL),
+own3 AS (SELECT rid, a, b, c, count(*) AS k FROM t WHERE pos > 2 GROUP BY ALL),
+one AS (SELECT rid, c, sum(k) OVER (PARTITION BY c) - k AS others FROM own1),
+two AS (SELECT rid, b, c, sum(k) OVER (PARTITION BY b, c) - k AS others FROM own2),
+three AS (SELECT rid, a, b, c, sum(k) OVER (PARTITION BY a, b, c) - k AS others FROM own3),
+x AS (
+  SELECT t.rid, t.pos, greatest((SELECT sum(len(w)) FROM d) - t.n, 1)::DOUBLE AS rest, u.others AS c1, v.others AS c2, w3.others AS c3,
+         uc.others AS context1, vc.others AS context2
+  FROM t JOIN one u ON u.rid = t.rid AND u.c = t.c
+  LEFT JOIN two v ON v.rid = t.rid AND v.b = t.b AND v.c = t.c
+  LEFT JOIN three w3 ON w3.rid = t.rid AND w3.a = t.a AND w3.b = t.b AND w3.c = t.c
+  LEFT JOIN one uc ON uc.rid = t.rid AND uc.c = t.b
+  LEFT JOIN two vc ON vc.rid = t.rid AND vc.b = t.a AND vc.c = t.b),
+s1 AS (SELECT *, CASE WHEN c1 > 0 THEN c1::DOUBLE ELSE 0.4::DOUBLE END / rest AS s FROM x),
+s2 AS (SELECT * REPLACE (CASE WHEN pos = 1 THEN s WHEN c2 > 0 THEN c2::DOUBLE / greatest(context1, 1) ELSE 0.4::DOUBLE * s END AS s) FROM s1),
+s3 AS (SELECT * REPLACE (CASE WHEN pos <= 2 THEN s WHEN c3 > 0 THEN c3::DOUBLE / greatest(context2, 1) ELSE 0.4::DOUBLE * s END AS s) FROM s2),
+l AS (SELECT rid, sum(ln(s)) AS score FROM s3 GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, floor(score * 10000 + 0.5) / 10000 AS log_score, floor(score / len(w) * 10000 + 0.5) / 10000 AS mean_log_score
+FROM d LEFT JOIN l ON l.rid = d.rid
+"""

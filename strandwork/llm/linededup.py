@@ -262,3 +262,29 @@ def line_report(docs: DataFrame) -> DataFrame:
         F.length(whole(name["new_text"])).cast("long").alias("n_chars_left"),
         F.sha2(whole(name["new_text"]), 256).alias("text_sha256"),
     )
+
+
+#: The same lines without owners or alignment: those in a run of enough words that any earlier document has.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, dense_rank() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS doc, doc_id, coalesce(text, '') AS text,
+         string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT rid, doc, unnest(range(1, len(lines) + 1)) AS i, len(regexp_extract_all(unnest(lines), '[^\x20\x09-\x0D]+')) AS words FROM d),
+c AS (SELECT rid, doc, i, words, sum(words) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS upto FROM l),
+ends AS (SELECT rid, upto, min(i) AS i FROM c GROUP BY ALL),
+starts AS (SELECT rid, upto - words AS before, max(i) AS i FROM c GROUP BY ALL),
+r AS (
+  SELECT c.rid, doc, c.i AS low, e.i AS high FROM c ASOF JOIN ends e ON c.rid = e.rid AND c.upto - c.words + 12 <= e.upto
+  UNION
+  SELECT c.rid, doc, s.i, c.i FROM c ASOF JOIN starts s ON c.rid = s.rid AND c.upto - 12 >= s.before),
+k AS (SELECT r.rid, r.doc, low, high, md5(array_to_string(list_slice(lines, low, high), chr(10))) AS run FROM r JOIN d ON d.rid = r.rid),
+o AS (SELECT run, min(doc) AS owner FROM k GROUP BY run),
+g AS (SELECT rid, list(DISTINCT i) AS gone FROM (SELECT rid, unnest(range(low, high + 1)) AS i FROM k JOIN o ON o.run = k.run AND o.owner < k.doc) GROUP BY rid),
+n AS (
+  SELECT doc_id, text, lines, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS new_text
+  FROM d LEFT JOIN g ON g.rid = d.rid)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(lines) END AS n_lines, n_removed, length(new_text) AS n_chars_left, sha256(new_text) AS text_sha256
+FROM n
+"""

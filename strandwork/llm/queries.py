@@ -13,7 +13,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score_documents(table(spark, sf_dir, "documents"))
+    return backoff.score_report(table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,10 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES = {"op3_decontamination": decontaminate.SQL, "op6_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL}
+ORACLES = {
+    "op2_lm_scoring": backoff.SQL,
+    "op3_decontamination": decontaminate.SQL,
+    "op5_line_dedup": linededup.SQL,
+    "op6_quality_rules": quality.SQL,
+    "op8_jaccard_join": jaccard.SQL,
+}
