@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 VISIBLE, SUPPORT = 16, 0.1
 #: Brightest channel and least spread of dark cloth; least luma and alpha of near white.
 DARK, SPREAD, WHITE, SOLID = 80, 12, 240, 200
+#: Alpha above which a pixel counts for edges; least channel and spread below which an edge is near white.
+EDGE_VISIBLE, EDGE_WHITE, EDGE_SPREAD = 8, 220, 30
+#: A glowing row's luma above the body's, its least luma, and the share of dark pixels it stays below.
+GLOW_STEP, GLOW_LEAST, GLOW_DARK = 36, 170.0, 0.25
 
 
 def visible(threshold: int = VISIBLE) -> Column:
@@ -140,6 +144,55 @@ def body_component(parts: DataFrame, images: Sequence[str], width: Column | int,
     return large.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_top")
 
 
+def edge_evidence(px: DataFrame, images: Sequence[str], width: Column | int, height: Column | int, threshold: int = EDGE_VISIBLE) -> DataFrame:
+    """Visible pixels on the canvas' border, those beside a clear pixel or the border, and how many of these are near white.
+
+    Each clear pixel marks its four neighbours, and marks are summed a pixel: one shuffle by pixel, none of pairs.
+    """
+    near = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    clear = px.where(~visible(threshold)).select(*images, F.explode(near).alias("at")).select(*images, F.col("at.x").cast("long").alias("x"), F.col("at.y").cast("long").alias("y"), F.lit(1).alias("mark"))
+    low, high = F.least("r", "g", "b"), F.greatest("r", "g", "b")
+    seen = px.where(visible(threshold)).select(*images, whole("x"), whole("y"), F.lit(0).alias("mark"), F.lit(1).alias("there"), ((low >= EDGE_WHITE) & (high - low < EDGE_SPREAD)).cast("int").alias("white"))
+    marks = seen.unionByName(clear, allowMissingColumns=True).groupBy(*images, "x", "y").agg(F.max("mark").alias("mark"), F.max("there").alias("there"), F.max("white").alias("white")).where("there = 1")
+    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == width - 1) | (F.col("y") == height - 1)
+    edge = border | (F.col("mark") == 1)
+    return marks.groupBy(*images).agg(
+        F.count(_when(edge, F.lit(1))).alias("edge_pixels"),
+        F.count(_when(edge & (F.col("white") == 1), F.lit(1))).alias("white_edge"),
+        F.count(_when(border, F.lit(1))).alias("boundary"),
+    )
+
+
+def sole_rows(lines: DataFrame, images: Sequence[str]) -> DataFrame:
+    """lines: one row for each image row with pixels (images, y, n, luma sum, dark number, first, last) -> the row that a
+    figure stands on, as sole_y.
+
+    From below, rows of glow (bright, hardly dark) and of wide effects are passed over; below the middle also narrow
+    debris and mixed rows. Where all rows fall out, the lowest that is neither glow nor effect is taken, else the lowest.
+    An image's rows meet in one window, at most as many as it is high.
+    """
+    by = W.partitionBy(*images)
+    r = lines.withColumn("mean", F.col("luma") / F.col("n")).withColumn("share", F.col("dark") / F.col("n")).withColumn("wide", F.col("last") - F.col("first") + 1)
+    r = r.withColumn("_top", F.min("y").over(by)).withColumn("_low", F.max("y").over(by)).withColumn("_peak", F.max("dark").over(by))
+    r = r.withColumn("_mid", F.col("_top") + F.greatest(F.lit(1), F.floor((F.col("_low") - F.col("_top") + 1) * 0.5)))
+    r = r.withColumn("_width", F.max("last").over(by) - F.min("first").over(by) + 1)
+    upper = lambda among, v: F.sort_array(F.collect_list(F.when(among, F.col(v))).over(by))
+    middle = lambda c: F.get(F.col(c), F.floor(F.size(c) / 2).cast("int"))
+    r = r.withColumn("_cores", upper((F.col("_peak") > 0) & (F.col("dark") >= F.col("_peak") * 0.5), "mean")).withColumn("_widths", upper(F.col("y") < F.col("_mid"), "wide"))
+    core, body = F.coalesce(middle("_cores"), F.lit(0.0)), F.coalesce(middle("_widths"), F.col("_width"))
+    glow = (F.col("mean") >= F.greatest(core + GLOW_STEP, F.lit(GLOW_LEAST))) & (F.col("share") < GLOW_DARK)
+    effect = (body > 0) & (F.col("wide") >= F.greatest(body * 1.5, body + 6)) & (F.col("share") < 0.4)
+    below = F.col("y") > F.col("_mid")
+    debris = below & (body > 0) & (F.col("wide") < body * 0.55)
+    mixed = below & (F.col("share") < 0.65) & (F.col("mean") >= core + 18)
+    stands = ~(glow | effect)
+    y = F.col("y").cast("long")
+    return r.select(*images, y.alias("y"), stands.alias("stands"), (stands & ~(debris | mixed)).alias("firm")).groupBy(*images).agg(
+        F.coalesce(F.max(F.when(F.col("firm"), F.col("y"))), F.max(F.when(F.col("stands"), F.col("y"))), F.max("y")).alias("sole_y")
+    )
+
+
 def hue_spread(df: DataFrame, groups: Sequence[str], degrees: Column) -> DataFrame:
     """Circular mean and deviation of angles in degrees, in thousandths; a group that has no direction deviates freely."""
     rad = F.radians(degrees.cast("double"))

@@ -130,3 +130,30 @@ def body_component(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") % 17 + 1).alias("height"), (F.col("p_partkey") % 50).alias("centre_x"),
     )
     return rasters.body_component(p, ["p_brand"], 50)
+
+
+@registered("edge_evidence", f"""WITH {PX},
+c AS (SELECT p.*, p.x IN (0, 7) OR p.y IN (0, 7) AS border,
+        EXISTS (SELECT 1 FROM px q WHERE q.image_id = p.image_id AND q.a <= 8 AND abs(q.x - p.x) + abs(q.y - p.y) = 1) AS beside FROM px p WHERE p.a > 8)
+SELECT image_id, count(*) FILTER (border OR beside) AS edge_pixels,
+       count(*) FILTER ((border OR beside) AND least(r, g, b) >= 220 AND greatest(r, g, b) - least(r, g, b) < 30) AS white_edge,
+       count(*) FILTER (border) AS boundary FROM c GROUP BY image_id""")
+def edge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.edge_evidence(pixels(spark, sf_dir), I, SIDE, SIDE)
+
+
+@registered("sole_rows", f"""WITH {PX},
+l AS (SELECT image_id, y, count(*) AS n, sum((r + g + b) // 3) AS luma, count(*) FILTER ((r + g + b) // 3 < 120) AS dark, min(x) AS first, max(x) AS last FROM px WHERE a > 100 GROUP BY ALL),
+m AS (SELECT *, luma::DOUBLE / n AS mean, dark::DOUBLE / n AS share, last - first + 1 AS wide, max(dark) OVER w AS peak,
+             min(y) OVER w + greatest(1, (max(y) OVER w - min(y) OVER w + 1) // 2) AS mid, max(last) OVER w - min(first) OVER w + 1 AS width FROM l WINDOW w AS (PARTITION BY image_id)),
+g AS (SELECT image_id, list_sort(list(mean) FILTER (peak > 0 AND dark * 2 >= peak)) AS cores, list_sort(list(wide) FILTER (y < mid)) AS widths FROM m GROUP BY image_id),
+b AS (SELECT m.*, coalesce(cores[len(cores) // 2 + 1], 0) AS core, coalesce(widths[len(widths) // 2 + 1], width) AS body FROM m JOIN g USING (image_id)),
+s AS (SELECT *, NOT (mean >= greatest(core + 36, 170) AND share < 0.25) AND NOT (body > 0 AND wide >= greatest(body * 1.5, body + 6) AND share < 0.4) AS stands,
+             (y > mid AND body > 0 AND wide < body * 0.55) OR (y > mid AND share < 0.65 AND mean >= core + 18) AS loose FROM b)
+SELECT image_id, coalesce(max(y) FILTER (stands AND NOT loose), max(y) FILTER (stands), max(y)) AS sole_y FROM s GROUP BY image_id""")
+def sole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    luma = F.floor((F.col("r") + F.col("g") + F.col("b")) / 3)
+    lines = pixels(spark, sf_dir).where("a > 100").groupBy("image_id", "y").agg(
+        F.count("*").alias("n"), F.sum(luma).alias("luma"), F.count(F.when(luma < 120, 1)).alias("dark"), F.min("x").alias("first"), F.max("x").alias("last")
+    )
+    return rasters.sole_rows(lines, I)
