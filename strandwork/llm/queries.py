@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.llm import backoff, decontaminate, jaccard, licenses, linededup, mixing, pii, quality, secrets, toxicity
+from strandwork.llm import backoff, decontaminate, fingerprints, jaccard, licenses, linededup, mixing, pii, quality, resampling, secrets, spelling, toxicity
 from strandwork.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +73,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_pii_surrogates,
         op10_secret_scan,
+        op11_spelling_variants,
+        op12_importance_resampling,
+        op13_fingerprints,
     )
 }
 ORACLES = {
@@ -69,4 +84,7 @@ ORACLES = {
     "op5_line_dedup": linededup.SQL,
     "op6_quality_rules": quality.SQL,
     "op8_jaccard_join": jaccard.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_importance_resampling": resampling.SQL,
+    "op13_fingerprints": fingerprints.SQL,
 }

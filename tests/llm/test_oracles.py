@@ -25,7 +25,7 @@ def folders(spark, edges, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["op2_lm_scoring", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_lm_scoring", "op5_line_dedup", "op11_spelling_variants", "op12_importance_resampling", "op13_fingerprints"])
 @pytest.mark.parametrize("folder", ["small", "edges", "empty"])
 def test_oracle(spark, folders, name, folder):
     check(spark, queries.QUERIES[name], queries.ORACLES[name], folders[folder])
