@@ -40,17 +40,15 @@ def ranked_values(df: DataFrame, groups: Sequence[str], value: str, ranks: dict[
     return found.groupBy(*groups).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks])
 
 
+def ranked_columns(df: DataFrame, groups: Sequence[str], ranks: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """groups and, for each name in ranks, the value of its column at the place that its function of the number of that
+    column's values gives: as ``ranked_values``, for several columns of one type of number with one reading of the table."""
+    columns = list(dict.fromkeys(c for c, _ in ranks.values()))
+    each = df.select(*groups, F.explode(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).alias("_x")) for c in columns])).alias("_m"))
+    found = ranked_values(each.select(*groups, "_m._of", "_m._x"), [*groups, "_of"], "_x", {name: f for name, (_, f) in ranks.items()})
+    return found.groupBy(*groups).agg(*[F.max(F.when(F.col("_of") == c, F.col(name))).alias(name) for name, (c, _) in ranks.items()])
+
+
 def upper_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """groups, middle: the element at floor(n / 2) of the sorted values, the upper middle for an even count."""
     return ranked_values(df, groups, value, {"middle": lambda n: F.floor(n / 2)})
-
-
-def nearest_percentiles(df: DataFrame, groups: Sequence[str], value: str, ratio: float) -> DataFrame:
-    """groups, percentile: the element at round((n - 1) * ratio), halves rounded up, of the sorted positive values."""
-    return ranked_values(df.where(F.col(value) > 0), groups, value, {"percentile": lambda n: F.floor((n - 1) * ratio + 0.5)})
-
-
-def middle_means(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """groups, median: the mean of the two middle elements, or the middle one."""
-    both = ranked_values(df, groups, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
-    return both.select(*groups, ((F.col("_lower") + F.col("_upper")) / 2).alias("median"))

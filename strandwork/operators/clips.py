@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandwork.functions.medians import upper_medians
+from strandwork.functions.medians import ranked_columns
 
 #: Names of attacking and of upright clips, of clips that fire, and what marks a clip as not upright.
 ATTACKS = ("attack", "atk", "slash", "strike", "shoot", "shot", "fire", "skill", "cast", "stab", "punch", "kick", "bite", "claw", "parry", "counter")
@@ -106,7 +106,8 @@ def attachments_of(frames: DataFrame, attachments: DataFrame) -> DataFrame:
     """frames (binding, animation, frame) with their attachments (attachment_id, key, meta_animation, meta_frame).
 
     One matches by its key ``binding:frame``, or by its frame if it names no clip or this one; a key's own frame goes
-    before the metadata's. Two joins on equality and one on frames alone, each attachment once.
+    before the metadata's. Attachments that name a clip join on it and the frame; only those that name none join on frames
+    alone, as their rule says.
     """
     key = F.col("key")
     parts = F.split(key, ":")
@@ -121,9 +122,10 @@ def attachments_of(frames: DataFrame, attachments: DataFrame) -> DataFrame:
     out = ["binding", "animation", "frame", "attachment_id"]
     by_key = f.withColumn("key", F.concat_ws(":", "binding", F.col("frame").cast("string"))).join(a.select("key", "attachment_id"), "key").select(*out)
     clips = a.where("_clip <> ''").select("attachment_id", F.col("_frame").alias("frame"), F.explode(F.array_distinct(F.array("_clip", "_named"))).alias("_c"), "_clip", "_named")
-    by_clip = f.join(clips, "frame").where((F.col("_c") == F.col("animation")) | ((F.col("_c") == F.col("_clip")) & (F.col("_c") == F.col("binding"))))
+    by_clip = f.join(clips.withColumnRenamed("_c", "animation"), ["frame", "animation"]).select(*out)
+    by_binding = f.join(clips.where("_c = _clip").withColumnRenamed("_c", "binding"), ["frame", "binding"]).select(*out)
     anywhere = f.join(a.where("_clip = ''").select("attachment_id", F.col("_frame").alias("frame")), "frame")
-    return by_key.union(by_clip.select(*out)).union(anywhere.select(*out)).distinct()
+    return by_key.union(by_clip).union(by_binding).union(anywhere.select(*out)).distinct()
 
 
 def source_height(samples: DataFrame, groups: Sequence[str], clip: str, name: str, height: str, order: Sequence[str], least: float = 16) -> DataFrame:
@@ -181,9 +183,8 @@ def quality_issues(measured: DataFrame, groups: Sequence[str], size: float = 0.2
 
     References are a clip's upper medians of body height, feet and centre.
     """
-    out = measured
-    for c in ("body_height", "feet", "centre"):
-        out = out.join(upper_medians(measured, groups, c).withColumnRenamed("middle", f"_{c}"), list(groups), "left")
+    middle = {f"_{c}": (c, lambda n: F.floor(n / 2)) for c in ("body_height", "feet", "centre")}
+    out = measured.join(ranked_columns(measured, groups, middle), list(groups), "left")
     apart = lambda c: F.abs(F.col(c) - F.col(f"_{c}"))
     kinds = [
         ("empty", F.col("box_height") == 0),

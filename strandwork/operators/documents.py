@@ -47,9 +47,15 @@ def merge_sequences(seq: DataFrame, members: DataFrame, key: str, fps: Column |
 
 
 def split_sequence(seq: DataFrame, cuts: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """cuts: groups, part, start, end (inclusive). Each part's frames are numbered from 0; parts may overlap."""
-    inside = F.col("frame_index").between(F.col("start"), F.col("end"))
-    return seq.join(cuts, list(groups)).where(inside).withColumn("frame_index", F.col("frame_index") - F.col("start")).drop("start", "end")
+    """cuts: groups, part, start, end (inclusive). Each part's frames are numbered from 0; parts may overlap.
+
+    A cut names each of its frames, so that a frame meets only the cuts that have it.
+    """
+    named = cuts.select("*", F.explode(F.sequence(F.col("start").cast("long"), F.greatest("start", "end").cast("long"))).alias("frame_index")).where("start <= end")
+    kind = seq.schema["frame_index"].dataType
+    out = seq.join(named.withColumn("frame_index", F.col("frame_index").cast(kind)), [*groups, "frame_index"])
+    place = F.col("frame_index") - F.col("start")
+    return out.select(*seq.columns, *[c for c in cuts.columns if c not in groups], place.alias("_place")).withColumn("frame_index", F.col("_place")).drop("start", "end", "_place")
 
 
 def strip_owned(bindings: DataFrame, owners: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -52,16 +52,18 @@ def _chosen(acf: pd.Series) -> pd.Series:
     return acf.map(lambda x: apart(peaks(np.asarray(x, np.float64))))
 
 
-def loop_candidates(seq: DataFrame, groups: Sequence[str], measure: str, scale: float = 1.0, least: int = 2, most: int | None = None, prefer: str = "auto", top: int = TOP) -> DataFrame:
+def loop_candidates(seq: DataFrame, groups: Sequence[str], measure: str, scale: float = 1.0, least: int = 2, most: int | None = None, prefer: str = "auto", top: int = TOP, sim: Callable[[Column, Column], Column] | None = None, lags: DataFrame | None = None) -> DataFrame:
     """Loop candidates of each sequence of a numeric measure (similarity: 100 less the scaled distance), best first.
 
     groups, rank (from 1), start_frame, period, score, smoothness, coverage, rank_score. Mean similarities by lag come
     from ``autocorrelation``; only they, two thirds as many numbers as a sequence has frames, are gathered to find their
     peaks over the hull. Each chosen period then sets every frame against the one a period on, in a join on the place.
-    Sequences of fewer than four frames have none.
+    Sequences of fewer than four frames have none. sim: another similarity of two measures; lags: its sums by lag if they
+    are known, as ``likeness.pair_similarities`` gives them in millionths for frames.
     """
-    sim = closeness(scale)
-    lags = autocorrelation(seq, groups, measure, sim, 1_000_000, most).where((F.col("period") >= least) & (F.col("frames") >= 4))
+    sim = sim or closeness(scale)
+    lags = autocorrelation(seq, groups, measure, sim, 1_000_000, most) if lags is None else lags
+    lags = lags.where((F.col("period") >= least) & (F.col("frames") >= 4))
     lags = lags.withColumn("acf", (F.col("similarity_sum") / (F.col("n") * 1e8)).cast("float").cast("double"))
     curves = lags.groupBy(*groups, "frames").agg(F.array_sort(F.collect_list(F.struct("period", "acf"))).alias("curve"), F.max("period").alias("last"))
     places = curves.withColumn("at", F.explode(_chosen(F.transform("curve", lambda x: x["acf"]))))

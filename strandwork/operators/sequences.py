@@ -89,7 +89,7 @@ def _sequence(seq: DataFrame, groups: Sequence[str], measure: str) -> DataFrame:
     return seq.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", F.col(measure).alias("m")))), lambda x: x["m"]).alias("m"))
 
 
-def _holds(m: Column, sim, threshold: Column) -> Column:
+def _holds(m: Column, sim, threshold: Column, least: int = 3) -> Column:
     """Structs (index, anchor) of the frames that repeat both their predecessor and the last frame that was kept."""
     none = F.array().cast("array<struct<index:int,anchor:int>>")
 
@@ -100,24 +100,37 @@ def _holds(m: Column, sim, threshold: Column) -> Column:
         return F.struct(F.when(held, acc["anchor"]).otherwise(i).alias("anchor"), F.when(held, found).otherwise(acc["found"]).alias("found"))
 
     start = F.struct(F.lit(0).alias("anchor"), none.alias("found"))
-    return F.when(F.size(m) >= 3, F.aggregate(F.sequence(F.lit(1), F.size(m) - 1), start, step, lambda acc: acc["found"])).otherwise(none)
+    return F.when(F.size(m) >= least, F.aggregate(F.sequence(F.lit(1), F.size(m) - 1), start, step, lambda acc: acc["found"])).otherwise(none)
 
 
 def duplicate_holds(seq: DataFrame, groups: Sequence[str], measure: str, threshold: float = 88.0, sim=None, suggest: bool = False) -> DataFrame:
     """Frames to drop as repeats: similar both to the frame before and to the last kept frame (its anchor).
 
+    A frame unlike the one before is never dropped and becomes the anchor, so sequences are cut there first, and a fold
+    goes over one stretch of neighbouring likes, not over a sequence.
+
     suggest: where nothing matches, try the floor of the strongest similarity of neighbours if that lies over 55 and
-    under the threshold, unless its matches are an even stride over half of the sequence.
+    under the threshold, unless its matches are an even stride over half of the sequence; a sequence is one array then.
     """
     sim = sim or closeness()
-    m, level = F.col("m"), F.lit(float(threshold))
+    level = F.lit(float(threshold))
+    if not suggest:
+        by = _by(groups)
+        like = sim(F.lag(measure).over(by), F.col(measure)) >= level
+        cut = seq.withColumn("_cut", F.coalesce(~like, F.lit(False)).cast("int")).withColumn("_n", F.count("*").over(W.partitionBy(*groups)))
+        cut = cut.where("_n >= 3").withColumn("_stretch", F.sum("_cut").over(by))
+        stretch = cut.groupBy(*groups, "_stretch").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.col(measure).alias("m")))).alias("f")).where(F.size("f") > 1)
+        held = _holds(F.transform("f", lambda x: x["m"]), sim, level, 2)
+        out = stretch.select(*groups, "f", level.alias("threshold"), F.explode(held).alias("x"))
+        place = lambda c: F.get("f", F.col(f"x.{c}"))["frame_index"].cast("long")
+        return out.select(*groups, place("index").alias("frame_index"), place("anchor").alias("match_index"), "threshold")
+    m = F.col("m")
     found = lambda at: F.struct(_holds(m, sim, at).alias("found"), at.alias("threshold"))
     chosen = found(level)
-    if suggest:
-        n = F.size(m)
-        near = F.zip_with(F.slice(m, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(n - 1, F.lit(0))), sim)
-        tried = F.struct(chosen.alias("first"), F.floor(F.array_max(near)).cast("double").alias("low"))
-        chosen = _bound(tried, lambda t: F.when((F.size(t["first"]["found"]) == 0) & (t["low"] > LOWEST) & (t["low"] < level), _bound(found(t["low"]), lambda x: F.when(~_even_stride(x["found"], n), x))).otherwise(t["first"]))
+    n = F.size(m)
+    near = F.zip_with(F.slice(m, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(m, F.lit(2), F.greatest(n - 1, F.lit(0))), sim)
+    tried = F.struct(chosen.alias("first"), F.floor(F.array_max(near)).cast("double").alias("low"))
+    chosen = _bound(tried, lambda t: F.when((F.size(t["first"]["found"]) == 0) & (t["low"] > LOWEST) & (t["low"] < level), _bound(found(t["low"]), lambda x: F.when(~_even_stride(x["found"], n), x))).otherwise(t["first"]))
     out = _sequence(seq, groups, measure).select(*groups, chosen.alias("x")).select(*groups, "x.threshold", F.explode("x.found").alias("x"))
     return out.select(*groups, F.col("x.index").cast("long").alias("frame_index"), F.col("x.anchor").cast("long").alias("match_index"), "threshold")
 
@@ -135,14 +148,24 @@ def _even_stride(found: Column, n: Column) -> Column:
     return (k >= 3) & (n >= 4) & (k >= F.floor((n - 1) / 2)) & (F.size(F.array_distinct(gaps)) == 1)
 
 
-def jump_frames(seq: DataFrame, groups: Sequence[str], measure: str, threshold: float = 88.0, sim=None) -> DataFrame:
-    """Frames unlike both neighbours while these resemble each other: the bridge's similarity less the weaker side's."""
+def jump_frames(seq: DataFrame, groups: Sequence[str], measure: str, threshold: float = 88.0, sim=None, suggest: bool = False) -> DataFrame:
+    """Frames unlike both neighbours while these resemble each other: the bridge's similarity less the weaker side's.
+
+    suggest: where a sequence has no such frame at the threshold, the least whole threshold at which its strongest score
+    counts is taken, if that is higher and at most 100; the threshold of each row is a column then. The strongest score
+    is a window over the same sequence, so that nothing more is shuffled.
+    """
     sim = sim or closeness()
     by = _by(groups)
     before, after, now = F.lag(measure).over(by), F.lead(measure).over(by), F.col(measure)
     three = seq.select(*groups, "frame_index", before.alias("b"), now.alias("n"), after.alias("a")).where("b IS NOT NULL AND a IS NOT NULL")
     score = sim(F.col("b"), F.col("a")) - F.least(sim(F.col("b"), F.col("n")), sim(F.col("n"), F.col("a")))
-    return three.select(*groups, "frame_index", score.alias("score")).where((F.col("score") > 0) & (F.col("score") >= 100 - threshold))
+    scored = three.select(*groups, "frame_index", score.alias("score")).where("score > 0")
+    if not suggest:
+        return scored.where(F.col("score") >= 100 - threshold)
+    raised = F.ceil(100 - F.max("score").over(W.partitionBy(*groups))).cast("double")
+    chosen = F.when((raised > threshold) & (raised <= 100), raised).otherwise(float(threshold))
+    return scored.withColumn("threshold", chosen).where(F.col("score") >= 100 - F.col("threshold"))
 
 
 def pair_similarity(seq: DataFrame, groups: Sequence[str], measure: str, max_lag: int, sim=None) -> DataFrame:

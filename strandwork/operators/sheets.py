@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Packing columns of a request or sidecar.
@@ -53,6 +54,28 @@ def cells(sheets: DataFrame, keep: Sequence[str]) -> DataFrame:
     return every.select(*keep, "frame_index", x.alias("x"), y.alias("y"), F.col("cell_w").alias("width"), F.col("cell_h").alias("height"))
 
 
+def sheet_frames(px: DataFrame, packings: DataFrame, key: str, start: int = 0, skip_empty: bool = True) -> tuple[DataFrame, DataFrame]:
+    """px (key, x, y, r, g, b, a) of sheets cut by their packings -> the frames' pixels (key, frame_index, x, y, r, g, b,
+    a, from their own corner), and the cells (key, cell, frame_index; null for those left out).
+
+    A pixel's cell follows from its place, and pixels of pads belong to none, so that cells and pixels meet by equality.
+    Cells without a pixel that has any alpha are left out, and the others numbered from ``start`` in reading order;
+    numbering needs one row a cell. Sheets without a packing have no frames.
+    """
+    packed = px.join(packings.where("columns IS NOT NULL").select(key, "columns", "rows", "cell_w", "cell_h", "pad"), key)
+    x, y, w, h = F.col("x"), F.col("y"), F.col("cell_w") + F.col("pad"), F.col("cell_h") + F.col("pad")
+    column, row = F.floor(x / w), F.floor(y / h)
+    inside = (column < F.col("columns")) & (row < F.col("rows")) & (x % w < F.col("cell_w")) & (y % h < F.col("cell_h"))
+    cut = packed.where(inside).select(key, (row * F.col("columns") + column).cast("long").alias("cell"), (x % w).cast("long").alias("x"), (y % h).cast("long").alias("y"), "r", "g", "b", "a")
+    every = cells(packings, [key]).select(key, F.col("frame_index").alias("cell"))
+    full = cut.groupBy(key, "cell").agg(F.max(F.col("a") != 0).alias("_full"))
+    known = every.join(full, [key, "cell"], "left").withColumn("_full", F.coalesce("_full", F.lit(False)) | F.lit(not skip_empty))
+    number = F.sum(F.col("_full").cast("long")).over(W.partitionBy(key).orderBy("cell")) - 1 + start
+    numbered = known.select(key, "cell", F.when(F.col("_full"), number).alias("frame_index"))
+    frames = cut.join(numbered.where("frame_index IS NOT NULL"), [key, "cell"]).select(key, "frame_index", "x", "y", "r", "g", "b", "a")
+    return frames, numbered
+
+
 def slots(frames: DataFrame, keep: Sequence[str], start: Column, end: Column) -> DataFrame:
     """The frames from start to end (inclusive) with the names of their copies, numbered from the range's start."""
     i = F.col("frame_index")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandwork.session import dropped, stored
+
+#: Fixed value: the ratio of intersection to union that ties a hand to a point of contact.
+HAND_RATIO = 0.2
+
 
 def cell_grid(views: DataFrame, columns: int, rows: int) -> DataFrame:
     """views with x, y, width, height -> a row for each cell: its speakable id (A1 ...) and box."""
@@ -37,13 +42,52 @@ def best_overlaps(boxes: DataFrame, parts: DataFrame, groups: Sequence[str], aff
     parts meet in the strips of ``cell`` width that they lie in, each pair in the first strip that both have, so a group
     is never multiplied as a whole. A box should be no wider than a few strips.
     """
+    met = _met(boxes, parts, groups, cell).where(F.col("share") >= least).withColumn("affinity", affinity)
+    first = F.row_number().over(W.partitionBy(*groups, "box_id").orderBy(F.desc("affinity"), F.desc("share"), "part_id"))
+    return met.withColumn("_r", first).where("_r = 1").drop("_r")
+
+
+def _met(boxes: DataFrame, parts: DataFrame, groups: Sequence[str], cell: float) -> DataFrame:
+    """Boxes and parts that share a strip, with the share of the box that the part covers."""
     b, p = [F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"p{c}") for c in ("x1", "y1", "x2", "y2")]
-    share = intersection(b, p) / F.greatest(F.lit(1), area(b))
     strip = lambda c: F.floor(F.col(c) / cell)
     strips = lambda df, p: df.withColumn("_s", F.explode(F.sequence(strip(f"{p}x1"), F.greatest(strip(f"{p}x1"), strip(f"{p}x2")))))
-    met = strips(boxes, "b").join(strips(parts, "p"), [*groups, "_s"]).where(F.col("_s") == F.greatest(strip("bx1"), strip("px1"))).drop("_s").withColumn("share", share).where(F.col("share") >= least).withColumn("affinity", affinity)
-    first = F.row_number().over(W.partitionBy(*groups, "box_id").orderBy(F.desc("affinity"), F.desc("share"), "part_id"))
-    return met.withColumn("_r", first).where("_r = 1").drop("_r")
+    both = strips(boxes, "b").join(strips(parts, "p"), [*groups, "_s"]).where(F.col("_s") == F.greatest(strip("bx1"), strip("px1"))).drop("_s")
+    return both.withColumn("share", intersection(b, p) / F.greatest(F.lit(1), area(b)))
+
+
+def overlap_ratio(b: Sequence[Column], p: Sequence[Column]) -> Column:
+    """Intersection over union of two boxes."""
+    both = intersection(b, p)
+    return both / F.greatest(F.lit(1), area(b) + area(p) - both)
+
+
+def exclusive_overlaps(boxes: DataFrame, parts: DataFrame, groups: Sequence[str], affinity: Column, hand: Column, contact: Column, least: float = 0.25, ratio: float = HAND_RATIO, cell: float = 64.0) -> DataFrame:
+    """Labelled boxes and parts one to one: box_id, part_id, share, affinity, round.
+
+    As ``best_overlaps``, but a box labelled as a hand takes only points of contact, which must also overlap it by the
+    ratio of intersection to union, other boxes take only other parts, and no part is taken twice: the pair of highest
+    affinity goes first, then of the largest share, then of the smallest box and part. A round takes all pairs that are
+    the best of both their box and their part, which are those that taking one after the other takes; what is left of
+    the others goes into the next round, and each group settles at least one pair a round.
+    """
+    b, p = [F.col(f"b{c}") for c in ("x1", "y1", "x2", "y2")], [F.col(f"p{c}") for c in ("x1", "y1", "x2", "y2")]
+    fits = (hand == contact) & (~hand | (overlap_ratio(b, p) >= ratio))
+    left = _met(boxes, parts, groups, cell).where(fits & (F.col("share") >= least)).select(*groups, "box_id", "part_id", "share", affinity.alias("affinity"))
+    left = stored(left, "candidates")
+    order = (F.desc("affinity"), F.desc("share"), "box_id", "part_id")
+    found, n = None, 0
+    while True:
+        n += 1
+        first = lambda c: F.row_number().over(W.partitionBy(*groups, c).orderBy(*order)) == 1
+        marked = left.withColumn("_b", first("box_id")).withColumn("_p", first("part_id"))
+        taken = stored(marked.where("_b AND _p").select(*groups, "box_id", "part_id", "share", "affinity", F.lit(n).alias("round")), "pairs")
+        found = taken if found is None else found.unionByName(taken)
+        if not taken.head(1):
+            return found
+        rest = left.join(taken.select(*groups, "box_id"), [*groups, "box_id"], "left_anti").join(taken.select(*groups, "part_id"), [*groups, "part_id"], "left_anti")
+        last, left = left, stored(rest.select(left.columns), "candidates")
+        dropped(last)
 
 
 def grid_step(cell: Column, source_width: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwork.functions import color, text
-from strandwork.functions.medians import middle_means, nearest_percentiles, upper_medians
+from strandwork.functions.medians import ranked_columns, upper_medians
 from strandwork.operators import documents, loops, sequences, spatial, timeline
 from strandwork.session import table
 
@@ -118,9 +118,12 @@ SELECT event_type, median(cents) AS median_mid, list_sort(list(cents))[count(*)
 FROM e GROUP BY event_type""")
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_type", cents("value").alias("cents"))
-    t = ["event_type"]
-    parts = middle_means(ev, t, "cents").withColumnRenamed("median", "median_mid").join(upper_medians(ev, t, "cents").withColumnRenamed("middle", "median_upper"), t)
-    return parts.join(nearest_percentiles(ev, t, "cents", 0.9).withColumnRenamed("percentile", "percentile_nearest"), t, "left")
+    ev = ev.withColumn("positive", F.when(F.col("cents") > 0, F.col("cents")))
+    found = ranked_columns(ev, ["event_type"], {
+        "lower": ("cents", lambda n: F.floor((n - 1) / 2)), "median_upper": ("cents", lambda n: F.floor(n / 2)),
+        "percentile_nearest": ("positive", lambda n: F.floor((n - 1) * 0.9 + 0.5)),
+    })
+    return found.select("event_type", ((F.col("lower") + F.col("median_upper")) / 2).alias("median_mid"), "median_upper", "percentile_nearest")
 
 
 @registered("motion_window", f"""WITH {EV},

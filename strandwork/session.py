@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,5 +22,43 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which executors and driver share; a local session without one gets its own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    kept = context._jsc.sc().getCheckpointDir()
+    found = found or (kept.get() if kept.isDefined() else None)
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not found:
+        found = tempfile.mkdtemp(prefix="strandwork-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its lineage; lost executors lose nothing of it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandwork/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    system, at = _files(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        system, at = _files(df.sparkSession, df._stored_at)
+        system.delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
