@@ -55,20 +55,41 @@ UPPER, LAST = 30, 299
 _SPAN = "array<struct<start:int,end:int,m:string>>"
 
 
+def _running(lengths: Column) -> Column:
+    """Running sums of an array, by doubling: each step adds what stands 1, 2, 4 ... places before."""
+    steps = F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")
+    add = lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2.0), k).cast("int")), F.lit(0)))
+    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(steps - 1, F.lit(0))), lengths, add)).otherwise(lengths)
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """Structs (start, end, m) of the leftmost non-overlapping matches: the pieces between them give the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+    """Structs (start, end, m) of the leftmost non-overlapping matches: the pieces between them give the places.
+
+    The places are running sums over gaps and matches, so a text of many matches takes n log n steps.
+    """
+
+    def spans(found: Column) -> Column:
+        matches, pieces = found["m"], found["p"]
+        lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        ends = _running(lengths)
+        return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    return F.when(text.rlike(pattern), _let(found, spans)).otherwise(F.array().cast(_SPAN))
+
+
+def _meets(spans: Column, t: Column) -> Column:
+    """Whether one of the spans, which are in order and apart, overlaps t: the first that ends behind t's start, by halving."""
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1))).cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        move, before = s["low"] < s["high"], F.get(spans, middle)["end"] <= t["start"]
+        return F.struct(F.when(move & before, middle + 1).otherwise(s["low"]).alias("low"), F.when(move & ~before, middle).otherwise(s["high"]).alias("high"))
 
-    none = F.array().cast(_SPAN)
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    first = F.aggregate(steps, start, halve, lambda s: F.get(spans, s["low"]))
+    return F.coalesce(first["start"] < t["end"], F.lit(False))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -192,9 +213,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     assign = F.filter("assign", lambda s: F.length(F.regexp_extract(s["m"], KINDS[0][1], 2)) >= KINDS[0][2])
     tagged = [_tagged(assign if k == "assign" else F.col(k), i, k) for i, (k, *_) in enumerate(KINDS)]
     base = F.array_sort(F.concat(*tagged))
-    rows = found.select("doc_id", base.alias("base"), "tokens")
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows = rows.withColumn("free", F.when(F.size("tokens") > 0, free).otherwise(F.col("tokens"))).drop("tokens")
+    rows = found.withColumn("assign", assign).select("doc_id", base.alias("base"), *[k for k, *_ in KINDS], "tokens")
+    free = F.filter("tokens", lambda t: ~(_meets(F.col("assign"), t) | _meets(F.col("access"), t) | _meets(F.col("hex"), t)))
+    rows = rows.withColumn("free", F.when((F.size("tokens") > 0) & (F.size("base") > 0), free).otherwise(F.col("tokens"))).drop("tokens", *[k for k, *_ in KINDS])
     tested = F.transform("free", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), battery(t["m"]).alias("r")))
     tested = F.filter(tested, lambda t: t["r"].isNotNull())
     bucket = lambda p: F.least(F.floor(-F.log10(p) * 100), F.lit(BUCKETS)).cast("int")
