@@ -17,15 +17,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwork.llm.common import ALNUM, alnum_words, fresh, raw, stored, whole
+from strandwork.llm.common import ALNUM, alnum_words, fresh, mix64, raw, stored, whole, word_hashes
 
 WIDTH = 10
 #: Words of a benchmark whose index (at most about 150 bytes a word) may be broadcast.
 MAX_INDEX_WORDS = 2_000_000
+#: Bits of the bitmap that a larger benchmark's windows are looked up in (16 MB).
+BITS = 27
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 HITS = T.StructType(
@@ -130,49 +132,85 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_words: i
     return _mark_by_join(docs, benchmark, width, name), name
 
 
-def _windows(words: Column, size: Column | int) -> Column:
-    """Structs (at, win) of all runs of that many words."""
-    last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, size), " ").alias("win"))))
+_WINDOWS = "doc_id {kind}, text_key long, at int, size int, code long, win binary"
+
+
+def _window_rows(kind: str, width: int, sizes: list[int] | None, bits: bytes | None):
+    """Windows of texts as rows: an item's own windows (sizes is None), or all windows of the sizes whose code is in bits."""
+
+    def emit(batches):
+        seen = None if bits is None else np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            for i, key, text in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = alnum_words(text)
+                if not words:
+                    continue
+                h = word_hashes(words)
+                for size in sizes if sizes is not None else [min(width, len(words))]:
+                    if len(words) < size:
+                        continue
+                    code = np.full(len(words) - size + 1, size, np.uint64)
+                    for k in range(size):
+                        code = code * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(code)]
+                    code = mix64(code)
+                    at = np.arange(len(code)) if seen is None else np.flatnonzero(seen[code >> np.uint64(64 - BITS + 3)] >> (code >> np.uint64(64 - BITS) & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.repeat(i, len(at)), pa.repeat(key, len(at)), pa.array(at, pa.int32()), pa.array(np.full(len(at), size), pa.int32()),
+                            pa.array(code[at].view(np.int64)), pa.array([b" ".join(words[p : p + size]) for p in at.tolist()], pa.binary()),
+                        ], names=["doc_id", "text_key", "at", "size", "code", "win"])
+
+    return emit
+
+
+def _bitmap(windows: DataFrame) -> bytes:
+    """The codes' upper bits as a bitmap of a fixed size, put together in parts of 32,768 bits."""
+    top = F.shiftrightunsigned("code", 64 - BITS) + 1  # bucket numbers count from 1
+    parts = windows.select(F.bitmap_bucket_number(top).alias("part"), F.bitmap_bit_position(top).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(1 << BITS - 3)
+    for r in parts.collect():  # at most 2 ** BITS / 32768 rows of 4 KB
+        out[(r.part - 1) * 4096 : r.part * 4096] = bytes(r.bits)
+    return bytes(out)
 
 
 def _mark_by_join(docs: DataFrame, benchmark: DataFrame, width: int, name: str) -> DataFrame:
-    """The same column for a benchmark too large to broadcast: windows meet in a join."""
-    low = lambda c: F.translate(whole(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(low("text"), F.lit(WORD), F.lit(0))
-    item = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words.alias("w")).where(F.size("w") > 0)
-    item = item.withColumn("size", F.least(F.size("w"), F.lit(width)))
-    item = stored(item.select("item_id", "size", F.explode(_windows(F.col("w"), F.col("size"))).alias("x")).select("item_id", "size", F.col("x.win").alias("win")).distinct(), "windows")
+    """The same column for a benchmark too large to broadcast: windows meet in a join.
+
+    Windows are hashed where their text is read. A bitmap of the benchmark's codes, of 2 ** BITS bits whatever the
+    benchmark's size, lets only windows through that may be hits, and these are joined by code and compared word by word.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    key = F.xxhash64(whole("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("doc_id"), key.alias("text_key"), raw("text").alias("text"))
+    item = items.mapInArrow(_window_rows("string", width, None, None), _WINDOWS.format(kind="string"))
+    item = stored(item.select(F.col("doc_id").alias("item_id"), "size", "code", "win").distinct(), "windows")
     sizes = [r.size for r in item.select("size").distinct().collect()]  # at most `width` rows
-    doc = docs.select("doc_id", F.xxhash64(whole("text")).alias("k"), words.alias("w")).dropDuplicates(["doc_id", "k"])
-    parts = [
-        doc.select("doc_id", "k", F.explode(_windows(F.col("w"), n)).alias("x")).select("doc_id", "k", F.lit(n).alias("size"), "x.at", "x.win")
-        for n in sizes
-    ]
-    if not parts:
-        parts = [doc.select("doc_id", "k", F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit("").alias("win")).limit(0)]
-    seen = parts[0]
-    for p in parts[1:]:
-        seen = seen.unionByName(p)
-    hit = seen.join(item, ["size", "win"]).select("doc_id", "k", "at", "size", "item_id")
-    place = hit.groupBy("doc_id", "k").agg(
+    texts = docs.select("doc_id", key.alias("text_key"), raw("text").alias("text"))
+    seen = texts.mapInArrow(_window_rows(kind, width, sizes, _bitmap(item)), _WINDOWS.format(kind=kind)).distinct()
+    hit = seen.join(item, ["size", "code", "win"]).select("doc_id", "text_key", "at", "size", "item_id")
+    place = hit.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).alias("p"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     p = F.col("p")
-    edge = lambda step: F.filter(p, lambda x: ~F.array_contains(p, x + step))
-    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
-    place = place.select(F.col("doc_id").alias("_i"), F.col("k").alias("_k"), F.size("p").cast("long").alias("_n"), F.col("items").alias("_items"), spans.alias("_spans"))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    starts = F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i - 1) == x - 1, F.lit(False)))
+    ends = F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i + 1) == x + 1, F.lit(False)))
+    spans = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    named: list[str] = []
+    for want in ("of_id", "of_key", "n", "items", "spans"):
+        named.append(fresh([*docs.columns, *named], want))
+    place = place.select("doc_id", "text_key", F.size("p").cast("long"), "items", spans).toDF(*named)
+    of_id, of_key, n, found, at = (F.col(c) for c in named)
+    words = F.regexp_extract_all(whole("text"), F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60")), F.lit(0))
     return (
-        docs.join(place, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(whole("text")) == F.col("_k")), "left")
+        docs.join(place, F.col("doc_id").eqNullSafe(of_id) & (key == of_key), "left")
         .select(
-            *keep,
+            *[F.col(f"`{c}`") for c in docs.columns],
             F.struct(
                 F.size(words).cast("long").alias("n_words"),
-                F.coalesce("_n", F.lit(0)).cast("long").alias("n_hit"),
-                F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
-                F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+                F.coalesce(n, F.lit(0)).cast("long").alias("n_hit"),
+                F.coalesce(found, F.array().cast("array<string>")).alias("items"),
+                F.coalesce(at, F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
             ).alias(name),
         )
     )

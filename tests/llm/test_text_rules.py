@@ -67,6 +67,13 @@ def test_contamination_by_index_and_by_join(spark, docs, limit):
         n, hit, items, _, _ = brute.hits(r.text, ITEMS)
         assert (r.n_words, r.n_hit, len(r["items"])) == (n, hit, items)
         assert sum(s.end - s.start for s in r.spans) == hit
+    many = clashing(d)
+    for c in ("_k", "_i", "_n", "_items", "_spans", "of_id", "of_key", "hits", "text_key", "win", "code", "p"):
+        many = many.withColumn(c, F.lit("mine"))
+    again, other = decontaminate.mark(many, bench(spark), max_words=limit)
+    assert again.columns == [*many.columns, other] and other not in many.columns
+    plain = lambda df, c: sorted(str((r.doc_id, r[c].n_words, r[c].n_hit, sorted(r[c]["items"]), r[c].spans)) for r in df.collect())
+    assert plain(again, other) == plain(held, name)
     if limit:
         want = [(r.doc_id, *brute.hits(r.text, ITEMS)) for r in rows]
         got = decontaminate.contamination_report(d, bench(spark)).collect()
