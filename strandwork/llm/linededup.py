@@ -4,11 +4,12 @@ A run is the fewest consecutive lines from a line on, or up to a line, that have
 common block of enough words exactly if it stands in a common run, however short the lines are. Documents meet through their runs' hashes: the
 earliest document that has a run owns it, so each shared run gives every other holder one partner and no group is
 expanded into pairs. A pair's line sequences are aligned by a patience diff, and common blocks with enough words are
-deleted from the later document. Blocks that the alignment leaves, because they are moved or have no unique line, are
-found by their runs. So a line goes exactly if it stands in a block of enough words that any earlier document has.
+deleted from the later document. What an alignment leaves, because it is moved or has no unique line, is aligned again by
+its runs, until no common run is left. So a line goes exactly if it stands in a block of enough words that any earlier
+document has.
 
 No line or run is left out for being common: a common one has one owner like any other, so the work stays linear in its
-holders.
+holders. Were partners chosen by rare runs only, blocks of common lines would stay.
 
 Defined results: order is by doc_id, nulls last, then by the text's hash; equal rows (same id, same text) are the same
 document, get the same output and delete nothing from each other. Null and empty texts have no lines and come back
@@ -22,14 +23,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.llm.common import fresh, mix64, stored, whole
 
-#: Words of a line that says something by itself; candidates and cuts don't depend on it.
-MIN_WORDS = 8
 BLOCK_WORDS = 12
 #: Lines hashed at once.
 CHUNK = 200_000
@@ -131,18 +130,49 @@ def runs(lines: np.ndarray, words: np.ndarray, least: int, first: np.ndarray, la
     return out
 
 
-def repeated(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Which lines of b stand in a run of enough words that a has too, wherever; words are those of b's lines."""
+def _starts(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of one document's runs of both kinds."""
+    both = runs(lines, words, least, 0, len(lines))
+    return tuple(np.concatenate(x) for x in zip(*both, strict=True))
+
+
+def aligned(a: np.ndarray, b: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Which lines of b stand in common blocks of enough words of alignments with a; words are those of b's lines.
+
+    The first alignment is that of the lines. Blocks that are moved, or of lines that aren't unique, are left over by it,
+    so what is left is aligned again, by its runs of enough words: each distinct run that both have is an element, in the
+    order of its first places, and stands for all its places in b. The alignments take turns in following a downwards and
+    upwards, each takes at least one element, and the last leaves no common run.
+    """
+    cut = np.zeros(len(b), bool)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    for _, j, n in patience_blocks(a, b):
+        if total[j + n] - total[j] >= least:
+            cut[j : j + n] = True
+    if cut.all() or set(a.tolist()).isdisjoint(b[~cut].tolist()):
+        return cut
     known, at_b = np.unique(b, return_index=True)
     at = np.minimum(np.searchsorted(known, a), len(known) - 1)
     theirs = np.where(known[at] == a, words[at_b[at]], 0)  # runs over lines that b hasn't are not common anyway
-    depth = np.zeros(len(b) + 1, np.int64)
-    # each line of a common block is in the run from the block's first line on, or in the run that ends here
-    for (start, end, key), (_, _, other) in zip(runs(b, words, least, 0, len(b)), runs(a, theirs, least, 0, len(a)), strict=True):
-        both = np.isin(key, other)
-        np.add.at(depth, start[both], 1)
-        np.add.at(depth, end[both], -1)
-    return np.cumsum(depth[:-1]) > 0
+    (start, end, key), (start_a, _, key_a) = _starts(b, words, least), _starts(a, theirs, least)
+    upto = np.concatenate([[0], np.cumsum(~cut)])
+    left = np.isin(key, key_a) & (upto[end] > upto[start])  # runs that both have and that have a line left
+    start, end, key = start[left], end[left], key[left]
+    first_a = dict(zip(key_a[order := np.lexsort((-start_a,))].tolist(), start_a[order].tolist(), strict=True))
+    down = True
+    while len(key):
+        order = np.argsort(start, kind="stable")
+        ours = np.array(list(dict.fromkeys(key[order].tolist())), np.int64)
+        others = np.array(sorted(ours.tolist(), key=first_a.__getitem__, reverse=not down), np.int64)
+        taken = np.concatenate([ours[j : j + n] for _, j, n in patience_blocks(others, ours)])  # at least one: all are in both
+        go = np.isin(key, taken)
+        depth = np.zeros(len(b) + 1, np.int64)
+        np.add.at(depth, start[go], 1)
+        np.add.at(depth, end[go], -1)
+        cut |= np.cumsum(depth[:-1]) > 0
+        start, end, key = start[~go], end[~go], key[~go]
+        down = not down
+    return cut
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -173,13 +203,7 @@ def _cut(theirs: pa.Array, ours: pa.Array, words: pa.Array, least: pa.Array) ->
     """Line numbers of the later document inside common blocks with enough words."""
     out = []
     for a, b, w, n in zip(theirs, ours, words, least, strict=True):
-        a, b, w, n = np.asarray(a.values), np.asarray(b.values), np.asarray(w.values), n.as_py()
-        cut = np.zeros(len(b), bool)
-        for _, j, k in patience_blocks(a, b):
-            if w[j : j + k].sum() >= n:
-                cut[j : j + k] = True
-        if not cut.all() and not set(a.tolist()).isdisjoint(b[~cut].tolist()):
-            cut |= repeated(a, b, w, n)
+        cut = aligned(np.asarray(a.values), np.asarray(b.values), np.asarray(w.values), n.as_py())
         out.append(np.flatnonzero(cut).astype(np.int32))
     return pa.array(out, pa.list_(pa.int32()))
 
@@ -212,6 +236,13 @@ def cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("at")).select("doc.doc_id", "doc.text_key", "at")
 
 
+def _without(lines: Column, at: Column) -> Column:
+    """The lines less those at the sorted places: the stretches between neighbouring places, one after the other."""
+    bounds = lambda own: F.concat(F.array(F.lit(-1)), at, F.array(F.size(own)))
+    stretch = lambda own: lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda x, y: F.slice(own, x + 2, y - x - 1))
+    return F.transform(F.array(lines), lambda own: F.flatten(F.transform(F.array(bounds(own)), stretch(own))[0]))[0]
+
+
 def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, dict[str, str]]:
     """docs with the new text, its number of lines and of deleted lines; and the names of these three columns."""
     name: dict[str, str] = {}
@@ -222,7 +253,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFr
     keyed = docs.withColumn(name["row_key"], F.xxhash64(whole("text")))
     same = F.col("doc_id").eqNullSafe(F.col(name["cut_id"])) & (F.col(name["row_key"]) == F.col(name["cut_key"]))
     at = F.col(name["at"])
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(at, i)), "\n")
+    left = F.array_join(_without(lines, at), "\n")
     out = (
         keyed.join(found, same, "left")
         .withColumn(name["new_text"], F.when(at.isNull(), F.col("text")).otherwise(left))

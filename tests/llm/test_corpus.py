@@ -67,6 +67,57 @@ def test_line_dedup(spark, docs, none):
     assert linededup.line_report(none).count() == 0
 
 
+def plain_cut(a, b, words, least):
+    """Lines of b in a run of enough words that a has anywhere."""
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    cut = set()
+    for i in range(len(b)):
+        for j in range(i + 1, len(b) + 1):
+            if sum(words[i:j]) >= least and tuple(b[i:j]) in runs:
+                cut |= set(range(i, j))
+    return cut
+
+
+def test_alignment_decides(monkeypatch):
+    """What the alignments take is what any common run of enough words covers; without them nothing is cut."""
+    rng = random.Random(6)
+    size = {x: x % 5 * 2 + 1 for x in range(9)}
+    cases = [[[rng.randrange(5) for _ in range(rng.randrange(1, 16))] for _ in range(2)] for _ in range(400)]
+    cases += [[list(range(9)), list(range(8, -1, -1))], [list(range(9)) * 2, list(range(5, 9)) + list(range(5))]]
+    found = 0
+    for a, b in cases:
+        words = np.array([size[x] for x in b])
+        args = np.array(a, np.int64), np.array(b, np.int64), words, 10
+        got = set(np.flatnonzero(linededup.aligned(*args)).tolist())
+        assert got == plain_cut(a, b, words.tolist(), 10), (a, b)
+        found += len(got)
+    assert found > 500
+    monkeypatch.setattr(linededup, "patience_blocks", lambda a, b: [])
+    a = np.arange(5)
+    with pytest.raises(ValueError):  # a pass without a block would not end
+        linededup.aligned(a, a[::-1].copy(), np.full(5, 20), 10)
+    assert not linededup.aligned(a, a + 10, np.full(5, 20), 10).any()
+
+
+def test_many_lines_and_matches_in_one_text(spark):
+    """Four times the lines or matches take no more than some six times as long."""
+    import time
+
+    from strandwork.llm import secrets
+
+    seconds = {}
+    for n in (2_000, 20_000, 80_000):
+        lines_ = "\n".join(["one two three four five six seven"] * n)
+        start = time.perf_counter()
+        rows = linededup.line_report(spark.createDataFrame([(1, "x\n" + lines_), (2, lines_)], "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (2, n)]
+        middle = time.perf_counter()
+        row = secrets.secret_report(spark.createDataFrame([(1, "password=abcdef1 a1b2c3d4e5f6a7b8c9d0e1f2a3\n" * (n // 2))], "doc_id long, text string")).first()
+        assert (row.n_assign, row.n_hex) == (n // 2, n // 2)
+        seconds[n] = (middle - start, time.perf_counter() - middle)
+    assert all(b < 6 * a + 2 for a, b in zip(seconds[20_000], seconds[80_000], strict=True)), seconds
+
+
 def test_blocks_without_owners(spark):
     """Wrapped passages of short lines, stock lines with other owners, moved blocks and blocks without unique lines."""
     rng = random.Random(4)
