@@ -1,18 +1,25 @@
 """Surrogates for personal data, in native column expressions and joins.
 
-Detected entities (e-mail, phone, card, IBAN, US social security, IP address, titled name) get keyed replacements of
-their own type: every letter and digit is drawn anew and keeps its class, case, script (Latin for scripts without an
-alphabet here) and place, separators stay, card numbers pass their check digit, addresses stay addresses, names follow
-the title's gender and the name's script. The same entity (normalised; a title's dot doesn't count) gets the same
-surrogate everywhere, so coreference holds. Surrogates that two entities would share, or that equal any entity in the
-corpus, are drawn again under the next attempt until all are distinct; from attempt ``PLAIN`` on each is a character (an
-address, a number) longer than under the attempt before, so there is room for all.
+Detected entities (e-mail, phone, card, IBAN, US social security, IP addresses of both versions, titled name) get keyed
+replacements of their own type: every letter and digit is drawn anew and keeps its class, case, script (Latin for scripts
+without an alphabet here) and place, separators stay, card and account numbers pass their check digits, addresses stay
+addresses, names follow the title's gender and the name's script. The same entity (normalised; a title's dot doesn't
+count) gets the same surrogate everywhere, and a family name its own wherever it stands, so coreference holds between
+``Mr John Smith`` and ``Mr Smith``. Surrogates that two entities would share, or that equal any entity in the corpus, are
+drawn again under the next attempt until all are distinct; from attempt ``PLAIN`` on each is a character (an address, a
+number, an initial) longer than under the attempt before, so there is room for all.
+
+The key is a secret of the caller: who has it can repeat the draws and try names out.
 
 The mapping of distinct entities is a table, joined to the entities found; it is never collected or broadcast. Texts
-are cut at the entities and joined again, so an entity inside another's surrogate is never touched.
+are cut at the entities and joined again, so an entity inside another's surrogate is never touched. Texts without a match
+are not shuffled.
 
 Defined results: null text stays null, empty text empty. Of overlapping entities the leftmost counts, then the order of
-``KINDS``. Rows are told apart by id and text; equal rows get equal texts. Extra columns pass through.
+``KINDS``. A name is one or more titles and up to four names, with particles and initials; apostrophes and hyphens join
+names. Numbers of 16 digits are cards whether or not their check digit holds, other lengths from 13 to 19 only if it does,
+and in the groups that such cards are printed in. Rows are told apart by id and text; equal rows get equal texts. Extra
+columns pass through.
 """
 
 from __future__ import annotations
@@ -22,26 +29,35 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.common import fresh, stored, whole
 
-KEY = "strandwork-surrogates-1"
-
 #: Titles with the gender they tell, and given names by gender and script.
 TITLES = {
-    "m": ["Mr", "Mister", "Herr", "Señor", "Monsieur", "Господин"],
+    "m": ["Mr", "Mister", "Sir", "Herr", "Señor", "Monsieur", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"],
+    "n": ["Dr", "Prof"],
 }
 NAMES = {
     "m": {"latin": ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Oscar", "Paul", "Viktor"], "cyrillic": ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Павел"]},
     "f": {"latin": ["Anna", "Berta", "Clara", "Diana", "Elena", "Frida", "Greta", "Helena", "Irma", "Julia", "Klara", "Laura", "Maria", "Nora", "Paula", "Vera"], "cyrillic": ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"]},
 }
+#: Both genders' names, for titles that tell none.
+NAMES["n"] = {script: [*NAMES["m"][script], *NAMES["f"][script]] for script in NAMES["m"]}
+#: Particles of names.
+PARTICLES = ["de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "le", "van", "von", "ten", "ter", "zu", "al", "el", "bin", "ibn", "y", "e"]
+_TITLES = r"(?:(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? )+"
+_NAME = r"\p{Lu}[\p{L}\p{M}]*(?:(?:-|['’](?!s(?!\p{L})))[\p{L}\p{M}]+)*+"
+_PARTICLE = r"(?:(?:" + "|".join(PARTICLES) + r") )"
+_FULL = rf"(?:(?:\p{{Lu}}\. ){{1,3}})?{_PARTICLE}{{0,3}}{_NAME}(?: (?:\p{{Lu}}\. ){{0,2}}{_PARTICLE}{{0,3}}{_NAME}){{0,3}}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in order of precedence, with what they look like.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9.+-])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![0-9])",
+    "card": r"(?<![0-9.+-])(?:[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})|3[47][0-9]{2}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}|3[0689][0-9]{2}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{4}|[3-6][0-9]{12,18})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9.])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?|::{_HEX}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
+    "name": rf"(?<!\p{{L}}){_TITLES}{_FULL}(?![\p{{L}}\p{{M}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Attempts in all, and those that keep an entity's length.
@@ -49,27 +65,31 @@ ATTEMPTS, PLAIN = 24, 4
 
 
 def _kind(entity: Column) -> Column:
+    """An entity's kind; null for a number that is no card after all."""
     first, *rest = [(k, entity.rlike(f"^(?:{p})$")) for k, p in KINDS.items()]
     out = F.when(first[1], first[0])
     for k, c in rest:
         out = out.when(c, k)
-    return out
+    digits = F.regexp_replace(entity, "[^0-9]", "")
+    return F.when((out == "card") & (F.length(digits) != 16) & ~_luhn(digits).eqNullSafe(digits), None).otherwise(out)
 
 
 def _norm(kind: Column, entity: Column) -> Column:
-    """What makes two mentions the same entity."""
+    """What makes two mentions the same entity; of a name its gender and the names."""
+    title = F.regexp_extract(entity, r"^(\p{L}+)", 1)
+    gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
     return (
-        F.when(kind == "email", F.lower(entity))
+        F.when(kind.isin("email", "ip6"), F.lower(entity))
         .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.regexp_replace(entity, r"^(\p{L}+)\. ", "$1 "))
+        .when(kind == "name", F.concat(gender, F.lit("|"), F.regexp_replace(entity, f"^{_TITLES}", "")))
         .otherwise(entity)
     )
 
 
-def _draws(kind: Column, norm: Column, attempt: Column) -> Column:
+def _draws(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """48 numbers from 0 to 65535 drawn by key, entity and attempt."""
-    seed = F.concat_ws("|", F.lit(KEY), kind, norm, attempt.cast("string"))
+    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
     digest = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{i}")), 256) for i in range(3)])
     return F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int"))
 
@@ -128,41 +148,62 @@ def _luhn(number: Column) -> Column:
     return F.concat(F.substr(number, F.lit(1), F.length(number) - 1), ((10 - total % 10) % 10).cast("string"))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
-    """The surrogate of a normalised entity; formats such as separators are laid over it for each mention."""
+def _checked(country: Column, account: Column) -> Column:
+    """An account number with the two digits after its country that make the remainder by 97 one."""
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    rest = lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97
+    left = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), lambda a, c: rest(a, c).cast("int"))
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), account)
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, family: Column, key: str) -> Column:
+    """The surrogate of a normalised entity; formats such as separators are laid over it for each mention.
+
+    kind ``family``: a family name; kind ``name``: gender and names, with the surrogate of the family name given.
+    """
     more = F.greatest(attempt - PLAIN + 1, F.lit(0))
-    spare = F.when(kind == "name", F.substr(norm, F.length(norm))).when(kind == "email", "x").when(kind == "ip", ".0").otherwise("0")
+    spare = F.when(kind == "family", F.lower(F.substr(norm, F.length(norm)))).when(kind == "email", "x").when(kind == "ip", ".0").when(kind == "name", "").otherwise("0")
     longer = F.when(kind == "email", F.concat(F.repeat(spare, more), norm)).otherwise(F.concat(norm, F.repeat(spare, more)))
-    drawn = F.struct(_draws(kind, norm, attempt).alias("d"), longer.alias("norm"))
-    return F.transform(F.array(drawn), lambda v: _surrogate(kind, v["norm"], v["d"]))[0]
+    drawn = F.struct(_draws(kind, norm, attempt, key).alias("d"), longer.alias("norm"), more.alias("more"))
+    return F.transform(F.array(drawn), lambda v: _surrogate(kind, v["norm"], v["d"], family, v["more"]))[0]
 
 
-def _surrogate(kind: Column, norm: Column, d: Column) -> Column:
+def _full_name(norm: Column, d: Column, family: Column, more: Column) -> Column:
+    """Gender and names anew: the first whole given name is one of its gender and script, the others and initials are
+    masked, particles stay, and later attempts have further initials."""
+    gender, names = F.substring_index(norm, "|", 1), F.split(F.substring_index(norm, "|", -1), " ")
+    given = F.slice(names, F.lit(1), F.size(names) - 1)
+    script = F.when(norm.rlike(r"\|\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\|\p{IsLatin}"), "latin")
+    own = None
+    for g, scripts in NAMES.items():
+        for s, known in scripts.items():
+            drawn = F.element_at(F.array([F.lit(n) for n in known]), F.element_at(d, 1) % len(known) + 1)
+            own = F.when((gender == g) & (script == s), drawn) if own is None else own.when((gender == g) & (script == s), drawn)
+    whole_name = lambda w: w.rlike(r"^\p{Lu}") & ~w.endswith(".")
+    first = F.array_position(F.transform(given, whole_name), True) - 1
+    turned = lambda i: F.concat(F.slice(d, i % 40 + 2, 47 - i % 40), F.slice(d, F.lit(1), i % 40 + 1))
+    new = F.transform(given, lambda w, i: F.when(w.rlike(r"^\p{Ll}"), w).when((i == first) & own.isNotNull(), own).otherwise(_masked(w, turned(i))))
+    letters = F.lit(_LETTERS[1])
+    initials = F.when(more > 0, F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.concat(F.substr(letters, F.element_at(d, i + 20) % 26 + 1, F.lit(1)), F.lit(".")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(gender, F.lit("|"), F.array_join(F.concat(new, initials, F.array(family)), " "))
+
+
+def _surrogate(kind: Column, norm: Column, d: Column, family: Column, more: Column) -> Column:
     masked = _masked(norm, d)
     at = F.instr(norm, "@")
     # the host's letters are drawn too; its last label becomes one that no host has
     email = F.concat(F.substring_index(masked, "@", 1), F.lit("@"), F.regexp_replace(F.substr(masked, at + 1), r"[^.]+$", "example"))
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.size(F.split(norm, r"\."))), lambda i: F.when(i == 1, 1 + F.element_at(d, i) % 223).otherwise(F.element_at(d, i) % 256).cast("string")), ".")
+    hexes = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substr(F.lit("0123456789abcdef"), F.element_at(d, i % 48 + 1) % 16 + 1, F.lit(1)))), "")
     number = lambda keep: F.concat(F.substr(norm, F.lit(1), F.lit(keep)), F.substr(masked, F.lit(keep + 1)))
-    title = F.regexp_extract(norm, r"^(\p{L}+) ", 1)
-    gender = F.when(title.isin(TITLES["m"]), "m").otherwise("f")
-    script = F.when(norm.rlike(r" \p{IsCyrillic}"), "cyrillic").when(norm.rlike(r" \p{IsLatin}"), "latin")
-    given = None
-    for g, scripts in NAMES.items():
-        for s, names in scripts.items():
-            drawn = F.element_at(F.array([F.lit(n) for n in names]), F.element_at(d, 1) % len(names) + 1)
-            given = F.when((gender == g) & (script == s), drawn) if given is None else given.when((gender == g) & (script == s), drawn)
-    given = given.otherwise(F.element_at(F.split(masked, " "), 2))  # a script without given names
-    words = F.split(norm, " ")
-    # of two names the first is a given name and the second a masked family name; one alone is a masked family name
-    name = F.when(F.size(words) > 2, F.concat_ws(" ", title, given, F.element_at(F.split(masked, " "), 3))).otherwise(F.concat_ws(" ", title, F.element_at(F.split(masked, " "), 2)))
     return (
         F.when(kind == "email", email)
         .when(kind == "card", _luhn(masked))
         .when(kind == "ip", ip)
+        .when(kind == "ip6", hexes)
         .when(kind == "phone", number(1))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.substr(masked, F.lit(3))))
-        .when(kind == "name", name)
+        .when(kind == "iban", _checked(F.substr(norm, F.lit(1), F.lit(2)), F.substr(masked, F.lit(5))))
+        .when(kind == "name", _full_name(norm, d, family, more))
         .otherwise(masked)
     )
 
@@ -177,16 +218,16 @@ def _laid_over(kind: Column, mention: Column, value: Column) -> Column:
         lambda a, x: F.struct((a["n"] + x["p"]).alias("n"), F.concat(a["out"], F.when(x["p"] == 1, F.substr(value, a["n"] + 1, F.lit(1))).otherwise(x["c"])).alias("out")),
         lambda a: F.concat(a["out"], F.substr(value, a["n"] + 1)),  # a longer surrogate goes on behind
     )
-    titled = F.concat(F.substring_index(mention, " ", 1), F.substr(value, F.instr(value, " ")))
+    titled = F.concat(F.regexp_extract(mention, f"^({_TITLES})", 1), F.substring_index(value, "|", -1))
     return F.when(kind.isin("card", "ssn", "phone", "iban"), laid).when(kind == "name", titled).otherwise(value)
 
 
-def _agreed(entities: DataFrame) -> DataFrame:
-    """entities (kind, norm), distinct -> kind, norm, value: all values distinct within a kind, and none an entity."""
+def _agreed(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, norm, family), distinct -> kind, norm, value: all values distinct within a kind, none an entity."""
     kept = None
-    open_ = entities.select("kind", "norm", F.lit(0).alias("attempt"))
+    open_ = entities.select("kind", "norm", "family")
     for attempt in range(ATTEMPTS):
-        drawn = stored(open_.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt)).alias("value")), "drawn")
+        drawn = stored(open_.select("kind", "norm", "family", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), F.col("family"), key).alias("value")), "drawn")
         taken = entities.select(F.col("kind"), F.col("norm").alias("value"), F.lit(True).alias("real"))
         if kept is not None:
             taken = taken.union(kept.select("kind", "value", F.lit(True)))
@@ -195,51 +236,62 @@ def _agreed(entities: DataFrame) -> DataFrame:
             drawn.join(first, ["kind", "value"])
             .join(taken.distinct(), ["kind", "value"], "left")
             .withColumn("ok", F.col("real").isNull() & (F.col("norm") == F.col("first")))
-            .select("kind", "norm", "value", "ok")
+            .select("kind", "norm", "family", "value", "ok")
         )
         checked = stored(checked, "checked")
         good = checked.where("ok").select("kind", "norm", "value")
         kept = good if kept is None else kept.union(good)
-        open_ = checked.where("NOT ok").select("kind", "norm", F.lit(attempt + 1).alias("attempt"))
+        open_ = checked.where("NOT ok").select("kind", "norm", "family")
         if not open_.limit(1).count():
             return kept
     raise ValueError("too few surrogates for the entities of a kind")
 
 
-def pseudonymise(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+def _mapping(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, norm), distinct -> kind, norm, value. Family names first, then names with their family's."""
+    none = F.lit(None).cast("string")
+    name = F.col("kind") == "name"
+    names = entities.where(name).withColumn("last", F.substring_index(F.substring_index("norm", "|", -1), " ", -1))
+    families = stored(_agreed(stored(names.select(F.lit("family").alias("kind"), F.col("last").alias("norm"), none.alias("family")).distinct(), "families"), key), "families")
+    names = names.join(families.select(F.col("norm").alias("last"), F.col("value").alias("family")), "last").select("kind", "norm", "family")
+    return _agreed(stored(entities.where(~name).select("kind", "norm", none.alias("family")).unionByName(names), "entities"), key)
+
+
+def pseudonymise(docs: DataFrame, key: str) -> tuple[DataFrame, dict[str, str]]:
     """docs with the new text and the number of entities; and the names of these columns."""
     name: dict[str, str] = {}
-    for want in ("new_text", "n_entities", "row_key", "of_id", "of_key", "values"):
+    for want in ("new_text", "n_entities", "row_key", "of_id", "of_key", "values", "n_found"):
         name[want] = fresh([*docs.columns, *name.values()], want)
     text, pattern = whole("text"), F.lit(PATTERN)
-    found = docs.select("doc_id", F.xxhash64(text).alias("k"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")).where(F.size("m") > 0).dropDuplicates(["doc_id", "k"])
+    matching = docs.where(text.rlike(PATTERN))
+    found = matching.select("doc_id", F.xxhash64(text).alias("k"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")).dropDuplicates(["doc_id", "k"])
     found = found.select("doc_id", "k", F.posexplode("m").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
     found = stored(found.withColumn("norm", _norm(F.col("kind"), F.col("mention"))), "mentions")
-    mapping = stored(_agreed(stored(found.select("kind", "norm").distinct(), "entities")), "surrogates")
-    value = _laid_over(F.col("kind"), F.col("mention"), F.col("value"))
+    mapping = stored(_mapping(found.where("kind IS NOT NULL").select("kind", "norm").distinct(), key), "surrogates")
+    value = F.coalesce(_laid_over(F.col("kind"), F.col("mention"), F.col("value")), F.col("mention"))
     values = (
-        found.join(mapping, ["kind", "norm"])
-        .select("doc_id", "k", F.struct("at", value.alias("v")).alias("x"))
+        found.join(mapping, ["kind", "norm"], "left")
+        .select("doc_id", "k", "kind", F.struct("at", value.alias("v")).alias("x"))
         .groupBy("doc_id", "k")
-        .agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("values"))
-        .toDF(name["of_id"], name["of_key"], name["values"])
+        .agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("values"), F.count("kind").alias("n"))
+        .toDF(*[name[x] for x in ("of_id", "of_key", "values", "n_found")])
     )
-    v = F.col(name["values"])
+    v, n = F.col(name["values"]), F.col(name["n_found"])
     pieces = F.split(text, PATTERN, -1)
     put = F.array_join(F.flatten(F.zip_with(pieces, v, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
     same = F.col("doc_id").eqNullSafe(F.col(name["of_id"])) & (F.col(name["row_key"]) == F.col(name["of_key"]))
-    out = (
-        docs.withColumn(name["row_key"], F.xxhash64(text))
-        .join(values, same, "left")
-        .withColumn(name["new_text"], F.when(v.isNull(), F.col("text")).otherwise(put))
-        .withColumn(name["n_entities"], F.coalesce(F.size(v), F.lit(0)).cast("long"))
-        .drop(*[name[x] for x in ("row_key", "of_id", "of_key", "values")])
+    changed = (
+        matching.withColumn(name["row_key"], F.xxhash64(text))
+        .join(values, same)
+        .withColumn(name["new_text"], F.when(n > 0, put).otherwise(F.col("text")))
+        .withColumn(name["n_entities"], n)
+        .drop(*[name[x] for x in ("row_key", "of_id", "of_key", "values", "n_found")])
     )
-    return out, name
+    others = docs.where(~text.rlike(PATTERN)).withColumn(name["new_text"], F.col("text")).withColumn(name["n_entities"], F.lit(0).cast("long"))
+    return changed.unionByName(others), name
 
 
-def pii_report(docs: DataFrame) -> DataFrame:
+def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the text with surrogates and the number of replaced entities."""
-    out, name = pseudonymise(docs.select("doc_id", "text"))
+    out, name = pseudonymise(docs.select("doc_id", "text"), key)
     return out.select("doc_id", F.col(name["new_text"]).alias("text"), F.col(name["n_entities"]).alias("n_entities"))
-

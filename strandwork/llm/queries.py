@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from strandwork.llm import backoff, decontaminate, fingerprints, jaccard, licenses, linededup, mixing, pii, quality, resampling, secrets, spelling, toxicity
 from strandwork.llm.common import table
 
+#: The key of the query's surrogates where the session sets none: an example, no secret.
+EXAMPLE_KEY = "example"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,7 +44,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.strandwork.surrogate.key", EXAMPLE_KEY)
+    return pii.pii_report(table(spark, sf_dir, "documents"), key)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

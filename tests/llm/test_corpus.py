@@ -297,7 +297,7 @@ FOREIGN = [
 
 def test_surrogates_of_all_scripts(spark):
     d = spark.createDataFrame(list(enumerate(FOREIGN)), "doc_id long, text string")
-    new = {r.doc_id: r.text for r in pii.pii_report(d).collect()}
+    new = {r.doc_id: r.text for r in pii.pii_report(d, "k").collect()}
     keep = 0
     for i, old in enumerate(FOREIGN):
         for a, b in zip(old.split(), new[i].split(), strict=True):
@@ -314,16 +314,96 @@ def test_surrogates_of_all_scripts(spark):
 
 def test_surrogates_where_all_short_ones_are_taken(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = [("name", f"Mr {x.upper()}{y}") for x in letters for y in letters] + [("email", f"{x}@{y}.example") for x in letters for y in letters]
-    got = pii._agreed(stored(spark.createDataFrame(rows, "kind string, norm string"), "entities")).collect()
-    assert sorted((r.kind, r.norm) for r in got) == sorted(rows)
+    rows = [("family", f"{x.upper()}{y}", None) for x in letters for y in letters] + [("email", f"{x}@{y}.example", None) for x in letters for y in letters]
+    rows += [("name", f"m|{x.upper()}. Bo", "Zu") for x in letters] + [("name", f"m|{x.upper()}{y} Bo", "Zu") for x in letters for y in "aeiou"] + [("name", f"{g}|van Bo", "Zu") for g in "mfn"]
+    entities = spark.createDataFrame(rows, "kind string, norm string, family string")
+    got = pii._agreed(stored(entities, "entities"), "k").collect()
+    assert sorted((r.kind, r.norm) for r in got) == sorted(r[:2] for r in rows)
     values = {(r.kind, r.value) for r in got}
-    assert len(values) == len(rows) and not values & set(rows)
+    assert len(values) == len(rows) and not values & {r[:2] for r in rows}
+    assert all(r.value.endswith(" Zu") for r in got if r.kind == "name") and ("name", "f|van Zu") in values
     longer = spark.createDataFrame([("card", "4539148803436467"), ("ssn", "123456789"), ("ip", "10.0.0.1")], "kind string, norm string")
-    out = {r.kind: r.v for r in longer.select("kind", pii.surrogate(F.col("kind"), F.col("norm"), F.lit(6)).alias("v")).collect()}
+    out = {r.kind: r.v for r in longer.select("kind", pii.surrogate(F.col("kind"), F.col("norm"), F.lit(6), F.lit(None).cast("string"), "k").alias("v")).collect()}
     assert len(out["card"]) == 19 and luhn(out["card"]) and len(out["ssn"]) == 12 and out["ip"].count(".") == 6
 
 
+def iban_holds(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+NAMED = [
+    "Mr McDonald met Ms Anne-Marie Smith, Mrs O'Neil and Mr John Ronald Tolkien.",
+    "Dr. J. R. R. Tolkien's friend Sir Vincent van der Berg; Herr Dr. Müller. Mr John Smith, then Mr Smith and Mrs Smith's dog",
+    "cards 378282246310005 or 3782 822463 10005, 6011000990139424123, order 378282246310006 and time 1700000000000",
+    "from 2001:db8::8a2e:370:7334 and 2001:0DB8:0000:0000:0000:8a2e:0370:7334 to fe80::1 at 10:30:15, std::vector",
+    "GB82 WEST 1234 5698 7654 32 and DE62446888420123456789 and 4539148803436467 4539 1488 0343 6467",
+]
+
+
+def test_surrogates_leave_nothing_half(spark):
+    d = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pii_report(d, "k").collect()}
+    new = [got[i].text for i in range(len(NAMED))]
+    assert [got[i].n_entities for i in range(len(NAMED))] == [4, 6, 2, 3, 4]
+    for word in ("Donald", "Anne", "Marie", "Neil", "John", "Ronald", "Tolkien", "Vincent", "Berg", "Müller", "Smith"):
+        assert word not in new[0] and word not in new[1], (word, new[:2])
+    assert new[0].startswith("Mr ") and new[0].endswith(".") and "'" in new[0].split(" and ")[0]
+    assert " van der " in new[1] and "'s friend Sir " in new[1] and "Herr Dr. " in new[1]
+    one, two, three = (new[1].split(x)[1] for x in ("Mr ", ", then Mr ", " and Mrs "))
+    family = two.split(" and ")[0]
+    assert one.split(",")[0].split()[-1] == family == three.split("'s")[0] and one.split()[0] in pii.NAMES["m"]["latin"]
+    tolkien = [new[0].rstrip(".").split()[-1], new[1].split("'s")[0].split()[-1]]
+    assert tolkien[0] == tolkien[1]
+    cards = new[2].removeprefix("cards ").split(", order")[0]
+    first, second = cards.split(" or ")[0], cards.split(" or ")[1].split(", ")[0]
+    assert luhn(first) and len(first) == 15 and second.replace(" ", "") == first and second[4] == second[11] == " "
+    assert "6011000990139424123" in new[2] and new[2].endswith("order 378282246310006 and time 1700000000000")
+    assert "db8" not in new[3].lower() and "7334" not in new[3] and new[3].endswith(" at 10:30:15, std::vector") and new[3].count("::") == 3
+    a, b, rest = new[4].split(" and ")
+    assert iban_holds(a) and a.startswith("GB") and iban_holds(b) and b.startswith("DE") and "WEST" not in a and luhn(rest.split()[0])
+    assert rest.split(" ", 1)[1].replace(" ", "") == rest.split()[0]
+    other = [r.text for r in pii.pii_report(d, "another key").orderBy("doc_id").collect()]
+    assert all(x != y for x, y in zip(new, other, strict=True))
+
+
+def test_no_entity_is_left(spark):
+    """Random entities of all kinds, names in six scripts: none stands in the new texts, distinct ones stay distinct, equal ones
+    equal, and what is around them stays."""
+    rng = random.Random(11)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρστ", "աբգդեզէըթժիլխծկհ", "àáâäçèéêëìíîïñòóôö", "şğıčšžřůąę"]
+    word = lambda s, n: "".join(rng.choice(s) for _ in range(n))
+    digits = lambda n: word("0123456789", n)
+
+    def name():
+        s = rng.choice(scripts)
+        return " ".join(word(s, rng.randint(4, 9)).capitalize() for _ in range(rng.randint(1, 3)))
+
+    makers = {
+        "name": lambda: rng.choice(["Mr ", "Mrs ", "Dr. ", "Господин "]) + name(), "email": lambda: f"{word(scripts[rng.randrange(6)], 8)}.{digits(3)}@{word(scripts[0], 6)}.com",
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "phone": lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "ip6": lambda: ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(7)) + f":{rng.randrange(10)}", "card": lambda: digits(16), "iban": lambda: f"DE{digits(20)}",
+    }
+    entities = sorted({m() for m in makers.values() for _ in range(40)})
+    texts = [(i, f"before {e}; between {entities[(i * 7) % len(entities)]}, after") for i, e in enumerate(entities)]
+    got = {r.doc_id: r.text for r in pii.pii_report(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    assert not [e for e in entities for t in got.values() if e in t]
+    first, second = {}, {}
+    for i, t in got.items():
+        assert t.startswith("before ") and t.endswith(", after") and "; between " in t, t
+        first[entities[i]], second[entities[(i * 7) % len(entities)]] = t[7:-7].split("; between ")
+    assert len(set(first.values())) == len(entities) and all(first[e] == x for e, x in second.items())
+    parts = {w for e in entities if e[0] in "MDГ" for w in e.split()[1:]}
+    assert not parts & {w for t in got.values() for w in t.replace(",", " ").replace(";", " ").split()}
+
+
+def test_texts_without_a_match_are_not_shuffled(spark):
+    d = spark.createDataFrame([(1, "nothing here"), (2, "Mr Smith")], "doc_id long, text string")
+    plan = pii.pseudonymise(d, "k")[0]._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("Union", 1)[1].strip().splitlines()
+    assert any("NOT" in x and "RLIKE" in x for x in top) and plan.count("Join") >= 1
+
+
 def luhn(s):
     d = [int(x) for x in s if x.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
@@ -331,7 +411,7 @@ def luhn(s):
 
 def test_surrogates(spark, docs, none):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(PRIVATE)] + [(1, PRIVATE[1])], "doc_id long, text string")
-    rows = pii.pii_report(d).collect()
+    rows = pii.pii_report(d, "k").collect()
     assert len(rows) == 9
     got = {r.doc_id: r for r in rows}
     new = {i: r.text for i, r in got.items()}
@@ -347,17 +427,17 @@ def test_surrogates(spark, docs, none):
     assert names.startswith("Frau ") and "Müller" not in names and "Doe" not in names and "Иванов" not in names
     second, third = names.split(" and ")[1].split(" met ")
     assert second.split()[1] in pii.NAMES["f"]["latin"] and third.split()[1] in pii.NAMES["m"]["latin"]
-    assert pii.pii_report(docs).count() == docs.count() and pii.pii_report(none).count() == 0
-    out, name = pii.pseudonymise(clashing(docs))
+    assert pii.pii_report(docs, "k").count() == docs.count() and pii.pii_report(none, "k").count() == 0
+    out, name = pii.pseudonymise(clashing(docs), "k")
     assert out.columns == [*clashing(docs).columns, name["new_text"], name["n_entities"]]
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     ips = [f"{a}.{b}.1.1" for a in range(1, 41) for b in range(40)]
     d = spark.createDataFrame([(i, f"from {x} on") for i, x in enumerate(ips)], "doc_id long, text string")
-    from_few = lambda kind, norm, d_: F.concat(F.lit("9.9.9."), (F.element_at(d_, 2) % 8000).cast("string"))
+    from_few = lambda kind, norm, d_, family, more: F.concat(F.lit("9.9.9."), (F.element_at(d_, 2) % 8000).cast("string"))
     monkeypatch.setattr(pii, "_surrogate", from_few)  # a space so small that draws collide
-    new = [r.text for r in pii.pii_report(d).collect()]
+    new = [r.text for r in pii.pii_report(d, "k").collect()]
     assert len(set(new)) == len(ips)
 
 
