@@ -59,7 +59,12 @@ KINDS = {
     "ip6": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|{_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?|::{_HEX}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
     "name": rf"(?<!\p{{L}}){_TITLES}{_FULL}(?![\p{{L}}\p{{M}}])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The kinds in this order, each tried only where its first character can stand; inside a word of small letters none can.
+_NUMBERS = "|".join(f"(?:{KINDS[k]})" for k in ("card", "ssn", "phone", "ip"))
+PATTERN = (
+    rf"(?:(?<![a-z])|(?=[0-9A-Z+(:]))(?:(?:{KINDS['email']})|(?=[A-Z])(?:{KINDS['iban']})|(?=[0-9+(])(?:{_NUMBERS})"
+    rf"|(?=[0-9A-Fa-f:])(?:{KINDS['ip6']})|(?=\p{{Lu}})(?:{KINDS['name']}))"
+)
 #: Attempts in all, and those that keep an entity's length.
 ATTEMPTS, PLAIN = 24, 4
 
