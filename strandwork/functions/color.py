@@ -17,6 +17,10 @@ VIVID, FREE, TURN, TURN_COST, DARK, LIGHT, DARK_COST = 0.035, 15, 30, 24, 0.22,
 #: Fixed values of skin: least red, green and blue; red over green, green over blue; least red less blue, most red less green.
 SKIN_LEAST, SKIN_RATIOS, SKIN_APART = (45, 22, 12), (1.12, 1.06), (18, 135)
 
+#: The inverses of both.
+FROM_LAB = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.0638541728), (1.0, -0.0894841775, -1.2914855480))
+FROM_LMS = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.7076147010))
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
@@ -43,6 +47,12 @@ def oklab(r: Column, g: Column, b: Column) -> Column:
     return F.struct(*[_dot(row, roots).alias(n) for row, n in zip(TO_LAB, "lab", strict=True)])
 
 
+def from_oklab(l: Column, a: Column, b: Column) -> Column:
+    """Struct (r, g, b) of whole channels, clamped."""
+    cubes = [F.pow(_dot(row, [l, a, b]), F.lit(3.0)) for row in FROM_LAB]
+    return F.struct(*[linear_to_srgb(_dot(row, cubes)).alias(n) for row, n in zip(FROM_LMS, "rgb", strict=True)])
+
+
 def hsv(r: Column, g: Column, b: Column) -> Column:
     """Struct (h in degrees, s, v)."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)

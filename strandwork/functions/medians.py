@@ -52,3 +52,10 @@ def ranked_columns(df: DataFrame, groups: Sequence[str], ranks: dict[str, tuple[
 def upper_medians(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """groups, middle: the element at floor(n / 2) of the sorted values, the upper middle for an even count."""
     return ranked_values(df, groups, value, {"middle": lambda n: F.floor(n / 2)})
+
+
+def summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """groups, n, least, most, middle (the mean of the two middle ones), total of a measure's values; nulls don't count."""
+    sides = ranked_values(df, groups, value, {"_lower": lambda n: F.floor((n - 1) / 2), "_upper": lambda n: F.floor(n / 2)})
+    sums = df.groupBy(*groups).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value).alias("total"))
+    return sums.join(sides, list(groups), "left").select(*groups, "n", "least", "most", ((F.col("_lower") + F.col("_upper")) / 2).alias("middle"), "total")

@@ -127,3 +127,48 @@ def dominant_value(df: DataFrame, groups: Sequence[str], channels: Sequence[str]
     return top_one(exact, groups, [F.desc("bucket_count"), F.col("bucket_seen"), F.desc("n"), F.col("far"), F.col("first_seen")]).select(
         *groups, *channels, F.col("n").alias("value_count"), "bucket_count"
     )
+
+
+def merge_problems(members: DataFrame, same: Sequence[str], most: int = 100) -> DataFrame:
+    """merged and problem: why its members (merged, position, and the columns that must be alike) can't be chained.
+
+    ``different <column>`` for the first of the columns in which two members differ, ``too many members``; null if none.
+    """
+    kinds = members.groupBy("merged").agg(F.count("*").alias("_n"), *[(F.count_distinct(F.struct(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())) > 1).alias(f"_{c}") for c in same])
+    problem = F.when(F.col("_n") > most, "too many members")
+    for c in same:
+        problem = problem.when(F.col(f"_{c}"), f"different {c}")
+    return kinds.select("merged", problem.alias("problem"))
+
+
+def rewritten_key(key: Column, old: Column, new: Column, shift: Column | int = 0) -> Column:
+    """A key of an owner or of its frame (``owner`` or ``owner:frame``) under a new owner, the frame moved by the shift;
+    keys of other owners stay."""
+    frame = F.regexp_extract(key, r":(\d+)$", 1).try_cast("bigint")
+    own = key.startswith(F.concat(old, F.lit(":")))
+    tail = F.substr(key, F.length(old) + 1)
+    moved = F.when(frame.isNotNull(), F.concat(F.regexp_replace(tail, r"\d+$", ""), (frame + shift).cast("string"))).otherwise(tail)
+    return F.when(key == old, new).when(own, F.concat(new, moved)).otherwise(key)
+
+
+def renamed(bindings: DataFrame, names: DataFrame, owner: str, columns: Sequence[str]) -> DataFrame:
+    """bindings with their owner and their key columns under the new name; names: old, new. Owners without one stay."""
+    both = bindings.join(names.select(F.col("old").alias("_old"), F.col("new").alias("_new")), F.col(owner) == F.col("_old"), "left")
+    keys = {c: F.when(F.col("_new").isNotNull(), rewritten_key(F.col(c), F.col("_old"), F.col("_new"))).otherwise(F.col(c)) for c in columns}
+    return both.withColumns({**keys, owner: F.coalesce("_new", owner)}).drop("_old", "_new")
+
+
+def mirrored(x: Column, rotation: Column, flipped: Column) -> Column:
+    """Struct (x, rotation) of a box on a frame that is turned around, both with their sign changed."""
+    turn = lambda c: F.when(F.coalesce(flipped, F.lit(False)), -c).otherwise(c)
+    return F.struct(turn(x).alias("x"), turn(rotation).alias("rotation"))
+
+
+def still_used(assets: DataFrame, bindings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Assets that a binding names."""
+    return assets.join(bindings.select(*keys), list(keys), "left_semi")
+
+
+def canonical_json(text: Column) -> Column:
+    """A JSON text with the keys of all its objects in order and without blanks; null where it doesn't parse."""
+    return F.to_json(F.try_parse_json(text))

@@ -201,3 +201,53 @@ def hue_spread(df: DataFrame, groups: Sequence[str], degrees: Column) -> DataFra
     mean = F.pmod(F.degrees(F.atan2("s", "c")) + 360, F.lit(360.0))
     whole = lambda v: F.floor(v * 1000 + 0.5).cast("long")
     return s.select(*groups, "n", whole(mean).alias("mean_milli"), F.when(length >= 1, F.lit(0)).otherwise(whole(F.degrees(F.sqrt(-2 * F.log(length))))).cast("long").alias("deviation_milli"))
+
+
+def cut_out(px: DataFrame, images: Sequence[str], width: int, height: int, plate: Column, threshold: int = VISIBLE) -> DataFrame:
+    """images and cut: whether an image's background is gone already, judged by the band along its border.
+
+    A band that is half plate says no, unless half of the inside is clear; one that is half clear says yes; else some
+    plate says no where the inside isn't punched, and the outermost ring decides. plate: whether a pixel is studio plate.
+    """
+    depth = max(3, min(12, -(-min(width, height) * 4 // 100)))
+    x, y = F.col("x"), F.col("y")
+    band = (x < depth) | (x >= width - depth) | (y < depth) | (y >= height - depth)
+    outer = (x == 0) | (y == 0) | (x == width - 1) | (y == height - 1)
+    clear = ~visible(threshold)
+    n = lambda c, name: F.count_if(c).alias(name)
+    counted = px.groupBy(*images).agg(n(band, "band"), n(band & clear, "clear"), n(band & ~clear & plate, "plates"), n(outer, "outer"), n(outer & clear, "open"), n(~band, "inside"), n(~band & clear, "holes"))
+    share = lambda a, b: F.col(a) * 2 >= F.col(b)
+    punched = (F.col("inside") > 0) & share("holes", "inside")
+    verdict = F.when(F.col("band") == 0, False).when(share("plates", "band"), punched).when(share("clear", "band"), True).when((F.col("plates") > 0) & ~punched, False).otherwise((F.col("outer") > 0) & share("open", "outer"))
+    small = F.lit(width < 2 or height < 2)
+    return counted.select(*images, (verdict & ~small).alias("cut"), "band", "clear", "plates")
+
+
+def frame_measurements(px: DataFrame, images: Sequence[str], threshold: int = VISIBLE) -> DataFrame:
+    """One record an image: body_width, body_height, feet_y, centre_y_x2 (doubled), opaque, near_white, and sole_x_milli,
+    the middle of the pixels on the lowest row. Images without visible pixels have zeros.
+
+    Pixels are summed by image row first, and only the rows meet again.
+    """
+    seen = visible(threshold)
+    white = seen & (0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b") >= WHITE) & (F.col("a") >= SOLID)
+    x = F.col("x").cast("long")
+    rows = px.groupBy(*images, "y").agg(F.min(_when(seen, x)).alias("first"), F.max(_when(seen, x)).alias("last"), F.count_if(seen).alias("n"), F.count_if(white).alias("white"), F.sum(_when(seen, x)).alias("s"))
+    held = F.col("n") > 0
+    y = F.col("y").cast("long")
+    lowest = F.max(F.when(held, F.struct(y.alias("y"), "s", "n")))
+    top, low = F.min(F.when(held, y)), F.max(F.when(held, y))
+    out = rows.groupBy(*images).agg(
+        (F.max("last") - F.min("first") + 1).alias("body_width"), (low - top + 1).alias("body_height"), low.alias("feet_y"), (top + low).alias("centre_y_x2"),
+        F.sum("n").alias("opaque"), F.sum("white").alias("near_white"), lowest.alias("_low"),
+    )
+    return out.withColumn("sole_x_milli", F.floor(F.col("_low.s") * 1000 / F.col("_low.n") + 0.5).cast("long")).drop("_low").fillna(0, ["body_width", "body_height", "feet_y", "centre_y_x2"])
+
+
+def overlay(left: DataFrame, right: DataFrame, key: Sequence[str], threshold: int = VISIBLE) -> DataFrame:
+    """key, x, y, r, g, b of the pixels visible in either image: white where in both, red where only in the left, cyan
+    where only in the right."""
+    side = lambda px, name: px.where(visible(threshold)).select(*key, "x", "y", F.lit(True).alias(name))
+    both = side(left, "l").join(side(right, "r"), [*key, "x", "y"], "full_outer")
+    on = lambda c: F.when(F.col(c), 255).otherwise(0)
+    return both.select(*key, "x", "y", on("l").alias("red"), on("r").alias("rest")).select(*key, "x", "y", F.col("red").alias("r"), F.col("rest").alias("g"), F.col("rest").alias("b"))

@@ -264,3 +264,13 @@ def even_samples(groups_df: DataFrame, length: str, count: int) -> DataFrame:
     k = F.least(F.col(length), F.lit(count))
     places = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda i: F.when(k > 1, F.floor(i * (F.col(length) - 1) / (k - 1) + 0.5)).otherwise(0))
     return groups_df.withColumn("frame_index", F.explode(F.when(k > 0, F.array_distinct(places)))).withColumn("frame_index", F.col("frame_index").cast("long"))
+
+
+def spread_places(start: Column, end: Column, count: Column) -> Column:
+    """``count`` places spread evenly from start to end (inclusive), halves up: the middle for one; where there are fewer
+    places than asked, some are repeated; none where the range or the count is empty."""
+    start, end, count = (c.cast("long") for c in (start, end, count))
+    at = lambda i: F.floor(start + i * (end - start) / F.greatest(count - 1, F.lit(1)) + 0.5)
+    many = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count, F.lit(1)) - 1), at)
+    none = F.array().cast("array<bigint>")
+    return F.when((count < 1) | (end < start) | (start < 0), none).when(count == 1, F.array(F.floor((start + end) / 2 + 0.5))).otherwise(many)

@@ -95,3 +95,31 @@ def steadiness(found: DataFrame, clips: DataFrame, groups: Sequence[str], centre
     n2 = (F.col("n") * F.col("n")).cast("double")
     score = F.col("n") / F.col("frames") - 2 * (F.col("_dc") / (n2 * 1000)) - F.col("_da") / F.greatest(F.lit(1.0), F.col("n") * F.col("_a").cast("double"))
     return drift.select(*groups, "n", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
+
+
+def contact_cells(frames: DataFrame, groups: Sequence[str], columns: int = 8, cell: int = 220, pad: int = 8) -> DataFrame:
+    """frames (groups, frame_index from 0) with their cell on a sheet of the group: column, row, x, y of its corner, and
+    sheet_width and sheet_height. A short sheet has as many columns as frames."""
+    n = F.count("*").over(W.partitionBy(*groups))
+    wide = F.least(n, F.lit(columns))
+    i = F.col("frame_index")
+    at = lambda k: (pad + k * (cell + pad)).cast("long")
+    size = lambda k: (k * cell + (k + 1) * pad).cast("long")
+    out = frames.withColumn("column", (i % wide).cast("long")).withColumn("row", F.floor(i / wide).cast("long"))
+    out = out.withColumn("sheet_width", size(wide)).withColumn("sheet_height", size(F.ceil(n / wide)))
+    return out.withColumn("x", at(F.col("column"))).withColumn("y", at(F.col("row")))
+
+
+def contact_pixels(px: DataFrame, placed: DataFrame, groups: Sequence[str], width: int, height: int, cell: int, least: int = 16, light: int = 200, dark: int = 150) -> DataFrame:
+    """Pixels of contact sheets: each frame's cell sampled from its nearest pixels, over a chequered ground of 4 x 4.
+
+    px: groups, frame_index, x, y, r, g, b, a; placed: as ``contact_cells`` gives it. Cells generate their own pixels, and
+    these name the source pixel that they show, so both meet by equality.
+    """
+    side = F.sequence(F.lit(0), F.lit(cell - 1))
+    every = placed.select(*groups, "frame_index", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(side).alias("_i")).withColumn("_j", F.explode(side))
+    source = lambda k, size: F.least(F.lit(size - 1), F.floor((F.col(k) + 0.5) * size / cell)).cast("long")
+    asked = every.select(*groups, "frame_index", (F.col("_x") + F.col("_i")).alias("sheet_x"), (F.col("_y") + F.col("_j")).alias("sheet_y"), source("_i", width).alias("x"), source("_j", height).alias("y"), ((F.floor(F.col("_i") / 4) + F.floor(F.col("_j") / 4)) % 2).alias("_odd"))
+    shown = px.where(F.col("a") > least).select(*groups, "frame_index", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
+    ground = F.when(F.col("_odd") == 0, light).otherwise(dark)
+    return asked.join(shown, [*groups, "frame_index", "x", "y"], "left").select(*groups, "frame_index", "sheet_x", "sheet_y", *[F.coalesce(c, ground).cast("int").alias(c) for c in "rgb"])

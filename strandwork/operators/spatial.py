@@ -95,3 +95,50 @@ def grid_step(cell: Column, source_width: Column) -> Column:
     want = F.greatest(F.lit(1.0), F.greatest(F.lit(1), source_width) / F.greatest(F.lit(1), cell) * cell / 5)
     base = F.pow(F.lit(10.0), F.floor(F.log10(want)))
     return F.when(base >= want, base).when(base * 2 >= want, base * 2).when(base * 5 >= want, base * 5).otherwise(base * 10)
+
+
+def grid_ticks(views: DataFrame, low: str, high: str, step: Column) -> DataFrame:
+    """views with tick: the multiples of the step from low to high, both inclusive."""
+    first, last = F.ceil(F.col(low) / F.col("_step")).cast("long"), F.floor(F.col(high) / F.col("_step")).cast("long")
+    ticks = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
+    return views.withColumn("_step", step.cast("double")).withColumn("_k", F.explode(ticks)).withColumn("tick", F.col("_k") * F.col("_step")).drop("_k", "_step")
+
+
+def named_cells(views: DataFrame, cells: str) -> DataFrame:
+    """views (x, y, width, height, columns, rows, and an array of names such as B3) -> views with cell, x1, y1, x2, y2 of
+    each named cell; names that the grid hasn't got are left out."""
+    each = views.withColumn("cell", F.explode(cells)).withColumn("cell", F.upper(F.trim("cell"))).where(F.col("cell").rlike("^[A-Z][0-9]+$"))
+    column, row = F.ascii("cell") - 65, F.substr("cell", F.lit(2)).try_cast("int")
+    inside = each.withColumn("_c", column).withColumn("_r", row).where((F.col("_c") < F.col("columns")) & F.col("_r").between(1, F.col("rows")))
+    edge = lambda start, k, size, n: F.col(start) + k * F.col(size) / F.col(n)
+    c, r = F.col("_c"), F.col("_r")
+    return inside.withColumns({"x1": edge("x", c, "width", "columns"), "x2": edge("x", c + 1, "width", "columns"), "y1": edge("y", r - 1, "height", "rows"), "y2": edge("y", r, "height", "rows")}).drop("_c", "_r")
+
+
+def cell_union(named: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The box around each group's cells, and the median of their centres (mid_x, mid_y)."""
+    mid = lambda a, b: F.median((F.col(a) + F.col(b)) / 2)
+    return named.groupBy(*groups).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), mid("x1", "x2").alias("mid_x"), mid("y1", "y2").alias("mid_y"))
+
+
+def integer_crop(box: Sequence[Column]) -> Column:
+    """Struct (x, y, width, height): the smallest whole pixels around a box."""
+    x, y = F.floor(box[0]).cast("long"), F.floor(box[1]).cast("long")
+    size = lambda high, low: F.greatest(F.lit(0).cast("long"), F.ceil(high).cast("long") - low)
+    return F.struct(x.alias("x"), y.alias("y"), size(box[2], x).alias("width"), size(box[3], y).alias("height"))
+
+
+def derived_point(box: Sequence[Column], mode: Column) -> Column:
+    """Struct (x, y): the middle of a box, or of the side that the mode names (bottom_center, top_center, left_center,
+    right_center)."""
+    x = F.when(mode == "left_center", box[0]).when(mode == "right_center", box[2]).otherwise((box[0] + box[2]) / 2)
+    y = F.when(mode == "top_center", box[1]).when(mode == "bottom_center", box[3]).otherwise((box[1] + box[3]) / 2)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def transformed_bounds(box: Sequence[Column], scale: Sequence[Column], degrees: Column, offset: Sequence[Column]) -> Column:
+    """Struct (x1, y1, x2, y2): bounds of a box that is scaled, turned about the origin and moved."""
+    sin, cos = F.sin(F.radians(degrees)), F.cos(F.radians(degrees))
+    corners = [(box[i] * scale[0], box[j] * scale[1]) for i in (0, 2) for j in (1, 3)]
+    xs, ys = [x * cos - y * sin for x, y in corners], [x * sin + y * cos for x, y in corners]
+    return F.struct((F.least(*xs) + offset[0]).alias("x1"), (F.least(*ys) + offset[1]).alias("y1"), (F.greatest(*xs) + offset[0]).alias("x2"), (F.greatest(*ys) + offset[1]).alias("y2"))

@@ -97,3 +97,12 @@ def fade(age: Column, lifetime: Column | float) -> Column:
     life = lifetime if isinstance(lifetime, Column) else F.lit(lifetime)
     left = 1 - age / life
     return F.when((age >= 0) & (left > 0), F.pow(left, F.lit(1.5))).otherwise(0.0)
+
+
+def played(seq: DataFrame, overrides: DataFrame, keys: Sequence[str], groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The frames that no override disables, numbered anew from 0 as new_index, and groups with kept and skipped counts."""
+    off = overrides.where(F.coalesce("disabled", F.lit(False))).select(*keys).distinct().withColumn("_off", F.lit(True))
+    marked = seq.join(off, list(keys), "left")
+    counts = marked.groupBy(*groups).agg((F.count("*") - F.count("_off")).alias("kept"), F.count("_off").alias("skipped"))
+    place = F.row_number().over(W.partitionBy(*groups).orderBy("frame_index")).cast("long") - 1
+    return marked.where("_off IS NULL").drop("_off").withColumn("new_index", place), counts
