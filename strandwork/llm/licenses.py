@@ -1,6 +1,7 @@
 """License scans through a positional index of rare licence words.
 
-Each template's words are posted with their positions. A file is looked up only in templates whose key phrases it has,
+Each template's words are posted with their positions; a licence is several templates, its paragraphs and usual notices,
+so that a text that is cut still has whole ones. A file is looked up in templates of whose key phrases it has all words,
 and in each of these by the template's own words: the highest-IDF ones among the file's, and those of the key phrases, so
 that no other text in the file takes their places. Each place of such a word and each posting vote for the place where
 the template would begin, votes within ``SLACK`` words support one another, and a supported place counts only if the
@@ -48,8 +49,71 @@ TEMPLATES = [
     ("mit", "SPDX-License-Identifier: MIT", ["spdx license identifier mit"]),
     ("apache", "SPDX-License-Identifier: Apache-2.0", ["spdx license identifier apache"]),
     ("gpl", "SPDX-License-Identifier: GPL-3.0", ["spdx license identifier gpl"]),
+    # parts of the same, for texts that are cut, and what follows the openings
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["to any person obtaining a copy of this software and associated documentation"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS", ["the author disclaims all warranties with regard to this software"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", ["this software is provided by the copyright holders and contributors"]),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement", ["all advertising materials mentioning features"]),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", ["bsd style license"]),
+    ("bsd", "Licensed under the BSD 3-Clause License", ["bsd 3 clause license"]),
+    ("bsd", "Licensed under the BSD 2-Clause License", ["bsd 2 clause license"]),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind"]),
+    ("apache", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements", ["apache software foundation", "contributor license agreements"]),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details", ["see the gnu general public license"]),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see", ["you should have received a copy of the gnu general public license"]),
+    ("lgpl", "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details", ["see the gnu lesser general public license"]),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library", ["you should have received a copy of the gnu lesser general public license"]),
+    ("lgpl", "under the terms of the GNU Library General Public License as published by the Free Software Foundation", ["gnu library general public license"]),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program", ["you should have received a copy of the gnu affero general public license"]),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation", ["gnu free documentation license"]),
+    # further licences
+    ("mpl", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License", ["mozilla public license version 1"]),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at", ["eclipse public license"]),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", ["eclipse public license v1"]),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License", ["common development and distribution license"]),
+    ("eupl", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence", ["licensed under the eupl"]),
+    ("eupl", "This work is licensed under the European Union Public Licence", ["european union public licence"]),
+    ("boost", "Distributed under the Boost Software License, Version 1.0", ["boost software license"]),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software", ["to any person or organization obtaining a copy of the software"]),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", ["to alter it and redistribute it freely"]),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", ["without a written agreement is hereby granted"]),
+    ("ncsa", "University of Illinois/NCSA Open Source License", ["ncsa open source license"]),
+    ("python", "This LICENSE AGREEMENT is between the Python Software Foundation (PSF), and the Individual or Organization (Licensee) accessing and otherwise using this software", ["python software foundation", "license agreement"]),
+    ("artistic", "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License", ["artistic license"]),
+    ("openssl", "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit", ["openssl toolkit"]),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1", ["sil open font license"]),
+    ("ms-pl", "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software", ["governs use of the accompanying software"]),
+    ("json", "The Software shall be used for Good, not Evil", ["shall be used for good not evil"]),
+    ("beerware", "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return", ["buy me a beer in return"]),
+    ("cecill", "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software", ["governed by the cecill"]),
+    ("sspl", "under the terms of the Server Side Public License, version 1, as published by MongoDB, Inc", ["server side public license"]),
+    ("busl", "Use of this software is governed by the Business Source License included in the file", ["business source license"]),
+    ("elastic", "you may not use this file except in compliance with the Elastic License", ["elastic license"]),
+    ("odbl", "This database is made available under the Open Database License", ["open database license"]),
+    ("cc0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ["dedicated all copyright and related and neighboring rights"]),
+    ("cc0", "Licensed under CC0 1.0 Universal", ["cc0 1 0 universal"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial 4"]),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ["creative commons attribution noncommercial sharealike"]),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["creative commons attribution noderivatives"]),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", ["creative commons attribution noncommercial noderivatives"]),
+    ("unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain", ["dedicate any and all copyright interest in the software"]),
+    ("public-domain", "This work has been released into the public domain by its author", ["released into the public domain by"]),
+    ("proprietary", "This software is the confidential and proprietary information of its owner. You shall not disclose such confidential information", ["confidential and proprietary information of"]),
+    ("proprietary", "Dissemination of this information or reproduction of this material is strictly forbidden unless prior written permission is obtained", ["strictly forbidden unless prior written permission is obtained"]),
     ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential", ["strictly prohibited", "proprietary and confidential"]),
 ]
+#: Short names of licences in tags, and their labels.
+TAGS = {
+    "BSD-3-Clause": "bsd", "BSD-2-Clause": "bsd", "ISC": "isc", "MPL-2.0": "mpl", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "Unlicense": "unlicense", "CC0-1.0": "cc0", "CC-BY-4.0": "cc-by",
+    "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc", "BSL-1.0": "boost", "Zlib": "zlib", "EPL-2.0": "epl", "EUPL-1.2": "eupl", "CDDL-1.0": "cddl", "PostgreSQL": "postgresql", "OFL-1.1": "ofl", "0BSD": "0bsd",
+}
+TEMPLATES += [(label, f"SPDX-License-Identifier: {tag}", [" ".join(w.decode() for w in alnum_words(f"SPDX License Identifier {tag}".encode()))]) for tag, label in TAGS.items()]
 #: Words looked up a template besides its key phrases'; places that agree to so many words; share of a template's words that must be there.
 TOP_WORDS, SLACK, COVERAGE = 12, 3, 0.6
 
@@ -74,14 +138,8 @@ class Index:
         for i, w in enumerate(words):
             if w in self.idf:
                 places[w].append(i)
-        live = [t for t, need in enumerate(self.needed) if all(w in places for w in need)]
-        if not live:
-            return {}
-        every = b" " + b" ".join(words) + b" "
         found: dict[str, float] = {}
-        for t in live:
-            if not all(b" " + b" ".join(k) + b" " in every for k in self.keys[t]):
-                continue
+        for t in (t for t, need in enumerate(self.needed) if all(w in places for w in need)):
             rare = [w for w in self.by_idf[t] if w in places][:TOP_WORDS]
             asked = {*rare, *self.needed[t]}
             starts = Counter(p - q for w in asked for q in self.postings[t][w] for p in places[w])

@@ -130,8 +130,10 @@ def ablations(bits: DataFrame, column: str = "fail_bits", version: str = CURRENT
     """For each rule of a policy: documents that fail it, and those that it alone removes; one pass over the ledger.
 
     Rows: rule, n_failed, n_only, n_kept_without. Masked bit patterns are counted first, so at most 2 ** rules rows meet.
+    Rows whose bits are null haven't been measured, and count nowhere.
     """
     mask = policy_mask(version)
+    bits = bits.where(F.col(column).isNotNull())
     patterns = bits.select(F.col(column).bitwiseAND(F.lit(mask)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
     rules = bits.sparkSession.createDataFrame([(r, 1 << RULE_NAMES.index(r)) for r in POLICIES[version]], "rule string, bit long")
     hit = F.col("p").bitwiseAND(F.col("bit")) != 0
@@ -160,6 +162,12 @@ def quality_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """ablations of the current policy over the documents."""
+    held, _, bits = ledger(docs.select("text"))
+    return ablations(held, bits)
+
+
 #: The same rows in DuckDB's SQL.
 SQL = r"""
 WITH w AS (
@@ -197,3 +205,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept
 FROM f
 """
+
+#: The ablations from the same ledger.
+ABLATION_SQL = (
+    SQL.rpartition("SELECT doc_id, n_words")[0]
+    + """SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, count(*) FILTER (fail_bits & (255 - bit) = 0) AS n_kept_without
+FROM (SELECT unnest(["""
+    + ", ".join(f"'{r}'" for r in RULE_NAMES)
+    + """]) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS bit) LEFT JOIN f ON true GROUP BY rule
+"""
+)

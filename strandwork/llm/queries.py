@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation_report(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
         op11_spelling_variants,
         op12_importance_resampling,
         op13_fingerprints,
+        quality_ablations,
     )
 }
 ORACLES = {
@@ -87,6 +92,7 @@ ORACLES = {
     "op3_decontamination": decontaminate.SQL,
     "op5_line_dedup": linededup.SQL,
     "op6_quality_rules": quality.SQL,
+    "quality_ablations": quality.ABLATION_SQL,
     "op8_jaccard_join": jaccard.SQL,
     "op11_spelling_variants": spelling.SQL,
     "op12_importance_resampling": resampling.SQL,

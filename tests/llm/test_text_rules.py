@@ -126,6 +126,29 @@ def test_licences_beside_long_texts():
         assert label in licenses.INDEX.lookup(brute_words(f"{every} {text} {every}"))
 
 
+def test_licences_that_are_cut_or_changed():
+    """Openings as files have them, and the share of templates found when the end is cut off or words are lost."""
+    cases = {
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Licensed under the EUPL, Version 1.2 or – as soon they will be approved by the European Commission - subsequent versions of the EUPL": "eupl",
+        "// Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)": "boost",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages": "zlib",
+        "SPDX-License-Identifier: EPL-2.0 OR GPL-2.0": "epl",
+    }
+    for text, label in cases.items():
+        assert label in licenses.INDEX.lookup(brute_words(text)), text
+    assert licenses.INDEX.lookup(brute_words("the license of the software is not the point of this public work and its terms")) == {}
+    rng = random.Random(4)
+    found = cut = lost = 0
+    for label, text, _ in licenses.TEMPLATES:
+        words = brute_words(text)
+        for _ in range(4):
+            found += 1
+            cut += label in licenses.INDEX.lookup(words[: max(1, len(words) * 9 // 10)])
+            lost += label in licenses.INDEX.lookup([w for w in words if rng.random() > 0.03])
+    assert cut / found > 0.55 and lost / found > 0.75, (cut / found, lost / found)
+
+
 def test_licences_against_plain_votes():
     """Texts of templates, shortened, mixed and with words lost or put in, against the rule without an index:
     a place counts if two votes of the template's rarest words that are there, or of its key phrases' words, support it."""
