@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,10 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Paths of the stored tables of this process that haven't been dropped.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, which cuts its lineage; lost executors lose nothing of it."""
     spark = df.sparkSession
@@ -48,6 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     system, at = _files(spark, path)
     system.deleteOnExit(at)
+    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -56,8 +63,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:
-        system, at = _files(df.sparkSession, df._stored_at)
-        system.delete(at, True)
+        _delete(df.sparkSession, df._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, at = _files(spark, path)
+    system.delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops at its end what was stored within it, but for the stored tables that the function it gives is called with."""
+    before, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _made[before:] if p not in kept]:
+            _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -84,3 +84,18 @@ def test_joins_are_on_all_keys(spark):
     attachments = spark.createDataFrame([(1, "", "walk", 0), (2, "", "h/run", 0), (3, "", "", 0), (4, "h/walk:0", "", 9)], "attachment_id long, key string, meta_animation string, meta_frame long")
     out = clips.attachments_of(frames, attachments)
     assert sorted((r.animation, r.attachment_id) for r in out.collect()) == [("run", 2), ("run", 3), ("walk", 1), ("walk", 3), ("walk", 4)]
+
+
+def test_stored_tables_are_dropped(spark):
+    """What a scratch keeps can be read after it, the rest is gone; a dropped table is gone at once."""
+    from strandwork.session import dropped, scratch, stored
+
+    exists = lambda df: (lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))(spark._jvm.org.apache.hadoop.fs.Path(df._stored_at))
+    outer = stored(spark.range(3), "outer")
+    with scratch(spark) as keep:
+        inner = stored(outer.where("id > 0"), "inner")
+        result = keep(stored(inner.withColumn("x", F.col("id") * 2), "result"))
+    assert exists(outer) and exists(result) and not exists(inner)
+    assert sorted(r.x for r in result.collect()) == [2, 4]
+    dropped(outer, result)
+    assert not exists(outer) and not exists(result)
