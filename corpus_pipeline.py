@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandwork.llm import decontaminate, jaccard, linededup, mixing, quality
-from strandwork.llm.common import stored, table
+from strandwork.llm.common import dropped, scratch, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; what a stage stored for itself goes when its result is stored, and that with the next."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        if last is not None:
+            dropped(last)
+        last = docs
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm.common import stored
+from strandwork.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = got.join(moved, "was").select("node", F.least("low", "to").alias("label"), F.col("was"))
         new = stored(new, "labels")
         changed = new.where("label <> was").limit(1).count()
+        dropped(labels)
         labels = new.select("node", "label")
+        labels._stored_at = new._stored_at
         if not changed:
+            dropped(both)
             return labels

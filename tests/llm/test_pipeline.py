@@ -2,7 +2,6 @@
 
 import random
 from collections import Counter
-from itertools import groupby
 
 import corpus_pipeline
 import pytest
@@ -40,19 +39,16 @@ def folder(spark, tmp_path_factory):
 
 def brute_force():
     kept = [(i, t, s) for i, t, _, s, _ in rows() if not brute.quality(t)[-1] and brute.quality(t)[2] == 0]
-    owner, out = {}, []
-    for i, t, s in kept:  # in order of id: a line's first holder owns it
-        for x in t.split("\n"):
-            if len(brute.spaced(x)) >= linededup.MIN_WORDS:
-                owner.setdefault(x, i)
-    for i, t, s in kept:
-        # shared lines here are unique in a document, and stand together in the owner's order: a run is an aligned block
-        lines, left = t.split("\n"), []
-        for other, run in groupby(lines, lambda x: owner.get(x, i)):
-            run = list(run)
-            if other == i or sum(len(brute.spaced(x)) for x in run) < linededup.BLOCK_WORDS:
-                left += run
-        t = "\n".join(left)
+    known, out = set(), []
+    for i, t, s in kept:  # in order of id: a line goes if it stands in a run of enough words that an earlier document has
+        lines, gone = t.split("\n"), set()
+        runs = {(j, k): tuple(lines[j:k]) for j in range(len(lines)) for k in range(j + 1, len(lines) + 1)}
+        runs = {at: run for at, run in runs.items() if sum(len(brute.spaced(x)) for x in run) >= linededup.BLOCK_WORDS}
+        for (j, k), run in runs.items():
+            if run in known:
+                gone |= set(range(j, k))
+        known |= set(runs.values())
+        t = "\n".join(x for j, x in enumerate(lines) if j not in gone)
         if brute.spaced(t):
             out.append((i, t, s))
     ids = brute.components([(i, t) for i, t, _ in out])
