@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandwork.plans import catalog, clips, frames, likeness, manifests, rasters, regions, sheets, stores, values  # noqa: F401
+from strandwork.plans import canvases, catalog, clips, frames, likeness, manifests, rasters, regions, sheets, stores, values  # noqa: F401
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
