@@ -235,3 +235,21 @@ def license_report(docs: DataFrame) -> DataFrame:
         F.array_join(x["labels"], ",").alias("labels"),
         x["score"].alias("score"),
     )
+
+
+def place_report(docs: DataFrame) -> DataFrame:
+    """What the base phrases find, without the index's labels and scores."""
+    return license_report(docs).drop("labels", "score")
+
+
+#: The same rows of the base phrases in DuckDB's SQL.
+PLACE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+a AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: words[i] = 'license') AS ends FROM w),
+p AS (SELECT *, list_filter(ends, lambda i: i > 1 AND words[i - 1] = 'mit') AS mit, list_filter(ends, lambda i: i > 1 AND words[i - 1] = 'apache') AS apache,
+             list_filter(ends, lambda i: i > 2 AND words[i - 1] = 'public' AND words[i - 2] = 'general') AS gpl FROM a),
+s AS (SELECT *, list_concat(list_transform(list_concat(mit, apache), lambda i: i - 2), list_transform(gpl, lambda i: i - 3)) AS starts FROM p)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(starts)::BIGINT AS n_base, list_min(starts) AS first_word, list_max(starts) AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM s
+"""

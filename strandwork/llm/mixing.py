@@ -153,3 +153,33 @@ def mix(
         F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("block"), F.col("epoch")).alias("block_order"),
         F.xxhash64(F.lit(seed + 3), F.col("key"), F.col("epoch")).alias("doc_order"),
     )
+
+
+def weight_report(docs: DataFrame) -> DataFrame:
+    """docs (source, text) -> source, tokens, weight_ppm (millionths), target at the default limits."""
+    words = F.regexp_count(whole("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    totals = docs.select("source", words.alias("tokens")).where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    return weigh(stored(totals, "totals")).select("source", "tokens", F.floor(F.col("weight") * 1000000 + 0.5).cast("long").alias("weight_ppm"), "target")
+
+
+_HALVINGS = STEPS_A_PASS * PASSES
+#: The same rows in DuckDB's SQL: both limits bisected one halving at a time, over the list of shares.
+WEIGHT_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT source, sum(n)::BIGINT AS tokens FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents) WHERE n > 0 GROUP BY source),
+l AS (SELECT list(tokens::DOUBLE / every) AS x, count(*) AS n, any_value(every) AS every FROM t, (SELECT sum(tokens) AS every FROM t)),
+h AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS e, 0.0::DOUBLE AS r, x, n FROM l
+  UNION ALL
+  SELECT k + 1, CASE WHEN ln(ze) - (e + w) * se / ze >= {ENTROPY} * ln(n) THEN e + w ELSE e END, CASE WHEN mr / zr > {REPEATS} THEN r + w ELSE r END, x, n
+  FROM (SELECT *, list_sum(list_transform(x, lambda v: pow(v, e + w))) AS ze, list_sum(list_transform(x, lambda v: pow(v, e + w) * ln(v))) AS se,
+               list_sum(list_transform(x, lambda v: pow(v, r + w))) AS zr, list_max(list_transform(x, lambda v: pow(v, r + w) / v)) AS mr
+        FROM (SELECT *, pow(0.5::DOUBLE, k + 1) AS w FROM h WHERE k < {_HALVINGS}))),
+a AS (
+  SELECT CASE WHEN n < 2 THEN 1 ELSE greatest(CASE WHEN -list_sum(list_transform(x, lambda v: v * ln(v))) >= {ENTROPY} * ln(n) THEN 1 ELSE e END,
+                                               CASE WHEN 1 / list_min(x) / n > {REPEATS} THEN least(1, r + pow(0.5::DOUBLE, {_HALVINGS})) ELSE 0 END) END AS a
+  FROM h WHERE k = {_HALVINGS}),
+w AS (SELECT t.*, every, pow(tokens::DOUBLE / every, a) / list_sum(list_transform(x, lambda v: pow(v, a))) AS weight FROM t, l, a)
+SELECT source, tokens, floor(weight * 1000000 + 0.5)::BIGINT AS weight_ppm,
+       least(floor(weight * (every * (1 + 1e-12::DOUBLE)) + 1e-6::DOUBLE), floor(tokens * {REPEATS}::DOUBLE))::BIGINT AS target FROM w
+"""

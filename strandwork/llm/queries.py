@@ -39,6 +39,18 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation_report(table(spark, sf_dir, "documents"))
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.place_report(table(spark, sf_dir, "documents"))
+
+
+def secret_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.place_report(table(spark, sf_dir, "documents"))
+
+
+def source_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weight_report(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -85,6 +97,9 @@ QUERIES = {
         op12_importance_resampling,
         op13_fingerprints,
         quality_ablations,
+        license_places,
+        secret_places,
+        source_weights,
     )
 }
 ORACLES = {
@@ -93,6 +108,9 @@ ORACLES = {
     "op5_line_dedup": linededup.SQL,
     "op6_quality_rules": quality.SQL,
     "quality_ablations": quality.ABLATION_SQL,
+    "license_places": licenses.PLACE_SQL,
+    "secret_places": secrets.PLACE_SQL,
+    "source_weights": mixing.WEIGHT_SQL,
     "op8_jaccard_join": jaccard.SQL,
     "op11_spelling_variants": spelling.SQL,
     "op12_importance_resampling": resampling.SQL,

@@ -243,3 +243,27 @@ def secret_report(docs: DataFrame) -> DataFrame:
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
     )
+
+
+def place_report(docs: DataFrame) -> DataFrame:
+    """What the base patterns find, without the battery's own spans."""
+    return secret_report(docs).drop("spans")
+
+
+_MARK = "chr(1114109)"  # in no text: the last private character
+_KINDS = [  # as the contract has them, failing matches dropped afterwards
+    ("assign", KINDS[0][1].replace("'", "''")),
+    ("access", "AKIA[A-Z0-9]+"),
+    ("hex", "[0-9a-f]+"),
+]
+#: The same rows of the base patterns in DuckDB's SQL: marks around all matches, and running lengths of what lies between.
+PLACE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT rid, {i} AS rank, '{k}' AS kind, string_split(regexp_replace(t, '{p}', {_MARK} || '\\0' || {_MARK}, 'g'), {_MARK}) AS parts FROM d" for i, (k, p) in enumerate(_KINDS))}),
+u AS (SELECT rid, rank, kind, unnest(parts) AS m, unnest(range(len(parts))) AS i FROM k),
+r AS (SELECT *, sum(length(m)) OVER (PARTITION BY rid, rank ORDER BY i) AS upto FROM u),
+b AS (SELECT *, (upto - length(m))::BIGINT AS s, upto::BIGINT AS e FROM r
+      WHERE i % 2 = 1 AND CASE rank WHEN 0 THEN length(regexp_extract(m, '{_KINDS[0][1]}', 2)) >= 6 WHEN 1 THEN length(m) >= 20 ELSE length(m) >= 24 END),
+g AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, {", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, (k, _) in enumerate(_KINDS))} FROM b GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _ in _KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (rid)
+"""
