@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwork.functions.color import clamp
-from strandwork.operators.rasters import hue_spread
+from strandwork.operators.rasters import circular
 
 #: Frames a second and kind where a manifest names none.
 FPS, KIND = 12.0, "actor"
@@ -19,7 +19,7 @@ SECTIONS = ("boxes", "timing", "visual", "sfx", "attachments", "trails")
 #: Chase multipliers before and after a stop, the old speeds that equalled them, and the least tail.
 BEFORE, AFTER, BEFORE_SPEED, AFTER_SPEED, SMEAR = 0.12, 2.0, 110.0, 680.0, 36.0
 #: The saturation from which a corner has a colour, the share that decides, the spread of one hue.
-SATURATION, SHARE, HUE = 0.15, 0.6, 15_000
+SATURATION, SHARE, HUE = 0.15, 0.6, 15.0
 #: How far a neutral colour's channels lie apart, and how far green leads in a green one.
 NEUTRAL = 24
 #: Fixed values of a proposal: an effect's width by its owner's with limits; how far it stands aside and below, by the
@@ -233,7 +233,7 @@ def stable_background(corners: DataFrame, groups: Sequence[str]) -> DataFrame:
     places = F.when(n <= 5, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(F.lit(0).cast("long"), *[F.floor(n * q).cast("long") for q in (0.25, 0.5, 0.75)], n - 1))
     wanted = of.where("_n > 1").select(*groups, F.explode(places).alias("frame_index"))
     seen = corners.join(wanted, [*groups, "frame_index"])
-    spread = hue_spread(seen.where(F.col("s") >= SATURATION), groups, F.col("h")).select(*groups, (F.col("deviation_milli") < HUE).alias("_one"))
+    spread = circular(seen.where(F.col("s") >= SATURATION), groups, F.col("h")).select(*groups, (F.col("deviation") < HUE).alias("_one"))
     share = F.count_if(F.col("s") >= SATURATION) / F.count("*")
     votes = of.join(seen.groupBy(*groups).agg(share.alias("_share")), list(groups), "left").join(spread, list(groups), "left")
     stable = F.when(F.col("_share") >= SHARE, F.col("_one")).otherwise(1 - F.col("_share") >= SHARE)

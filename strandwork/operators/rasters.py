@@ -195,12 +195,17 @@ def sole_rows(lines: DataFrame, images: Sequence[str]) -> DataFrame:
 
 def hue_spread(df: DataFrame, groups: Sequence[str], degrees: Column) -> DataFrame:
     """Circular mean and deviation of angles in degrees, in thousandths; a group that has no direction deviates freely."""
+    whole = lambda v, name: F.floor(F.col(v) * 1000 + 0.5).cast("long").alias(name)
+    return circular(df, groups, degrees).select(*groups, "n", whole("mean", "mean_milli"), whole("deviation", "deviation_milli"))
+
+
+def circular(df: DataFrame, groups: Sequence[str], degrees: Column) -> DataFrame:
+    """groups, n, mean and deviation of angles, in degrees and not rounded, so that limits can be held against them."""
     rad = F.radians(degrees.cast("double"))
     s = df.groupBy(*groups).agg(F.sum(F.sin(rad)).alias("s"), F.sum(F.cos(rad)).alias("c"), F.count(degrees).alias("n")).where("n > 0")
     length = F.sqrt(F.pow(F.col("s") / F.col("n"), F.lit(2.0)) + F.pow(F.col("c") / F.col("n"), F.lit(2.0)))
     mean = F.pmod(F.degrees(F.atan2("s", "c")) + 360, F.lit(360.0))
-    whole = lambda v: F.floor(v * 1000 + 0.5).cast("long")
-    return s.select(*groups, "n", whole(mean).alias("mean_milli"), F.when(length >= 1, F.lit(0)).otherwise(whole(F.degrees(F.sqrt(-2 * F.log(length))))).cast("long").alias("deviation_milli"))
+    return s.select(*groups, "n", mean.alias("mean"), F.when(length >= 1, 0.0).otherwise(F.degrees(F.sqrt(-2 * F.log(length)))).alias("deviation"))
 
 
 def cut_out(px: DataFrame, images: Sequence[str], width: int, height: int, plate: Column, threshold: int = VISIBLE) -> DataFrame:

@@ -1,5 +1,7 @@
 """Manifests, revisions and placements on small tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,11 @@ def test_resolve_and_background(spark):
     corners = [("one", 0, 10.0, 0.9)] + [("grey", i, 0.0, 0.0) for i in range(3)] + [("hue", i, 358.0 + 4 * (i % 2), 0.9) for i in range(9)] + [("mixed", i, 120.0 * i, 0.9) for i in range(3)]
     c = spark.createDataFrame([(g, i, h % 360, s) for g, i, h, s in corners], "g string, frame_index long, h double, s double")
     assert {r.g: r.stable for r in manifests.stable_background(c, ["g"]).collect()} == {"one": False, "grey": True, "hue": True, "mixed": False}
+
+
+def test_a_spread_just_below_the_limit_is_one_hue(spark):
+    """Two hues that deviate by 14.9998 degrees, which rounds to the limit in thousandths, and by 15.0002."""
+    apart = lambda deviation: 2 * math.degrees(math.acos(math.exp(-(math.radians(deviation) ** 2) / 2)))
+    corners = [(str(d), i, apart(d) * (i % 2), 0.9) for d in (14.9998, 15.0002) for i in range(2)]
+    c = spark.createDataFrame(corners, "g string, frame_index long, h double, s double")
+    assert {r.g: r.stable for r in manifests.stable_background(c, ["g"]).collect()} == {"14.9998": True, "15.0002": False}
