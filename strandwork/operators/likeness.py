@@ -3,18 +3,21 @@
 The similarity of two frames is 100 less the root of the mean squared difference of their colours, weighted by how far
 both are visible, over the pixels that are not background in both. Where a clip's background is stable, each frame masks
 its own: by the hue of its corners if at least three are coloured alike, else by grey. A frame's pixels become one vector;
-frames meet in square tiles of their places, and a tile's pairs are products of two blocks of vectors. frame_similarity is
-the same measure of two vectors as a column, for the operators that take a similarity.
+frames meet, packed, in square tiles of their places, and a tile's pairs are products of two blocks of vectors; holds are
+found as a clip's frames pass by. frame_similarity is the same measure of two vectors as a column, for the operators that
+take a similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandwork.functions.color import hsv, hue_distance
 from strandwork.operators.manifests import stable_background
@@ -22,8 +25,10 @@ from strandwork.operators.manifests import stable_background
 #: Side of a corner's patch; saturation of a colour, spread of one hue, alpha of a background pixel, distance
 #: of a grey background's alpha; alpha at which a pixel is fully visible.
 PATCH, SATURATION, HUE, CLEAR, GREY, FULL = 16, 0.15, 15.0, 65, 100, 40
-#: Frames of a tile's side.
-TILE = 32
+#: Frames of a tile's side, and the least; pixels of a tile's frames that are multiplied at a time.
+TILE, NARROW, PIXELS = 512, 32, 256
+#: Frames of a block of a clip that is folded, and of the first look ahead of an anchor.
+BLOCK, LOOK = 256, 16
 
 
 def corners(px: DataFrame, clip: Sequence[str], width: int, height: int, patch: int = PATCH) -> DataFrame:
@@ -93,61 +98,157 @@ def frame_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(each) == 0, 100.0).otherwise((1 - F.sqrt(total / F.size(each)) / 255) * 100)
 
 
-def _block(column: pa.ChunkedArray) -> np.ndarray:
-    """Frames of a block: frame x pixel x (r, g, b, a, out, clear)."""
-    flat = column.combine_chunks().flatten()
-    return np.stack([np.asarray(f) for f in flat.flatten()], -1).reshape(len(column), -1, 6)
+@F.arrow_udf(T.BinaryType())
+def _packed(frames: pa.Array) -> pa.Array:
+    """A frame's pixels as bytes: one a number where all are whole and from 0 to 255, else a double each."""
+    flat = np.stack([np.asarray(f) for f in frames.flatten().flatten()], -1)
+    ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(frames).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    small = ((flat >= 0) & (flat <= 255) & (flat == np.floor(flat))).all(-1)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out.append(b"B" + flat[a:b].astype(np.uint8).tobytes() if small[a:b].all() else b"d" + flat[a:b].tobytes())
+    return pa.array(out, pa.binary())
+
+
+def packed(frames: DataFrame) -> DataFrame:
+    """frames of ``vectors`` with their pixels as bytes, as they are shuffled."""
+    return frames.withColumn("pixels", _packed("pixels"))
+
+
+def _block(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Packed frames of one size: frame x pixel x (r, g, b, a, out, clear)."""
+    each = [np.frombuffer(v[1:], v[:1].decode()) for v in column.to_pylist()]
+    return np.stack(each).reshape(len(each), -1, 6)
+
+
+def _opacity(a: np.ndarray) -> np.ndarray:
+    t = np.minimum(a / FULL, 1.0)
+    return t * t * (3 - 2 * t)
 
 
 def tile_similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarities of all frames of two blocks, as sums of matrix products over the pixels."""
+    """Similarities of all frames of two blocks, as sums of matrix products over the pixels, some pixels at a time."""
 
     def parts(block: np.ndarray):
-        t = np.minimum(block[..., 3] / FULL, 1.0)
-        w, colour = t * t * (3 - 2 * t), block[..., :3] * (block[..., 3:4] / 255)
+        block = block.astype(np.float64)
+        w, colour = _opacity(block[..., 3]), block[..., :3] * (block[..., 3:4] / 255)
         out, clear = block[..., 4], block[..., 5]
         return w, colour, (colour * colour).sum(-1), (np.ones_like(w), out, clear, out * clear)
 
-    (u, p, pp, us), (v, q, qq, vs) = parts(left), parts(right)
-    compared, off = 0.0, 0.0
-    for sign, f, g in zip((1, -1, -1, 1), us, vs, strict=True):  # neither background in both nor clear in both
-        compared = compared + sign * (f @ g.T)
-        colours = (f * u * pp) @ (g * v).T + (f * u) @ (g * v * qq).T - 2 * sum((f * u * p[..., c]) @ (g * v * q[..., c]).T for c in range(3))
-        weights = (f * u * u) @ g.T + f @ (g * v * v).T - 2 * (f * u) @ (g * v).T
-        off = off + sign * (colours / 3 + weights * (255 * 255 * 0.25))
+    compared, off = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for at in range(0, left.shape[1], PIXELS):
+        (u, p, pp, us), (v, q, qq, vs) = parts(left[:, at : at + PIXELS]), parts(right[:, at : at + PIXELS])
+        for sign, f, g in zip((1, -1, -1, 1), us, vs, strict=True):  # neither background in both nor clear in both
+            if not (f.any() and g.any()):
+                continue
+            compared += sign * (f @ g.T)
+            colours = (f * u * pp) @ (g * v).T + (f * u) @ (g * v * qq).T - 2 * sum((f * u * p[..., c]) @ (g * v * q[..., c]).T for c in range(3))
+            weights = (f * u * u) @ g.T + f @ (g * v * v).T - 2 * (f * u) @ (g * v).T
+            off += sign * (colours / 3 + weights * (255 * 255 * 0.25))
     mean = np.maximum(off, 0) / np.maximum(compared, 1)
     return np.where(compared > 0, (1 - np.sqrt(mean) / 255) * 100, 100.0)
 
 
-def _tiles(frames: DataFrame, clip: Sequence[str], most: int | None, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the tiles (row, col) over the pairs of places i < j up to ``most`` apart."""
+def _one_by_one(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Similarities of the frames of two blocks at the same places, or of one frame to a block's."""
+    p, q = left.astype(np.float64), right.astype(np.float64)
+    u, v = _opacity(p[..., 3]), _opacity(q[..., 3])
+    apart = p[..., :3] * (p[..., 3:4] / 255) - q[..., :3] * (q[..., 3:4] / 255)
+    off = u * v * ((apart * apart).sum(-1) / 3) + (u - v) * (u - v) * (255 * 255 * 0.25)
+    compared = ~((p[..., 4] == 1) & (q[..., 4] == 1) | (p[..., 5] == 1) & (q[..., 5] == 1))
+    n = compared.sum(-1)
+    return np.where(n > 0, (1 - np.sqrt((off * compared).sum(-1) / np.maximum(n, 1)) / 255) * 100, 100.0)
+
+
+class _Fold:
+    """A clip's holds so far: its frames come in order and in blocks, and only the last one and the anchor are kept."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n, self.last, self.anchor, self.anchor_index, self.early = threshold, 0, None, None, None, []
+
+    def held(self, places: list[int], block: np.ndarray) -> list[tuple[int, int]]:
+        """(frame, anchor) of the holds that are certain now; clips of fewer than three frames have none."""
+        found, at = self.early, 0
+        if self.last is None:
+            self.last, self.anchor, self.anchor_index, at = block[0], block[0], places[0], 1
+        near = _one_by_one(np.concatenate([self.last[None], block[:-1]]), block) >= self.threshold
+        look = LOOK
+        while at < len(block):
+            like = near[at : at + look] & (_one_by_one(self.anchor[None], block[at : at + look]) >= self.threshold)
+            run = int(np.argmin(like)) if not like.all() else len(like)
+            found += [(p, self.anchor_index) for p in places[at : at + run]]
+            at += run
+            look *= 2
+            if run < len(like):
+                self.anchor, self.anchor_index, at, look = block[at], places[at], at + 1, LOOK
+        self.last, self.n = block[-1], self.n + len(block)
+        self.early, found = ([], found) if self.n >= 3 else (found, [])
+        return found
+
+
+def duplicate_holds(frames: DataFrame, clip: Sequence[str], threshold: float = 88.0) -> DataFrame:
+    """frames of ``vectors`` -> clip, frame_index, match_index, threshold: ``sequences.duplicate_holds`` of pixels.
+
+    A clip's frames pass through one task in their order, and the task keeps two of them and a block, however long a clip.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    rows = packed(frames).select(*clip, F.col("frame_index").cast("long").alias("frame_index"), "pixels").repartition(*clip).sortWithinPartitions(*clip, "frame_index")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK):
+                part = batch.slice(start, BLOCK)
+                keys, places = list(zip(*[part.column(c).to_pylist() for c in clip], strict=True)), part.column("frame_index").to_pylist()
+                a = 0
+                while a < len(keys):
+                    b = next((i for i in range(a + 1, len(keys)) if keys[i] != keys[a]), len(keys))
+                    if state is None or keys[a] != key:
+                        key, state = keys[a], _Fold(threshold)
+                    found = state.held(places[a:b], _block(part.column("pixels").slice(a, b - a)))
+                    if found:
+                        same = [pa.repeat(part.column(c)[a], len(found)) for c in clip]
+                        yield pa.RecordBatch.from_arrays([*same, *[pa.array(x, pa.int64()) for x in zip(*found, strict=True)], pa.array([threshold] * len(found), pa.float64())], names=[*clip, "frame_index", "match_index", "threshold"])
+                    a = b
+
+    return rows.mapInArrow(fold, f"{', '.join(f'{c} {kinds[c]}' for c in clip)}, frame_index long, match_index long, threshold double")
+
+
+def _tiles(frames: DataFrame, clip: Sequence[str], most: int | None, tile: int) -> DataFrame:
+    """Packed frames in the tiles (row, col) that they are in, over the pairs of places i < j up to ``most`` apart."""
     last = frames.groupBy(*clip).agg(F.max("frame_index").alias("_last"))
-    placed = frames.join(last, list(clip))
     at = lambda place: F.floor(place / tile)
     i = F.col("frame_index")
     far = F.col("_last") if most is None else F.least(F.col("_last"), i + most)
     near = F.lit(0) if most is None else F.greatest(F.lit(0), i - most)
-    left = placed.select(*clip, i.cast("long").alias("place"), "pixels", at(i).alias("row"), F.explode(F.sequence(at(i), at(far))).alias("col"))
-    right = placed.select(*clip, i.cast("long").alias("place"), "pixels", F.explode(F.sequence(at(near), at(i))).alias("row"), at(i).alias("col"))
-    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  two sides of one table need columns of their own
-    return own(left), own(right)
+    cell = lambda row, col: F.struct(row.alias("row"), col.alias("col"))
+    across = F.transform(F.sequence(at(i), at(far)), lambda col: cell(at(i), col))
+    down = F.transform(F.filter(F.sequence(at(near), at(i)), lambda row: row < at(i)), lambda row: cell(row, at(i)))
+    placed = packed(frames).join(F.broadcast(last), list(clip)).select(*clip, i.cast("long").alias("place"), "pixels", F.explode(F.concat(across, down)).alias("cell"))
+    return placed.select(*clip, "place", "pixels", "cell.row", "cell.col")
 
 
-def pair_similarities(frames: DataFrame, clip: Sequence[str], most: int | None = None, by_lag: bool = False, units: int = 1_000_000, tile: int = TILE) -> DataFrame:
+def pair_similarities(frames: DataFrame, clip: Sequence[str], most: int | None = None, by_lag: bool = False, units: int = 1_000_000, tile: int | None = None) -> DataFrame:
     """frames of ``vectors`` -> clip, i, j, similarity of all pairs i < j at most ``most`` frames apart.
 
     by_lag: clip, period, n and similarity_sum in whole parts of 1 / units instead, summed in each tile, as
     ``sequences.autocorrelation`` gives them; no pair is written then. A task holds one tile's frames.
+
+    A frame is sent to as many tiles as its clip has rows of them, so all pairs shuffle a clip's frames by their number
+    over that of a tile; with ``most``, a tile is no wider than that needs.
     """
-    left, right = _tiles(frames, clip, most, tile)
+    tile = tile or (TILE if most is None else min(TILE, max(NARROW, most)))
     keys = [*clip, "row", "col"]
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     named = ", ".join(f"{c} {kinds[c]}" for c in clip)
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (np.asarray(t.column("place")) for t in (a, b))
+    def meet(table: pa.Table) -> pa.Table:
+        places, row, col = np.asarray(table.column("place")), table.column("row")[0].as_py(), table.column("col")[0].as_py()
+        frames = table.column("pixels").combine_chunks()
+        a, b = np.flatnonzero(places // tile == row), np.flatnonzero(places // tile == col)
+        x, y = places[a], places[b]
         i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-        s = tile_similarity(_block(a.column("pixels")), _block(b.column("pixels"))).ravel() if len(x) and len(y) else np.empty(0)
+        s = tile_similarity(_block(frames.take(pa.array(a))), _block(frames.take(pa.array(b)))).ravel() if len(x) and len(y) else np.empty(0)
         held = (i < j) & (j - i <= (most if most is not None else 2**62))
         i, j, s = i[held], j[held], s[held]
         if by_lag:
@@ -157,13 +258,12 @@ def pair_similarities(frames: DataFrame, clip: Sequence[str], most: int | None =
             columns = {"period": period, "n": np.bincount(at, minlength=len(period)), "similarity_sum": total}
         else:
             columns = {"i": i, "j": j, "similarity": s}
-        some = a if len(a) else b
         n = len(next(iter(columns.values())))
-        same = {c: pa.repeat(some.column(c)[0], n) for c in clip}
+        same = {c: pa.repeat(table.column(c)[0], n) for c in clip}
         return pa.table(same | {k: pa.array(v) for k, v in columns.items()})
 
     out = f"{named}, period long, n long, similarity_sum long" if by_lag else f"{named}, i long, j long, similarity double"
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
+    met = _tiles(frames, clip, most, tile).groupBy(*keys).applyInArrow(meet, out)
     if not by_lag:
         return met
     n = frames.groupBy(*clip).agg(F.count("*").alias("frames"))

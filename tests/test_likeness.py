@@ -108,3 +108,33 @@ def test_analysis_shuffles_once(spark):
     assert holds == {(r.g, r.frame_index, r.match_index) for r in sequences.duplicate_holds(seq, ["g"], "v").collect()}
     jumps = {(r.g, j.frame_index) for r in out.collect() for j in r.jumps}
     assert jumps == {(r.g, r.frame_index) for r in sequences.jump_frames(seq, ["g"], "v").collect()}
+
+
+def small_frames(spark, clips):
+    """Frames of two pixels in grey: clips of (name, greys)."""
+    kind = "clip string, frame_index long, pixels array<struct<r:double,g:double,b:double,a:double,out:double,clear:double>>"
+    return spark.createDataFrame([(c, i, [(float(v),) * 3 + (255.0, 0.0, 0.0)] * 2) for c, greys in clips for i, v in enumerate(greys)], kind)
+
+
+def test_holds_of_long_stretches_pass_by(spark):
+    """One drifting stretch longer than a block, a clip that is cut often, one all alike, and clips of two frames."""
+    rng = random.Random(4)
+    clips = [("drift", [i * 0.25 for i in range(700)]), ("cut", [rng.choice((0, 3, 40, 42.5, 90)) for _ in range(300)]), ("still", [7] * 600), ("two", [5, 5]), ("three", [5, 5, 5])]
+    want = set()
+    for name, v in clips:
+        alike, anchor = lambda a, b: (1 - abs(a - b) / 255) * 100 >= 98, 0
+        for i in range(1, len(v)):
+            if alike(v[i], v[i - 1]) and alike(v[i], v[anchor]):
+                want |= {(name, i, anchor)} if len(v) >= 3 else set()
+            else:
+                anchor = i
+    got = [tuple(r) for r in likeness.duplicate_holds(small_frames(spark, clips), ["clip"], 98.0).select("clip", "frame_index", "match_index").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_frames_are_sent_to_few_tiles_and_packed(spark):
+    frames = small_frames(spark, [("c", [i % 251 for i in range(1100)])])
+    sent = likeness._tiles(frames, ["clip"], None, likeness.TILE)
+    assert sent.count() <= 3 * 1100 and max(len(r.pixels) for r in sent.select("pixels").collect()) == 1 + 2 * 6
+    pairs = likeness.pair_similarities(frames, ["clip"]).agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("d"), F.min(F.col("j") - F.col("i")).alias("least")).first()
+    assert tuple(pairs) == (1100 * 1099 // 2, 1100 * 1099 // 2, 1)
