@@ -120,7 +120,7 @@ def duplicate_holds(seq: DataFrame, groups: Sequence[str], measure: str, thresho
         cut = seq.withColumn("_cut", F.coalesce(~like, F.lit(False)).cast("int")).withColumn("_n", F.count("*").over(W.partitionBy(*groups)))
         cut = cut.where("_n >= 3").withColumn("_stretch", F.sum("_cut").over(by))
         stretch = cut.groupBy(*groups, "_stretch").agg(F.array_sort(F.collect_list(F.struct("frame_index", F.col(measure).alias("m")))).alias("f")).where(F.size("f") > 1)
-        held = _holds(F.transform("f", lambda x: x["m"]), sim, level, 2)
+        held = _bound(F.transform("f", lambda x: x["m"]), lambda m: _holds(m, sim, level, 2))
         out = stretch.select(*groups, "f", level.alias("threshold"), F.explode(held).alias("x"))
         place = lambda c: F.get("f", F.col(f"x.{c}"))["frame_index"].cast("long")
         return out.select(*groups, place("index").alias("frame_index"), place("anchor").alias("match_index"), "threshold")
