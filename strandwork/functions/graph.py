@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round lets each tree of nodes (those with one label) hook onto the least label beside it, and then shortens paths
     by following labels twice, so rounds grow with the logarithm of a component's width. A round's table is written to
-    the shared folder and the one before is deleted; the driver sees only whether a label has changed.
+    the shared folder and the one before is deleted; the driver sees only whether a label has changed. Joins are merges:
+    stored files are so much smaller than their rows that they would be taken for tables to broadcast.
     """
     beside = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = stored(beside.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
-        seen = beside.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        own = labels.join(seen, "node")
+        seen = beside.hint("merge").join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        own = labels.hint("merge").join(seen, "node")
         hooks = own.groupBy(F.col("label").alias("tree")).agg(F.min(F.least("label", "low")).alias("to"))
         again = hooks.select(F.col("tree").alias("to"), F.col("to").alias("further"))
-        hooks = hooks.join(again, "to", "left").select("tree", F.coalesce("further", "to").alias("to"))
-        moved = labels.join(hooks, F.col("label") == F.col("tree")).select("node", "to", (F.col("to") != F.col("label")).alias("moved"))
+        hooks = hooks.hint("merge").join(again, "to", "left").select("tree", F.coalesce("further", "to").alias("to"))
+        moved = labels.hint("merge").join(hooks, F.col("label") == F.col("tree")).select("node", "to", (F.col("to") != F.col("label")).alias("moved"))
         following = stored(moved.withColumnRenamed("to", "label"), "labels")
         dropped(labels)
         labels = following.select("node", "label")

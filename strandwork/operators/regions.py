@@ -2,7 +2,8 @@
 
 An image's rows are cut into runs of neighbouring pixels; runs of neighbouring rows that touch are edges of a graph, and
 its components are the regions. Pixels are summed into their run before anything else is shuffled, runs meet in strips of
-a bounded width, and no task holds an image.
+a bounded width, and no task holds an image. Joins are merges: a table of images is small, but its pixels and runs are not,
+and Spark would broadcast them by the size of the images' file.
 """
 
 from __future__ import annotations
@@ -45,14 +46,14 @@ def _touching(runs: DataFrame, images: Sequence[str], reach: int) -> DataFrame:
     upper = upper.select("*", strips(F.col("u1"), F.col("u2")))
     lower = runs.select(*images, "y", "x1", "x2", F.col("node").alias("b"), strips(F.col("x1"), F.col("x2")))
     meet = (F.col("u1") <= F.col("x2")) & (F.col("x1") <= F.col("u2")) & (F.col("strip") == F.floor(F.greatest("u1", "x1") / STRIP))
-    return upper.join(lower, [*images, "y", "strip"]).where(meet).select("a", "b")
+    return upper.hint("merge").join(lower, [*images, "y", "strip"]).where(meet).select("a", "b")
 
 
 def _labelled(px: DataFrame, images: Sequence[str], reach: int, measures: dict[str, Column]) -> DataFrame:
     """Runs with the first pixel of their region as label."""
     runs = _runs(px, images, measures)
     labels = components(_touching(runs, images, reach))
-    return runs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return runs.hint("merge").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _on_border(width: Column | int, height: Column | int) -> Column:
@@ -95,7 +96,7 @@ def holes(px: DataFrame, images: Sequence[str], width: int, height: int, thresho
     clear = _labelled(px.where(F.col("a") <= threshold), images, 0, {"n": F.lit(1), "edge": _on_border(width, height).cast("int")})
     inner = clear.groupBy(*images, "label").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge")).where("edge = 0")
     found = inner.groupBy(*images).agg(F.count("*").alias("holes"), F.sum("n").alias("hole_pixels"))
-    return px.select(*images).distinct().join(found, list(images), "left").fillna(0, ["holes", "hole_pixels"])
+    return px.select(*images).distinct().hint("merge").join(found, list(images), "left").fillna(0, ["holes", "hole_pixels"])
 
 
 def axes(px: DataFrame, images: Sequence[str], threshold: int = VISIBLE) -> DataFrame:

@@ -98,3 +98,15 @@ def test_sheet_frames(spark):
     assert {r.cell: r.frame_index for r in cells.collect()} == {0: 5, 1: None, 2: 6, 3: None, 4: 7, 5: None}
     assert got.count() == 12 and {(r.frame_index, r.x, r.y) for r in got.where("a > 0").collect()} == {(5, 0, 0), (5, 1, 1), (6, 0, 0), (7, 0, 1)}
     assert sheets.sheet_frames(px, packing, "image", skip_empty=False)[1].where("frame_index IS NULL").count() == 0
+
+
+def test_regions_broadcast_nothing(spark):
+    """Pixels, runs and labels are merged in every query that finds regions, however small Spark takes them to be."""
+    done = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = {done().apply(i).executionId() for i in range(done().size())}
+    px = spark.createDataFrame(pixels("one", ["ooo oo", "o o o ", "ooo oo"]), SCHEMA)
+    found = regions.holes(px, ["image"], 6, 3).collect() + regions.part_statistics(px, ["image"], 6, 3).collect()
+    assert [found[0].holes, found[0].hole_pixels, len(found)] == [1, 1, 3]
+    ran = [done().apply(i) for i in range(done().size())]
+    plans = [x.physicalPlanDescription() for x in ran if x.executionId() not in before]
+    assert len(plans) > 4 and not any("BroadcastExchange" in p for p in plans)
