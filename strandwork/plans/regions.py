@@ -64,7 +64,7 @@ def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
     box = rasters.bounds(px, ["label", *I]).select("label", *I, F.col("max_y").alias("feet"), F.coalesce(F.col("max_y") - F.col("min_y") + 1, F.lit(0)).alias("tall"), (F.col("max_x") + F.col("min_x")).alias("centre"))
     box = box.withColumn("frame_index", F.row_number().over(W.partitionBy("label").orderBy(*I)).cast("long") - 1)
-    found = box.join(regions.holes(px, I, SIDE, SIDE), I).join(rasters.edge_evidence(px, I, SIDE, SIDE), I, "left")
+    found = box.hint("merge").join(regions.holes(px, I, SIDE, SIDE), I).hint("merge").join(rasters.edge_evidence(px, I, SIDE, SIDE), I, "left")
     issues = clips.quality_issues(found.withColumn("box_height", F.col("tall")).withColumn("body_height", F.col("tall")), ["label"])
     return issues.select("label", "frame_index", "holes", "hole_pixels", F.array_join("issues", ",").alias("issues"))
 
