@@ -111,3 +111,28 @@ def test_stored_tables_are_dropped(spark):
     assert sorted(r.x for r in result.collect()) == [2, 4]
     dropped(outer, result)
     assert not exists(outer) and not exists(result)
+
+
+def test_attachments_match_once_and_need_no_distinct(spark):
+    """All ways to match at once, by a plain product; ids that stand for several attachments, too."""
+    rng = random.Random(6)
+    names = ["h/walk", "walk", "h/run", "run", ""]
+    frames = [(b, a, f) for b in ("h/walk", "h/run", "walk") for a in ("walk", "run", "h/walk") for f in (0, 1)]
+    attachments = [(i % 50, rng.choice(["h/walk:0", "h/walk:1", "walk:0", "h/run:1", "a:b:c:d:run:e:1", ""]), rng.choice(names), rng.randrange(2)) for i in range(60)]
+
+    def named(key):
+        parts = key.split(":")
+        left = ":".join(parts[:-1])
+        return (parts[4] if len(parts) >= 7 else left.split("/", 1)[-1], int(parts[-1])) if len(parts) > 1 else ("", None)
+
+    want = set()
+    for b, a, f in frames:
+        for i, key, meta, place in attachments:
+            name, own = named(key)
+            clip = meta or name
+            if key == f"{b}:{f}" or ((own if own is not None else place) == f and (clip == "" or clip in (b, a) or name == a)):
+                want.add((b, a, f, i))
+    out = clips.attachments_of(spark.createDataFrame(frames, "binding string, animation string, frame long"), spark.createDataFrame(attachments, "attachment_id long, key string, meta_animation string, meta_frame long"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
