@@ -119,13 +119,22 @@ def attachments_of(frames: DataFrame, attachments: DataFrame) -> DataFrame:
     a = attachments.withColumn("_named", F.when(tail.isNotNull(), named).otherwise("")).withColumn("_frame", F.coalesce(tail, F.col("meta_frame").cast("long")))
     a = a.withColumn("_clip", F.coalesce(F.when(F.col("meta_animation") != "", F.col("meta_animation")), F.col("_named"), F.lit("")))
     f = frames.select("binding", "animation", F.col("frame").cast("long").alias("frame")).distinct()
+    rules = a.select("attachment_id", "key", "_named", "_frame", "_clip").distinct().withColumn("_rules", F.count("*").over(W.partitionBy("attachment_id")))
+    return _attached(f, rules.where("_rules = 1")).union(_attached(f, rules.where("_rules > 1")).distinct())
+
+
+def _attached(f: DataFrame, a: DataFrame) -> DataFrame:
+    """Each frame with each attachment that matches it: the ways to match exclude each other, so a row of attachments
+    brings a frame once, and nothing has to be told apart in the result."""
     out = ["binding", "animation", "frame", "attachment_id"]
-    by_key = f.withColumn("key", F.concat_ws(":", "binding", F.col("frame").cast("string"))).join(a.select("key", "attachment_id"), "key").select(*out)
-    clips = a.where("_clip <> ''").select("attachment_id", F.col("_frame").alias("frame"), F.explode(F.array_distinct(F.array("_clip", "_named"))).alias("_c"), "_clip", "_named")
-    by_clip = f.join(clips.withColumnRenamed("_c", "animation"), ["frame", "animation"]).select(*out)
-    by_binding = f.join(clips.where("_c = _clip").withColumnRenamed("_c", "binding"), ["frame", "binding"]).select(*out)
+    of_clip = (F.col("_clip") == F.col("animation")) | (F.col("_named") == F.col("animation"))
+    otherwise = F.coalesce((F.col("_frame") == F.col("frame")) & ((F.col("_clip") == "") | of_clip | (F.col("_clip") == F.col("binding"))), F.lit(False))
+    by_key = f.withColumn("key", F.concat_ws(":", "binding", F.col("frame").cast("string"))).join(a, "key").where(~otherwise).select(*out)
+    clips = a.where("_clip <> ''").select("attachment_id", F.col("_frame").alias("frame"), "_clip", "_named")
+    by_clip = f.join(clips.withColumn("animation", F.explode(F.array_distinct(F.array("_clip", "_named")))), ["frame", "animation"]).select(*out)
+    by_binding = f.join(clips.withColumn("binding", F.col("_clip")), ["frame", "binding"]).where(~F.coalesce(of_clip, F.lit(False))).select(*out)
     anywhere = f.join(a.where("_clip = ''").select("attachment_id", F.col("_frame").alias("frame")), "frame")
-    return by_key.union(by_clip).union(by_binding).union(anywhere.select(*out)).distinct()
+    return by_key.union(by_clip).union(by_binding).union(anywhere.select(*out))
 
 
 def source_height(samples: DataFrame, groups: Sequence[str], clip: str, name: str, height: str, order: Sequence[str], least: float = 16) -> DataFrame:
