@@ -71,20 +71,20 @@ def spread_phases(sticks: DataFrame, frames: Sequence[str]) -> DataFrame:
     """sticks: frames (clip and frame), order, manual, phase -> phase: automatic ones lie evenly between the manual ones
     around them (0 and 1 at the ends), then all are raised to rise by at least PHASE_STEP and stay under 1.
 
-    Raising each to its predecessor's plus the step is a running maximum of the phases less their steps.
+    Raising each to its predecessor's plus the step is a running maximum of the phases less their steps. Rows are sorted
+    twice, once from the end and once from the start; equal places are told apart by what sticks are, so that both agree.
     """
-    by = W.partitionBy(*frames).orderBy("order")
-    fixed = F.when(F.col("manual"), F.col("phase"))
-    place = F.row_number().over(by) - 1
-    s = sticks.withColumn("i", place.cast("long")).withColumn("n", F.count("*").over(W.partitionBy(*frames)))
-    at = F.when(F.col("manual"), F.col("i"))
-    by = W.partitionBy(*frames).orderBy("i")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*frames).orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("low", F.coalesce(F.last(fixed, True).over(before), F.lit(0.0))).withColumn("low_i", F.coalesce(F.last(at, True).over(before), F.lit(-1)))
-    s = s.withColumn("high", F.coalesce(F.last(fixed, True).over(after), F.lit(1.0))).withColumn("high_i", F.coalesce(F.last(at, True).over(after), F.col("n")))
+    place, ties = W.partitionBy(*frames), ["order", "manual", "phase"]
+    start, end = place.orderBy(*ties), place.orderBy(*[F.desc(c) for c in ties])
+    earlier = (W.unboundedPreceding, -1)
+    fixed, at = F.when(F.col("manual"), F.col("phase")), lambda c: F.when(F.col("manual"), F.col(c))
+    s = sticks.withColumn("_r", F.row_number().over(end)).withColumn("n", F.count("*").over(place)).withColumn("high", F.coalesce(F.last(fixed, True).over(end.rowsBetween(*earlier)), F.lit(1.0)))
+    s = s.withColumn("high_i", F.col("n") - F.coalesce(F.last(at("_r"), True).over(end.rowsBetween(*earlier)), F.lit(0))).drop("_r")
+    s = s.withColumn("i", F.row_number().over(start).cast("long") - 1)
+    s = s.withColumn("low", F.coalesce(F.last(fixed, True).over(start.rowsBetween(*earlier)), F.lit(0.0))).withColumn("low_i", F.coalesce(F.last(at("i"), True).over(start.rowsBetween(*earlier)), F.lit(-1)))
     even = F.col("low") + (F.col("high") - F.col("low")) * (F.col("i") - F.col("low_i")) / (F.col("high_i") - F.col("low_i"))
     s = s.withColumn("p", F.when(F.col("manual"), F.col("phase")).otherwise(even))
-    raised = F.max(F.col("p") - F.col("i") * PHASE_STEP).over(by.rowsBetween(W.unboundedPreceding, 0))
+    raised = F.max(F.col("p") - F.col("i") * PHASE_STEP).over(start.rowsBetween(W.unboundedPreceding, 0))
     final = F.col("i") * PHASE_STEP + F.least(1 - (F.col("n") - 1) * PHASE_STEP, F.greatest(F.lit(0.0), raised))
     return s.withColumn("phase", final).drop("i", "n", "low", "low_i", "high", "high_i", "p")
 

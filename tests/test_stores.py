@@ -136,3 +136,21 @@ def test_attachments_match_once_and_need_no_distinct(spark):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+
+
+def test_phases_take_two_sorts(spark):
+    """Manual sticks at the ends, none, and equal orders, against a plain walk; one sort from each end."""
+    rng = random.Random(7)
+    rows = [(g, o, rng.random() < 0.4, rng.random()) for g in range(30) for o in rng.choices(range(12), k=rng.randrange(1, 9))]
+    out = clips.spread_phases(spark.createDataFrame(rows, "g long, order long, manual boolean, phase double"), ["g"])
+    want = []
+    for g in range(30):
+        s = sorted(r[1:] for r in rows if r[0] == g)
+        fixed, low = [(-1, 0.0), *[(i, p) for i, (_, m, p) in enumerate(s) if m], (len(s), 1.0)], None
+        for i, (o, m, p) in enumerate(s):
+            (a, x), (b, y) = max(k for k in fixed if k[0] < i), min(k for k in fixed if k[0] > i)
+            p = p if m else x + (y - x) * (i - a) / (b - a)
+            low = p - i * clips.PHASE_STEP if low is None else max(low, p - i * clips.PHASE_STEP)
+            want.append((g, o, m, round(i * clips.PHASE_STEP + min(1 - (len(s) - 1) * clips.PHASE_STEP, max(0.0, low)), 9)))
+    assert sorted((r.g, r.order, r.manual, round(r.phase, 9)) for r in out.collect()) == sorted(want)
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 2
