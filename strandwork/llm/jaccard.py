@@ -17,8 +17,9 @@ have little else of their own.
 
 Holders of a signature are not expanded into pairs at first: each set is paired with the holder that shares most with
 it, pairs are verified on the whole sets, and links become components. Only holders of a signature that are then still
-in different components are compared: as pairs where they are few, else in blocks, those outside the largest component
-against all. So no link between different texts is lost.
+in different components are compared, less the sets that have more shingles of their own, which no other such set has,
+than a link allows: as pairs where the holders are few, so that each makes a bounded number of them, else in blocks,
+those outside the largest component against all. So no link between different texts is lost.
 
 Signatures travel packed: a task sorts those of some megabytes of text by bucket and sends one row a bucket (4 bytes a
 signature, 2 for its place among the row's documents). They only propose pairs, so their truncation costs a few needless
@@ -49,10 +50,12 @@ WIDTH = 5
 #: Similarity as a fraction of integers, so that the bound is exact.
 NUM, DEN = 3, 4
 #: Holders of a signature beyond which they are compared in blocks, not as pairs; ids or pairs that may be broadcast; signatures a bucket.
-COMMON, MAX_BROADCAST, BUCKET = 64, 250_000, 2_000_000
+COMMON, MAX_BROADCAST, BUCKET = 16, 250_000, 2_000_000
 #: A block's minor members, members, and shingles.
 MINORS, MEMBERS, BLOCK_WORDS = 512, 1024, 1 << 20
 FLUSH = 8 << 20
+#: Shingles that a batch of them holds, but for those of its last set.
+BATCH = 1 << 17
 
 _U = np.uint64
 
@@ -310,6 +313,42 @@ def _sets_of(refs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _torn(member: DataFrame) -> DataFrame:
+    """member (gid, ref, label): holders of signatures -> those of signatures whose holders have several labels, with
+    k, their number, and crowd, the label that most of them have."""
+    count = member.groupBy("gid", "label").agg(F.count("*").alias("k"))
+    count = count.groupBy("gid").agg(F.max(F.struct("k", "label"))["label"].alias("crowd"), F.sum("k").alias("k"), F.count("*").alias("labels"))
+    torn = stored(count.where("labels > 1").select("gid", "crowd", "k"), "torn")
+    return stored(member.join(torn, "gid"), "open")
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        n = [len(x) for x in some]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(refs, np.int64), n)), pa.array(np.concatenate(some))], names=["ref", "shingle"])
+
+    for batch in batches:
+        refs, some, size = [], [], 0
+        for ref, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            refs.append(ref)
+            some.append(np.frombuffer(v.as_buffer(), np.int64))
+            size += len(some[-1])
+            if size > BATCH:
+                yield rows()
+                refs, some, size = [], [], 0
+        if some:
+            yield rows()
+
+
+def _apart(refs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the refs whose sets link with none of the others' sets, as too many of their shingles are in no other."""
+    mine = sets.join(refs, "ref", "left_semi")
+    single = mine.groupBy("ref").agg(F.count("*").alias("keys"), F.first("n").alias("n")).where("keys = 1")  # a ref of two sets stays
+    own = mine.select("ref", "shingles").mapInArrow(_each_shingle, "ref long, shingle long")
+    own = own.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("ref").alias("ref")).where("holders = 1")
+    return own.groupBy("ref").agg(F.count("*").alias("own")).join(single, "ref").where(DEN * F.col("own") > (DEN - NUM) * F.col("n")).select("ref")
+
+
 def _crowds(held: DataFrame, sets: DataFrame) -> DataFrame:
     """held (crowd, ref, label, minor, n): members of crowds -> linked pairs (a, b) of keys that join labels.
 
@@ -424,9 +463,8 @@ def link(docs: DataFrame) -> DataFrame:
     limit = F.when(F.size(F.filter(low, lambda x: x <= F.col("n"))) == F.col("band") + 1, F.floor(F.col("n") / 3)).otherwise(F.floor(2 * F.col("n") / 7))
     segments = F.when(F.col("margin") > 0, F.col("margin") + limit).otherwise(0).cast("int").alias("segments")
     member = held.join(named, "ref").select("ref", "n", "label", segments, F.explode("groups").alias("g")).select("ref", "n", "label", "segments", "g.gid", F.col("g.rest").cast("int").alias("rest"))
-    count = member.groupBy("gid", "label").agg(F.count("*").alias("k")).groupBy("gid").agg(F.max(F.struct("k", "label"))["label"].alias("crowd"), F.sum("k").alias("k"), F.count("*").alias("labels"))
-    torn = stored(count.where("labels > 1").select("gid", "crowd", "k"), "torn")
-    member = stored(member.join(torn, "gid"), "open")
+    member = _torn(member).drop("crowd", "k")
+    member = _torn(member.join(_apart(member.select("ref").distinct(), sets), "ref", "left_anti"))
     few = member.where(F.col("k") <= COMMON)
     side = lambda p: few.select("gid", *[F.col(c).alias(f"{c}_{p}") for c in ("ref", "n", "label", "segments", "rest")])
     # the first signature that two linked sets have in common leaves both with as many as they must share

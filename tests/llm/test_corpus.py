@@ -179,6 +179,31 @@ def test_jaccard_random(spark, monkeypatch, seed, limit, common):
     assert got == {i: (len(brute.shingle_set(t)), c) for (i, t), c in zip(rows, ids, strict=True)}
 
 
+def test_jaccard_pairs_of_a_growing_family(spark, monkeypatch):
+    """Near copies of one text that are too far from each other to link, each with many shingles of its own, make no pairs."""
+    made, kept = {}, jaccard.stored
+
+    def counting(df, name):
+        out = kept(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    rng = random.Random(12)
+    w = prose(rng, 150).split()
+    rows = []
+    for i in range(60):
+        x = list(w)
+        at = rng.randrange(len(w))
+        for p in range(at, at + (40 + i % 20 if i > 2 else i)):
+            x[p % len(w)] = "q%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(x)))
+    got = {r.doc_id: r.component_id for r in jaccard.join_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute.components(rows), strict=True))
+    assert len(set(got.values())) == 58
+    assert made["more"] <= 60
+
+
 def test_jaccard_equal_ids(spark):
     """Different texts under one id, or none, with equally many shingles; links by either of them count."""
     rng = random.Random(8)
