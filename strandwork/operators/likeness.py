@@ -2,10 +2,10 @@
 
 The similarity of two frames is 100 less the root of the mean squared difference of their colours, weighted by how far
 both are visible, over the pixels that are not background in both. Where a clip's background is stable, each frame masks
-its own: by the hue of its corners if at least three are coloured alike, else by grey. A frame's pixels become one vector;
-frames meet, packed, in square tiles of their places, and a tile's pairs are products of two blocks of vectors; holds are
-found as a clip's frames pass by. frame_similarity is the same measure of two vectors as a column, for the operators that
-take a similarity.
+its own: by the hue of its corners if at least three are coloured alike, else by grey. A frame's pixels become one vector,
+or, where they come in one row as bytes, stay packed; frames meet, packed, in square tiles of their places, and a tile's
+pairs are products of two blocks of vectors; holds are found as a clip's frames pass by. frame_similarity is the same
+measure of two vectors as a column, for the operators that take a similarity.
 """
 
 from __future__ import annotations
@@ -20,13 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwork.functions.color import hsv, hue_distance
-from strandwork.operators.manifests import stable_background
+from strandwork.operators.manifests import looked_at, stable_background
 
 #: Side of a corner's patch; saturation of a colour, spread of one hue, alpha of a background pixel, distance
 #: of a grey background's alpha; alpha at which a pixel is fully visible.
 PATCH, SATURATION, HUE, CLEAR, GREY, FULL = 16, 0.15, 15.0, 65, 100, 40
-#: Frames of a tile's side, and the least; pixels of a tile's frames that are multiplied at a time.
-TILE, NARROW, PIXELS = 512, 32, 256
+#: Frames of a tile's side, at least, and where neighbours meet; rows of tiles of a clip; most bytes of a side; shares of
+#: the tiles for each core.
+TILE, NARROW, ROWS, HELD, SHARES = 512, 32, 8, 2**24, 32
+#: Frames of a side that meet at a time, pixels that are multiplied at a time, rows of a strip of their results.
+SIDE, PIXELS, STRIP = 1024, 128, 32
+#: What a full difference of visibility counts.
+SEEN = 255 * 255 * 0.25
 #: Frames of a block of a clip that is folded, and of the first look ahead of an anchor.
 BLOCK, LOOK = 256, 16
 
@@ -110,9 +115,91 @@ def _packed(frames: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _hsv(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hue and saturation, as ``color.hsv``, of the channels (r, g, b) of pixels."""
+    r, g, b = (c[..., i].astype(np.float64) for i in range(3))
+    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    d = top - low
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sector = np.where(top == r, (g - b) / d, np.where(top == g, (b - r) / d + 2, (r - g) / d + 4)) * 60
+        return np.where(d == 0, 0.0, np.where(sector < 0, sector + 360, sector)), np.where(top == 0, 0.0, d / top)
+
+
+def _turns(sin: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    return (np.degrees(np.arctan2(sin, cos)) + 360) % 360.0
+
+
+def _corner_means(rgba: np.ndarray, h: np.ndarray, s: np.ndarray, width: int, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``corners`` of whole frames: h, s and a as frame x corner."""
+    x, y = np.arange(rgba.shape[1]) % width, np.arange(rgba.shape[1]) // width
+    size, height = min(patch, width, int(y[-1]) + 1), int(y[-1]) + 1
+    turn, found = np.radians(h), []
+    for corner in range(4):
+        at = np.flatnonzero((y >= height - size if corner > 1 else y < size) & (x >= width - size if corner % 2 else x < size))
+        found.append((_turns(np.sin(turn[:, at]).mean(-1), np.cos(turn[:, at]).mean(-1)), s[:, at].mean(-1), rgba[:, at, 3].mean(-1)))
+    return tuple(np.stack(each, -1) for each in zip(*found, strict=True))
+
+
+def _images(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, frame x pixel x (r, g, b, a)) of a column of bytes, for each size of frames."""
+    each = column.to_pylist()
+    sizes = np.array([len(v) for v in each])
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, np.frombuffer(b"".join([each[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, 4)
+
+
+def masked(images: DataFrame, clip: Sequence[str], width: int, patch: int = PATCH) -> DataFrame:
+    """clip, frame_index, pixels: the same as ``packed`` makes of ``vectors``, of frames whose pixels are whole.
+
+    images: clip, frame_index, rgba: four bytes a pixel in reading order. A frame stays in its row, and only the corners of
+    the five frames that show whether a clip's background is stable leave it.
+    """
+
+    @F.arrow_udf("array<struct<h:double,s:double,a:double>>")
+    def shown(rgba: pa.Array) -> pa.Array:
+        out = np.zeros((len(rgba), 4, 3))
+        for at, px in _images(rgba):
+            out[at] = np.stack(_corner_means(px, *_hsv(px), width, patch), -1)
+        flat = pa.StructArray.from_arrays([pa.array(out[..., i].ravel()) for i in range(3)], ["h", "s", "a"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rgba) + 1) * 4, pa.int32()), flat)
+
+    @F.arrow_udf(T.BinaryType())
+    def flagged(rgba: pa.Array, stable: pa.Array) -> pa.Array:
+        is_stable, out = stable.to_numpy(zero_copy_only=False).astype(bool), [b""] * len(rgba)
+        for at, px in _images(rgba):
+            h, s = _hsv(px)
+            a = px[..., 3].astype(np.float64)
+            hues, saturations, alphas = _corner_means(px, h, s, width, patch)
+            coloured = saturations >= SATURATION
+            n, turn = coloured.sum(-1), np.radians(hues)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sin, cos = ((f(turn) * coloured).sum(-1) / n for f in (np.sin, np.cos))
+                length = np.sqrt(sin * sin + cos * cos)
+                alike = (length >= 1) | (np.degrees(np.sqrt(-2 * np.log(length))) < HUE)
+            greys = np.sort(np.where(coloured, np.inf, alphas), -1)
+            grey = greys[np.arange(len(px)), (4 - n) // 2]
+            of_hue, of_grey = (n >= 3) & alike, n <= 1
+            apart = np.abs(h - np.where(of_hue, _turns(sin, cos), 0)[:, None]) % 360
+            near = np.where(of_hue[:, None], (s >= SATURATION) & (np.minimum(apart, 360 - apart) < HUE), (s < SATURATION) & (np.abs(a - np.where(of_grey, grey, 0)[:, None]) < GREY))
+            described = is_stable[at] & (of_hue | of_grey)
+            flags = described[:, None] & ((a < CLEAR) | near), a < np.where(is_stable[at], CLEAR, 1)[:, None]
+            rows = np.concatenate([px, np.stack(flags, -1).astype(np.uint8)], -1)
+            for i, row in zip(at.tolist(), rows, strict=True):
+                out[i] = b"B" + row.tobytes()
+        return pa.array(out, pa.binary())
+
+    n = F.col("_n")
+    last = images.groupBy(*clip).agg((F.max("frame_index") + 1).alias("_n"))
+    seen = images.join(F.broadcast(last.select(*clip, F.explode(looked_at(n)).alias("frame_index"))), [*clip, "frame_index"], "left_semi")
+    found = seen.select(*clip, "frame_index", F.posexplode(shown("rgba")).alias("corner", "c")).select(*clip, "frame_index", "corner", "c.*")
+    known = images.join(F.broadcast(stable_background(found, clip)), list(clip))
+    return known.select(*clip, "frame_index", flagged("rgba", "stable").alias("pixels"))
+
+
 def packed(frames: DataFrame) -> DataFrame:
-    """frames of ``vectors`` with their pixels as bytes, as they are shuffled."""
-    return frames.withColumn("pixels", _packed("pixels"))
+    """frames of ``vectors`` with their pixels as bytes, as they are shuffled; those of ``masked`` are already."""
+    return frames if frames.schema["pixels"].dataType == T.BinaryType() else frames.withColumn("pixels", _packed("pixels"))
 
 
 def _block(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -126,27 +213,68 @@ def _opacity(a: np.ndarray) -> np.ndarray:
     return t * t * (3 - 2 * t)
 
 
-def tile_similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarities of all frames of two blocks, as sums of matrix products over the pixels, some pixels at a time."""
+class _Tile:
+    """Similarities of the frames of two blocks, as products of what is known of either.
 
-    def parts(block: np.ndarray):
-        block = block.astype(np.float64)
-        w, colour = _opacity(block[..., 3]), block[..., :3] * (block[..., 3:4] / 255)
-        out, clear = block[..., 4], block[..., 5]
-        return w, colour, (colour * colour).sum(-1), (np.ones_like(w), out, clear, out * clear)
+    The difference of two pixels is u v |p - q|^2 / 3 + SEEN (u - v)^2 = (u (p^2 / 3 - 2 SEEN)) v + u (v q^2 / 3) -
+    2 / 3 sum (u p_c) (v q_c) + SEEN u^2 + SEEN v^2; what is not compared, as it is background or clear in both, is taken
+    off by the same products of the flagged pixels. So a block's differences are one matrix product for some pixels.
+    """
 
-    compared, off = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
-    for at in range(0, left.shape[1], PIXELS):
-        (u, p, pp, us), (v, q, qq, vs) = parts(left[:, at : at + PIXELS]), parts(right[:, at : at + PIXELS])
-        for sign, f, g in zip((1, -1, -1, 1), us, vs, strict=True):  # neither background in both nor clear in both
-            if not (f.any() and g.any()):
-                continue
-            compared += sign * (f @ g.T)
-            colours = (f * u * pp) @ (g * v).T + (f * u) @ (g * v * qq).T - 2 * sum((f * u * p[..., c]) @ (g * v * q[..., c]).T for c in range(3))
-            weights = (f * u * u) @ g.T + f @ (g * v * v).T - 2 * (f * u) @ (g * v).T
-            off += sign * (colours / 3 + weights * (255 * 255 * 0.25))
-    mean = np.maximum(off, 0) / np.maximum(compared, 1)
-    return np.where(compared > 0, (1 - np.sqrt(mean) / 255) * 100, 100.0)
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        skipped = (left[..., 4].all(0) & right[..., 4].all(0)) | (left[..., 5].all(0) & right[..., 5].all(0))
+        if skipped.any():  # in all pairs of the tile
+            left, right = left[:, ~skipped], right[:, ~skipped]
+        self.left, self.right = left, right
+        both = [(side[..., 4] != 0, side[..., 5] != 0) for side in (left, right)]
+        out, clear = (all(side[k].any() for side in both) for k in (0, 1))
+        nested = all(not (c & ~o).any() for o, c in both)  # clear within the background only: both flags are the second
+        self.flags = [(-1, 4)] * out + ([] if nested else [(-1, 5)] * clear + [(1, 45)] * (out and clear))
+        self.felt = {f: any((self._flag(side, f) * side[..., 3]).any() for side in (left, right)) for _, f in self.flags}
+
+    @staticmethod
+    def _flag(pixels: np.ndarray, which: int) -> np.ndarray:
+        return pixels[..., 4] * pixels[..., 5] if which == 45 else pixels[..., which]
+
+    def _known(self, pixels: np.ndarray, is_left: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of a block's pixels: the factors of the products, and each frame's sum of SEEN u^2."""
+        each = np.ascontiguousarray(np.moveaxis(pixels, -1, 0), np.float64)
+        u, opaque = _opacity(each[3]), each[3] / 255
+        colours = [each[c] * opaque for c in range(3)]
+        square, own = sum((c * c for c in colours[1:]), colours[0] * colours[0]) * u / 3, SEEN * u * u
+        one = [square - 2 * SEEN * u, u, *[c * (u * (-2 / 3)) for c in colours]] if is_left else [u, square, *[c * u for c in colours]]
+        parts, ones = list(one), np.ones_like(u)
+        for sign, which in self.flags:
+            if self.felt[which]:
+                flag = self._flag(pixels, which).astype(np.float64)
+                parts += [(sign * flag if is_left else flag) * f for f in [*one, *([own, ones] if is_left else [ones, own])]]
+        return np.concatenate(parts, -1), own.sum(-1)
+
+    def similarity(self, rows: slice, cols: slice) -> np.ndarray:
+        left, right = self.left[rows], self.right[cols]
+        off, compared = None, np.full((len(left), len(right)), float(left.shape[1]), np.float32)
+        for sign, which in self.flags:  # whole numbers
+            compared += sign * (self._flag(left, which).astype(np.float32) @ self._flag(right, which).astype(np.float32).T)
+        own, other = np.zeros(len(left)), np.zeros(len(right))
+        for at in range(0, left.shape[1], PIXELS):
+            (f, a), (g, b) = self._known(left[:, at : at + PIXELS], True), self._known(right[:, at : at + PIXELS], False)
+            part = f @ g.T
+            off, own, other = part if off is None else off + part, own + a, other + b
+        if off is None:
+            return np.full(compared.shape, 100.0)
+        for at in range(0, len(off), STRIP):  # a strip stays in the processor's cache
+            s, n = off[at : at + STRIP], compared[at : at + STRIP]
+            s += own[at : at + STRIP, None]
+            s += other
+            np.maximum(s, 0, out=s)
+            s /= np.maximum(n, 1)
+            np.sqrt(s, out=s)
+            s /= 255
+            np.subtract(1, s, out=s)
+            s *= 100
+            if not n.all():
+                s[n == 0] = 100.0
+        return off
 
 
 def _one_by_one(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -214,58 +342,104 @@ def duplicate_holds(frames: DataFrame, clip: Sequence[str], threshold: float = 8
     return rows.mapInArrow(fold, f"{', '.join(f'{c} {kinds[c]}' for c in clip)}, frame_index long, match_index long, threshold double")
 
 
-def _tiles(frames: DataFrame, clip: Sequence[str], most: int | None, tile: int) -> DataFrame:
-    """Packed frames in the tiles (row, col) that they are in, over the pairs of places i < j up to ``most`` apart."""
-    last = frames.groupBy(*clip).agg(F.max("frame_index").alias("_last"))
-    at = lambda place: F.floor(place / tile)
-    i = F.col("frame_index")
+def _tiles(frames: DataFrame, clip: Sequence[str], most: int | None, tile: int | None) -> DataFrame:
+    """Packed frames in the tiles (row, col) that they are in, over the pairs of places i < j up to ``most`` apart.
+
+    Without a width, a clip has ROWS rows of tiles, of TILE frames at least and of HELD bytes at most: however long a clip
+    is, its frames are sent ROWS + 1 times, until a tile would be larger than a task should hold.
+    """
+    sent = packed(frames).select(*clip, F.col("frame_index").cast("long").alias("place"), "pixels")
+    # Dealt out by frame, so that frames are worked out once for their number and size and for the tiles.
+    sent = sent.repartition(*clip, "place")
+    last = sent.groupBy(*clip).agg(F.max("place").alias("_last"), F.max(F.octet_length("pixels")).alias("_size"))
+    fitting = F.greatest(F.lit(NARROW), F.least(F.greatest(F.lit(TILE), F.ceil((F.col("_last") + 1) / ROWS)), F.floor(HELD / F.col("_size"))))
+    last = last.select(*clip, "_last", (F.lit(tile) if tile else fitting).cast("long").alias("width"))
+    at = lambda place: F.floor(place / F.col("width"))
+    i = F.col("place")
     far = F.col("_last") if most is None else F.least(F.col("_last"), i + most)
     near = F.lit(0) if most is None else F.greatest(F.lit(0), i - most)
     cell = lambda row, col: F.struct(row.alias("row"), col.alias("col"))
     across = F.transform(F.sequence(at(i), at(far)), lambda col: cell(at(i), col))
     down = F.transform(F.filter(F.sequence(at(near), at(i)), lambda row: row < at(i)), lambda row: cell(row, at(i)))
-    placed = packed(frames).join(F.broadcast(last), list(clip)).select(*clip, i.cast("long").alias("place"), "pixels", F.explode(F.concat(across, down)).alias("cell"))
-    return placed.select(*clip, "place", "pixels", "cell.row", "cell.col")
+    placed = sent.join(F.broadcast(last), list(clip)).select(*clip, "place", "pixels", "width", F.explode(F.concat(across, down)).alias("cell"))
+    return placed.select(*clip, "place", "pixels", "width", "cell.row", "cell.col")
+
+
+def _met(places: np.ndarray, blocks: np.ndarray, width: int, row: int, col: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places i, places j, similarities) of a tile, some frames by some at a time, with pairs that are not asked for."""
+    a, b = np.flatnonzero(places // width == row), np.flatnonzero(places // width == col)
+    if not len(a) or not len(b):
+        return
+    x, y, tile = places[a], places[b], _Tile(blocks[a], blocks[b])
+    for i in range(0, len(x), SIDE):
+        for j in range(0, len(y), SIDE):
+            rows, cols = slice(i, i + SIDE), slice(j, j + SIDE)
+            if y[cols][-1] > x[i] and (most is None or y[j] - x[rows][-1] <= most):
+                yield x[rows], y[cols], tile.similarity(rows, cols)
+
+
+def _runs(x: np.ndarray, y: np.ndarray, s: np.ndarray, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, first j, number of j, similarities) for each i and each run of neighbouring places j that it meets."""
+    low, high = np.searchsorted(y, x, "right"), np.full(len(x), len(y)) if most is None else np.searchsorted(y, x + most, "right")
+    cuts = [0, *(np.flatnonzero(np.diff(y) != 1) + 1).tolist(), len(y)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first, n = np.clip(low, a, b), np.clip(high, a, b)
+        n = np.maximum(n - first, 0)
+        held, place = n > 0, np.arange(a, b)
+        if held.any():
+            part = s[:, a:b]
+            kept = part.ravel() if (n == b - a).all() else part[(place >= first[:, None]) & (place < (first + n)[:, None])]
+            yield x[held], y[first[held]], n[held], kept
 
 
 def pair_similarities(frames: DataFrame, clip: Sequence[str], most: int | None = None, by_lag: bool = False, units: int = 1_000_000, tile: int | None = None) -> DataFrame:
     """frames of ``vectors`` -> clip, i, j, similarity of all pairs i < j at most ``most`` frames apart.
 
     by_lag: clip, period, n and similarity_sum in whole parts of 1 / units instead, summed in each tile, as
-    ``sequences.autocorrelation`` gives them; no pair is written then. A task holds one tile's frames.
+    ``sequences.autocorrelation`` gives them; no pair is written then. A task holds one tile's frames, packed, and writes
+    the pairs of SIDE by SIDE frames at a time, a frame's similarities to a run of frames as one array until Spark has them.
 
-    A frame is sent to as many tiles as its clip has rows of them, so all pairs shuffle a clip's frames by their number
-    over that of a tile; with ``most``, a tile is no wider than that needs.
+    A frame is sent to as many tiles as its clip has rows of them, a number that is the same for clips of any length until
+    tiles have their full size; with ``most``, a tile is no wider than that needs.
     """
-    tile = tile or (TILE if most is None else min(TILE, max(NARROW, most)))
-    keys = [*clip, "row", "col"]
+    tile = tile or (None if most is None else min(TILE, max(NARROW, most)))
+    keys = [*clip, "row", "col", "width"]
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     named = ", ".join(f"{c} {kinds[c]}" for c in clip)
 
-    def meet(table: pa.Table) -> pa.Table:
-        places, row, col = np.asarray(table.column("place")), table.column("row")[0].as_py(), table.column("col")[0].as_py()
-        frames = table.column("pixels").combine_chunks()
-        a, b = np.flatnonzero(places // tile == row), np.flatnonzero(places // tile == col)
-        x, y = places[a], places[b]
-        i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-        s = tile_similarity(_block(frames.take(pa.array(a))), _block(frames.take(pa.array(b)))).ravel() if len(x) and len(y) else np.empty(0)
-        held = (i < j) & (j - i <= (most if most is not None else 2**62))
-        i, j, s = i[held], j[held], s[held]
-        if by_lag:
-            period, at = np.unique(j - i, return_inverse=True)
-            total = np.zeros(len(period), np.int64)
-            np.add.at(total, at, np.floor(s * units + 0.5).astype(np.int64))
-            columns = {"period": period, "n": np.bincount(at, minlength=len(period)), "similarity_sum": total}
-        else:
-            columns = {"i": i, "j": j, "similarity": s}
-        n = len(next(iter(columns.values())))
-        same = {c: pa.repeat(table.column(c)[0], n) for c in clip}
-        return pa.table(same | {k: pa.array(v) for k, v in columns.items()})
-
-    out = f"{named}, period long, n long, similarity_sum long" if by_lag else f"{named}, i long, j long, similarity double"
-    met = _tiles(frames, clip, most, tile).groupBy(*keys).applyInArrow(meet, out)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("place")
+        places, (width, row, col) = table.column("place").to_numpy(), (table.column(c)[0].as_py() for c in ("width", "row", "col"))
+        same = {c: table.column(c)[0] for c in clip}
+        blocks, lags = _block(table.column("pixels")), {}
+        del table
+        for x, y, s in _met(places, blocks, width, row, col, most):
+            if by_lag:
+                apart = y - x[:, None]
+                held = (apart > 0) & (apart <= (most if most is not None else 2**62))
+                period, whole = apart[held], np.floor(s[held] * units + 0.5)
+                if len(period):
+                    n, total = np.bincount(period - period.min()), np.bincount(period - period.min(), whole)
+                    for d in np.flatnonzero(n).tolist():
+                        before = lags.get(d + int(period.min()), (0, 0))
+                        lags[d + int(period.min())] = before[0] + int(n[d]), before[1] + int(total[d])
+                continue
+            for i, first, n, kept in _runs(x, y, s, most):
+                likes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(kept))
+                columns = {c: pa.repeat(v, len(i)) for c, v in same.items()} | {"i": pa.array(i), "first": pa.array(first), "likes": likes}
+                yield pa.RecordBatch.from_pydict(columns)
+        if lags:
+            columns = {"period": list(lags), "n": [v[0] for v in lags.values()], "similarity_sum": [v[1] for v in lags.values()]}
+            yield pa.RecordBatch.from_pydict({c: pa.repeat(v, len(lags)) for c, v in same.items()} | {k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+    out = f"{named}, period long, n long, similarity_sum long" if by_lag else f"{named}, i long, first long, likes array<double>"
+    tiles = _tiles(frames, clip, most, tile)
+    if most is None:  # few bytes are much work, so tasks are not joined by their bytes
+        tiles = tiles.repartition(SHARES * frames.sparkSession.sparkContext.defaultParallelism, *keys)
+    met = tiles.groupBy(*keys).applyInArrow(meet, out)
     if not by_lag:
-        return met
+        each = met.select(*clip, "i", "first", F.posexplode("likes").alias("_at", "similarity"))
+        return each.select(*clip, "i", (F.col("first") + F.col("_at")).alias("j"), "similarity")
     n = frames.groupBy(*clip).agg(F.count("*").alias("frames"))
     sums = met.groupBy(*clip, "period").agg(F.sum("similarity_sum").alias("similarity_sum"), F.sum("n").alias("n"))
     return sums.join(n, list(clip)).select(*clip, "frames", "period", "similarity_sum", "n")

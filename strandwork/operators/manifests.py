@@ -222,6 +222,12 @@ def tail_start(distance: Column, multiplier: Column, smear: Column | float = SME
     return F.when((pace <= 0) | (head <= 0), 0.0).when(head <= keep, chased).otherwise(F.least(chased, head - keep))
 
 
+def looked_at(n: Column) -> Column:
+    """The five places of a clip of n frames that ``stable_background`` looks at, or all."""
+    zero = F.lit(0).cast("long")
+    return F.when(n <= 5, F.sequence(zero, n - 1)).otherwise(F.array(zero, *[F.floor(n * q).cast("long") for q in (0.25, 0.5, 0.75)], n - 1))
+
+
 def stable_background(corners: DataFrame, groups: Sequence[str]) -> DataFrame:
     """groups and stable: whether a clip's corners (frame_index, h in degrees, s) have one colour to key out.
 
@@ -230,8 +236,7 @@ def stable_background(corners: DataFrame, groups: Sequence[str]) -> DataFrame:
     """
     n = F.col("_n")
     of = corners.groupBy(*groups).agg((F.max("frame_index") + 1).alias("_n"))
-    places = F.when(n <= 5, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(F.lit(0).cast("long"), *[F.floor(n * q).cast("long") for q in (0.25, 0.5, 0.75)], n - 1))
-    wanted = of.where("_n > 1").select(*groups, F.explode(places).alias("frame_index"))
+    wanted = of.where("_n > 1").select(*groups, F.explode(looked_at(n)).alias("frame_index"))
     seen = corners.join(wanted, [*groups, "frame_index"])
     spread = circular(seen.where(F.col("s") >= SATURATION), groups, F.col("h")).select(*groups, (F.col("deviation") < HUE).alias("_one"))
     share = F.count_if(F.col("s") >= SATURATION) / F.count("*")
