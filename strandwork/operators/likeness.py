@@ -346,7 +346,7 @@ def _tiles(frames: DataFrame, clip: Sequence[str], most: int | None, tile: int |
     """Packed frames in the tiles (row, col) that they are in, over the pairs of places i < j up to ``most`` apart.
 
     Without a width, a clip has ROWS rows of tiles, of TILE frames at least and of HELD bytes at most: however long a clip
-    is, its frames are sent ROWS + 1 times, until a tile would be larger than a task should hold.
+    is, its frames are sent ROWS times, until a tile would be larger than a task should hold.
     """
     sent = packed(frames).select(*clip, F.col("frame_index").cast("long").alias("place"), "pixels")
     # Dealt out by frame, so that frames are worked out once for their number and size and for the tiles.
